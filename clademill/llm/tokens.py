@@ -1,7 +1,9 @@
 """Token ids by the tokenizers library, remembered by word.
 
-A text is cut into chunks at places where both libraries' patterns always end a match, so that the ids of the text are
-those of its chunks, one after another. Each worker remembers the ids of short chunks.
+A text is cut into chunks at places where the tokenizers' patterns always end a match, so that the ids of the text are
+those of its chunks, one after another. Each worker remembers the ids of short chunks. A chunk of plain Latin letters,
+digits and signs that isn't known yet is split here, as the tokenizer's own steps would split it, and only its new words
+go to the library's merges; any other chunk goes through the library whole.
 """
 
 from __future__ import annotations
@@ -16,9 +18,35 @@ BYTE_CHUNK = re.compile(r"\s*\S+|\s+")
 UNCERTAIN = re.compile("[\x1c-\x1f\x85᠎]")
 #: The word-level pattern drops white space, and none of its normalisers joins characters across it.
 WORD_CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 
-_held: dict[tuple[str, bool], Ids] = {}
+# Classes of the characters U+0021 to U+007E and U+00A1 to U+00FF, where all libraries agree and no normaliser but the
+# lower case changes anything.
+LETTER, NUMBER, PLAIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\x21-\x7e\xa1-\xff"
+PLAIN_BYTE_CHUNK = re.compile(f"[ \n]*[{PLAIN}]+")
+PLAIN_WORD_CHUNK = re.compile(f"[{PLAIN}]+")
+SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_WORD = re.compile(rf"{SUFFIXES}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+WORD_WORD = re.compile(rf"{SUFFIXES}|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+class Words(dict):
+    """word -> its ids as little-endian unsigned 32-bit integers, by the library's merges."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.merge, self.letters = model.tokenize, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]
+        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
 
 class Ids(dict):
@@ -31,16 +59,23 @@ class Ids(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunks, self.by_word = (WORD_CHUNK if by_word else BYTE_CHUNK).findall, by_word
+        self.words, self.by_word = Words(self.tokenizer.model), by_word
+        self.chunks = (WORD_CHUNK if by_word else BYTE_CHUNK).findall
+        self.plain = (PLAIN_WORD_CHUNK if by_word else PLAIN_BYTE_CHUNK).fullmatch
+        self.split = (WORD_WORD if by_word else BYTE_WORD).findall
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self.whole(chunk)
-        if len(chunk) <= LONGEST:
-            self[chunk] = out
+        if len(chunk) > LONGEST:
+            return self.whole(chunk)
+        if self.plain(chunk):
+            out = b"".join(map(self.words.__getitem__, self.split(chunk.lower() if self.by_word else chunk)))
+        else:
+            out = self.whole(chunk)
+        self[chunk] = out
         return out
 
     def text(self, text: str | None) -> bytes:
@@ -49,11 +84,16 @@ class Ids(dict):
             return b""
         if len(self) > REMEMBERED:
             self.clear()
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
         if not self.by_word and UNCERTAIN.search(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.chunks(text)))
 
 
+_held: dict[tuple[str, bool], Ids] = {}
+
+
 def held(path: str, by_word: bool = False) -> Ids:
     """One for each worker process and file."""
     if (path, by_word) not in _held:
