@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 
 #: Before white space that follows something else, a byte-level pattern always ends a match: no match holds white space
 #: after another character. Characters that only Python takes for white space make such places uncertain.
@@ -28,6 +29,8 @@ PLAIN_WORD_CHUNK = re.compile(f"[{PLAIN}]+")
 SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_WORD = re.compile(rf"{SUFFIXES}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 WORD_WORD = re.compile(rf"{SUFFIXES}|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+#: The most frequent form of chunk: one word, and signs other than an apostrophe after it.
+SIMPLE = re.compile(rf"([ ]?[{LETTER}]+)([!-&(-/:-@|]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,10 +45,22 @@ class Words(dict):
     def __init__(self, model):
         super().__init__()
         self.merge, self.letters = model.tokenize, byte_letters()
+        self.blank, self.swap = self.letters[0x20], memoryview(b"\1\0").cast("H")[0] != 1
+
+    def merged(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            word = self.blank + word[1:] if word[0] == " " else word
+        else:
+            word = word.encode().decode("latin-1")
+        if not word.isalpha():  # bytes that are letters stand for themselves
+            word = word.translate(self.letters)
+        ids = array("I", [t.id for t in self.merge(word)])
+        if self.swap:
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]
-        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        out = self[word] = self.merged(word)
         return out
 
 
@@ -62,7 +77,7 @@ class Ids(dict):
         self.words, self.by_word = Words(self.tokenizer.model), by_word
         self.chunks = (WORD_CHUNK if by_word else BYTE_CHUNK).findall
         self.plain = (PLAIN_WORD_CHUNK if by_word else PLAIN_BYTE_CHUNK).fullmatch
-        self.split = (WORD_WORD if by_word else BYTE_WORD).findall
+        self.split, self.simple = (WORD_WORD if by_word else BYTE_WORD).findall, SIMPLE.fullmatch
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -71,8 +86,12 @@ class Ids(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(chunk) > LONGEST:
             return self.whole(chunk)
-        if self.plain(chunk):
-            out = b"".join(map(self.words.__getitem__, self.split(chunk.lower() if self.by_word else chunk)))
+        own = chunk.lower() if self.by_word else chunk
+        if simple := self.simple(own):
+            word, signs = simple.groups()
+            out = self.words[word] + self.words[signs] if signs else self.words.get(word) or self.words.merged(word)
+        elif self.plain(chunk):
+            out = b"".join(map(self.words.__getitem__, self.split(own)))
         else:
             out = self.whole(chunk)
         self[chunk] = out
