@@ -6,8 +6,8 @@ digits, dotted numbers. Boosted trees see a candidate's format (lengths, digits,
 (the characters beside it, words before it that announce such data) and give a score; a threshold calibrated on rows
 that the trees have not seen selects candidates, and those that overlap no base span become further spans.
 
-The trees are fitted on at most SAMPLE candidates, those of the documents with the lowest hash of their id, with the base
-spans as labels: a candidate that a base span overlaps is personal data, any other is not. Fitting takes place on the driver
+The trees are fitted on at most SAMPLE candidates of about SAMPLE_DOCS documents drawn by hash, with the base spans as
+labels: a candidate that a base span overlaps is personal data, any other is not. Fitting takes place on the driver
 in plain Python, on that bounded sample alone; the trees then become one expression. Positions are code points, ends
 exclusive. Scores and spans cover whole texts of all documents.
 
@@ -46,7 +46,7 @@ GENERATORS = {
 }
 ANNOUNCED = r"(?i)(mail|phone|tel|call|fax|mobile|card|visa|credit|contact|addr|host|server|\bip\b)"
 CONTEXT = 24
-SAMPLE, SAMPLE_DOCS, ROUNDS, DEPTH, RATE, LEAST, PRECISION, SEED = 3000, 4000, 20, 2, 0.3, 8, 0.995, 5
+SAMPLE, SAMPLE_DOCS, ROUNDS, DEPTH, RATE, LEAST, PRECISION, SEED = 3000, 20_000, 20, 2, 0.3, 8, 0.995, 5
 FEATURES = ("chars", "digits", "separators", "groups", "largest", "luhn", "parts_ok", "at", "plus", "left_word", "right_word", "announced", "near_digits", "kind")
 SPAN = "array<struct<kind:string,rank:int,start:int,stop:int,found:string>>"
 
@@ -204,10 +204,11 @@ def grown(rows: list[list[float]], slope: dict[int, float], weight: dict[int, fl
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from at most `sample` candidates of the documents with the lowest hashes."""
+    """Trees from at most `sample` candidates of about SAMPLE_DOCS documents drawn by hash."""
     worth = "|".join(w for _, w in GENERATORS.values())
-    few = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(worth))
-    few = few.select("text", F.xxhash64("doc_id", "text").alias("order")).orderBy("order").limit(SAMPLE_DOCS)
+    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
+    few = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("order"))
+    few = few.where(F.pmod("order", F.lit(1 << 30)) < share * (1 << 30)).where(F.col("text").rlike(worth))
     spans = few.select("order", "text", base_spans(F.col("text")).alias("base"), proposals(F.col("text")).alias("more"))
     each = spans.select("order", "text", "base", F.explode("more").alias("span"))
     rows = each.select(F.xxhash64("order", "span.start", "span.rank").alias("place"), measured(F.col("span"), F.col("text")).alias("features"), F.exists("base", lambda b: overlaps(b, F.col("span"))).alias("good"))
