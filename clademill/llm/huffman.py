@@ -70,13 +70,20 @@ class Code:
         self.table[: int(width.sum())] = np.repeat((order.astype(np.uint32) << np.uint32(5)) | lengths[order], width)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Code bits, and the bit offset of every STEP-th id."""
-        parts, lengths = [], self.lengths[ids]
-        offsets = np.cumsum(lengths, dtype=np.uint64) - lengths
-        for at in range(0, len(ids), BLOCK):
-            bits = np.unpackbits(self.aligned[ids[at : at + BLOCK]].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, : self.limit]
-            parts.append(bits[np.arange(self.limit) < lengths[at : at + BLOCK, None]])
-        return np.packbits(np.concatenate(parts) if parts else np.zeros(0, np.uint8)).tobytes(), offsets[::STEP].astype(np.uint64)
+        """Code bits, and the bit offset of every STEP-th id. Codes are laid into 64-bit words, of which each ends in one code at most."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        offsets = ends - lengths
+        total = int(ends[-1]) if len(ids) else 0
+        words = np.zeros(total // 64 + 2, np.uint64)
+        code, word, shift = self.aligned[ids].astype(np.uint64) << np.uint64(32), offsets >> 6, (offsets & 63).astype(np.uint64)
+        if len(ids):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            words[word[first]] = np.bitwise_or.reduceat(code >> shift, first)
+        over = code << (np.uint64(63) - shift) << np.uint64(1)
+        spilt = np.flatnonzero(over)
+        words[word[spilt] + 1] |= over[spilt]
+        return words.astype(">u8").tobytes()[: (total + 7) // 8], offsets[::STEP].astype(np.uint64)
 
     def decode(self, bits: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         raw = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.uint32)

@@ -1,9 +1,9 @@
 """Token ids by the tokenizers library, remembered by word.
 
-A text is cut into chunks at places where the tokenizers' patterns always end a match, so that the ids of the text are
-those of its chunks, one after another. Each worker remembers the ids of short chunks. A chunk of plain Latin letters,
-digits and signs that isn't known yet is split here, as the tokenizer's own steps would split it, and only its new words
-go to the library's merges; any other chunk goes through the library whole.
+A text of plain Latin letters, digits and signs is split here, as the tokenizer's own steps would split it, and each word
+goes to the library's merges once in a while: a worker remembers the ids of its words. Any other text is cut into chunks
+at places where the tokenizers' patterns always end a match, so that the ids of the text are those of its chunks, one
+after another; what isn't plain in it goes through the library whole.
 """
 
 from __future__ import annotations
@@ -19,18 +19,16 @@ BYTE_CHUNK = re.compile(r"\s*\S+|\s+")
 UNCERTAIN = re.compile("[\x1c-\x1f\x85᠎]")
 #: The word-level pattern drops white space, and none of its normalisers joins characters across it.
 WORD_CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 
 # Classes of the characters U+0021 to U+007E and U+00A1 to U+00FF, where all libraries agree and no normaliser but the
 # lower case changes anything.
-LETTER, NUMBER, PLAIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\x21-\x7e\xa1-\xff"
-PLAIN_BYTE_CHUNK = re.compile(f"[ \n]*[{PLAIN}]+")
-PLAIN_WORD_CHUNK = re.compile(f"[{PLAIN}]+")
-SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
-BYTE_WORD = re.compile(rf"{SUFFIXES}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
-WORD_WORD = re.compile(rf"{SUFFIXES}|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
-#: The most frequent form of chunk: one word, and signs other than an apostrophe after it.
-SIMPLE = re.compile(rf"([ ]?[{LETTER}]+)([!-&(-/:-@|]*)")
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+PLAIN_BYTES = bytes([*b"\t\n\r ", *range(0x21, 0x7F), *range(0xA1, 0x100)])
+# The patterns' alternatives, of which the more frequent ones stand first: no two of them but the last ones of each can
+# match at one place.
+BYTE_WORD = re.compile(rf" ?[{LETTER}]+| ?[{NUMBER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+WORD_WORD = re.compile(rf"[{LETTER}]+|[{NUMBER}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LETTER}{NUMBER}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,7 +58,9 @@ class Words(dict):
         return ids.tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.merged(word)
+        out = self.merged(word)
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
 
@@ -76,35 +76,39 @@ class Ids(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words, self.by_word = Words(self.tokenizer.model), by_word
         self.chunks = (WORD_CHUNK if by_word else BYTE_CHUNK).findall
-        self.plain = (PLAIN_WORD_CHUNK if by_word else PLAIN_BYTE_CHUNK).fullmatch
-        self.split, self.simple = (WORD_WORD if by_word else BYTE_WORD).findall, SIMPLE.fullmatch
+        self.split = (WORD_WORD if by_word else BYTE_WORD).findall
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def plain(self, text: str) -> bytes | None:
+        """Ids of a text if it is plain."""
+        try:
+            if text.encode("latin-1").translate(None, PLAIN_BYTES):
+                return None
+        except UnicodeEncodeError:
+            return None
+        return b"".join(map(self.words.__getitem__, self.split(text.lower() if self.by_word else text)))
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > LONGEST:
-            return self.whole(chunk)
-        own = chunk.lower() if self.by_word else chunk
-        if simple := self.simple(own):
-            word, signs = simple.groups()
-            out = self.words[word] + self.words[signs] if signs else self.words.get(word) or self.words.merged(word)
-        elif self.plain(chunk):
-            out = b"".join(map(self.words.__getitem__, self.split(own)))
-        else:
+        out = self.plain(chunk)
+        if out is None:
             out = self.whole(chunk)
-        self[chunk] = out
+        if len(chunk) <= LONGEST:
+            self[chunk] = out
         return out
 
     def text(self, text: str | None) -> bytes:
         """Ids of a whole text; of a null one, none."""
         if not text:
             return b""
-        if len(self) > REMEMBERED:
-            self.clear()
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
+        for held_ in (self, self.words):
+            if len(held_) > REMEMBERED:
+                held_.clear()
+        out = self.plain(text)
+        if out is not None:
+            return out
         if not self.by_word and UNCERTAIN.search(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.chunks(text)))
