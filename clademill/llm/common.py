@@ -25,7 +25,7 @@ def remainder(col: str, n: int) -> Column:
 def arrow_batches(df: DataFrame) -> DataFrame:
     """df, with Arrow batches of a bounded number of bytes on their way to Python, however long the texts are."""
     if not df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return df
 
 

@@ -83,7 +83,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     """A node for each distinct text: node, h1, h2, doc_id (the least) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = lru_cache(4096)(lambda text: bands_of(text).tolist())  # copies often stand together
+        bands = lru_cache(512)(lambda text: bands_of(text).tolist())  # copies often stand together
         for batch in batches:
             found = [bands(t) if len(t) < 20_000 else bands_of(t).tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "bands"])
