@@ -151,8 +151,17 @@ def probe_all(of: dict[int, list[Shard]], n: int, hashes: list[bytes], least: in
     return out
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, hot: int = HOT, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """docs (any columns) with the kept text in place of text, and n_lines and n_dropped."""
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, hot: int = HOT, shard_keys: int = SHARD_KEYS, counts: bool = True) -> DataFrame:
+    """docs (any columns) with the kept text in place of text; with n_lines and n_dropped too if counts are wanted, in place of columns of that name."""
+    out = marked_lines(docs, min_docs, hot, shard_keys)
+    if not counts:
+        return out.select(*docs.columns)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*own, F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))
+
+
+def marked_lines(docs: DataFrame, min_docs: int, hot: int, shard_keys: int) -> DataFrame:
+    """docs with the kept text, __n_lines and __n_dropped."""
     spark = docs.sparkSession
     counts = common.stored(key_counts(docs).where(F.col("docs") >= min_docs), "counts")
     size = counts.agg(F.count("*").alias("keys"), F.sum("docs").alias("pairs")).first()
@@ -162,8 +171,6 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, hot: int = HOT, shard_
     table = spark.sparkContext.broadcast((n, [tuple(r) for r in shards(near, n).collect()]))
     cold = bound > min_docs
     others = [c for c in docs.columns if c != "text"]
-    clash = {"n_lines", "n_dropped"} & set(others)
-    others = [c for c in others if c not in clash]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = table.value
@@ -180,10 +187,10 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, hot: int = HOT, shard_
                 kept.append(b"\n".join([x for x, g in zip(lines, own.tolist()) if not g]) if own.any() else b"\n".join(lines))
                 dropped.append(int(own.sum()))
             added = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *added], names=[*others, "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *added], names=[*others, "text", "__n_lines", "__n_dropped"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "text string", "n_lines long", "n_dropped long"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "text string", "__n_lines long", "__n_dropped long"])
     source = docs.select(*others, "text")
     out = common.python(source, run, schema)
     return drop_cold(out, counts.where(F.col("docs") < bound), min_docs, shard_keys, size.keys, schema) if cold else out
@@ -228,7 +235,7 @@ def drop_cold(near: DataFrame, counts: DataFrame, min_docs: int, shard_keys: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone, n_dropped, out = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "gone", "n_dropped", "text"))
+            texts, gone, n_dropped, out = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "gone", "__n_dropped", "text"))
             for i, (text, keys) in enumerate(zip(texts, gone)):
                 if keys:
                     lost = {np.array([x["first"], x["second"]], np.int64).tobytes() for x in keys}
@@ -236,7 +243,7 @@ def drop_cold(near: DataFrame, counts: DataFrame, min_docs: int, shard_keys: int
                     stay = [x for x, h in zip(lines, line_hashes(lines)) if h not in lost]
                     out[i], n_dropped[i] = b"\n".join(stay).decode(), n_dropped[i] + len(lines) - len(stay)
             batch = batch.drop_columns(["gone"])
-            for name, values, kind in (("text", out, pa.string()), ("n_dropped", n_dropped, pa.int64())):
+            for name, values, kind in (("text", out, pa.string()), ("__n_dropped", n_dropped, pa.int64())):
                 batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
             yield batch
 

@@ -7,7 +7,8 @@ digits, dotted numbers. Boosted trees see a candidate's format (lengths, digits,
 that the trees have not seen selects candidates, and those that overlap no base span become further spans.
 
 The trees are fitted on at most SAMPLE candidates of about SAMPLE_DOCS documents drawn by hash, with the base spans as
-labels: a candidate that a base span overlaps is personal data, any other is not. Fitting takes place on the driver
+labels: a candidate that is nearly a base span of its kind is personal data, any other is not; a threshold needs ENOUGH
+unseen candidates above it. Fitting takes place on the driver
 in plain Python, on that bounded sample alone; the trees then become one expression. Positions are code points, ends
 exclusive. Scores and spans cover whole texts of all documents.
 
@@ -46,7 +47,7 @@ GENERATORS = {
 }
 ANNOUNCED = r"(?i)(mail|phone|tel|call|fax|mobile|card|visa|credit|contact|addr|host|server|\bip\b)"
 CONTEXT = 24
-SAMPLE, SAMPLE_DOCS, ROUNDS, DEPTH, RATE, LEAST, PRECISION, SEED = 3000, 20_000, 20, 2, 0.3, 8, 0.995, 5
+SAMPLE, SAMPLE_DOCS, ROUNDS, DEPTH, RATE, LEAST, ENOUGH, PRECISION, SHARED, SEED = 3000, 20_000, 20, 3, 0.3, 8, 100, 0.995, 0.8, 5
 FEATURES = ("chars", "digits", "separators", "groups", "largest", "luhn", "parts_ok", "at", "plus", "left_word", "right_word", "announced", "near_digits", "kind")
 SPAN = "array<struct<kind:string,rank:int,start:int,stop:int,found:string>>"
 
@@ -124,6 +125,12 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
 
 
+def agrees(base: Column, span: Column) -> Column:
+    """Whether a candidate is of a base span's kind and shares most of either's length."""
+    both = F.least(base["stop"], span["stop"]) - F.greatest(base["start"], span["start"])
+    return (base["kind"] == span["kind"]) & (both >= SHARED * F.greatest(base["stop"] - base["start"], span["stop"] - span["start"]))
+
+
 @dataclass
 class Trees:
     """Boosted trees as nested tuples (feature, cut, below, above); a leaf is a number."""
@@ -154,7 +161,7 @@ class Trees:
         for k, (score, ok) in enumerate(scores, 1):
             right += ok
             last = k == len(scores) or scores[k][0] < score
-            if last and right >= PRECISION * k and k >= LEAST:
+            if last and right >= PRECISION * k and k >= ENOUGH:
                 out.threshold = score
         return out
 
@@ -211,7 +218,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Trees:
     few = few.where(F.pmod("order", F.lit(1 << 30)) < share * (1 << 30)).where(F.col("text").rlike(worth))
     spans = few.select("order", "text", base_spans(F.col("text")).alias("base"), proposals(F.col("text")).alias("more"))
     each = spans.select("order", "text", "base", F.explode("more").alias("span"))
-    rows = each.select(F.xxhash64("order", "span.start", "span.rank").alias("place"), measured(F.col("span"), F.col("text")).alias("features"), F.exists("base", lambda b: overlaps(b, F.col("span"))).alias("good"))
+    rows = each.select(F.xxhash64("order", "span.start", "span.rank").alias("place"), measured(F.col("span"), F.col("text")).alias("features"), F.exists("base", lambda b: agrees(b, F.col("span"))).alias("good"))
     chosen = rows.orderBy("place").limit(sample).collect()
     return Trees.fit([list(r.features) for r in chosen], [bool(r.good) for r in chosen])
 
