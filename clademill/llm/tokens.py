@@ -19,7 +19,7 @@ BYTE_CHUNK = re.compile(r"\s*\S+|\s+")
 UNCERTAIN = re.compile("[\x1c-\x1f\x85᠎]")
 #: The word-level pattern drops white space, and none of its normalisers joins characters across it.
 WORD_CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 350_000, 48
 
 # Classes of the characters U+0021 to U+007E and U+00A1 to U+00FF, where all libraries agree and no normaliser but the
 # lower case changes anything.
