@@ -13,18 +13,19 @@ places of their own. An empty table gives an empty file set and result. Columns
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
-END_ID, BLOCK, STEP, LIMIT, MAGIC = 1, 65_536, 256, 20, b"IDH1"
+END_ID, BLOCK, STEP, LIMIT, MAGIC = 1, 262_144, 256, 20, b"IDH1"
 HEAD = struct.Struct("<4sIQIIQ")
 
 
@@ -117,6 +118,17 @@ def block_content(blob: bytes, code: Code) -> tuple[list[int | None], np.ndarray
     return [None if x else d for d, x in zip(own, null)], sizes, code.decode(blob[start : start + size], offsets, n)
 
 
+def narrowed(blob: bytes) -> bytes:
+    """Ids of 32 bits in 16 bits if they fit."""
+    ids = np.frombuffer(blob, "<u4")
+    return ids.astype("<u2").tobytes() if ids.size and ids.max() < 1 << 16 else blob
+
+
+def widened(blob: bytes, n: int) -> np.ndarray:
+    """n ids of narrowed()."""
+    return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4")
+
+
 BLOCKS = "shard int, block long, at long, docs array<long>, sizes array<long>, ids binary"
 
 
@@ -132,7 +144,7 @@ def gathered(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOC
         docs, sizes, blobs = [], [], []
 
         def out() -> pa.RecordBatch:
-            arrays = [pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([at], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(blobs)], pa.binary())]
+            arrays = [pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([at], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([narrowed(b"".join(blobs))], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "at", "docs", "sizes", "ids"])
 
         for batch in batches:
@@ -151,20 +163,25 @@ def gathered(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOC
     return common.python(ordered, run, BLOCKS)
 
 
+def in_block() -> Column:
+    """The ids of a block."""
+    return F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def counted(blocks: DataFrame) -> np.ndarray:
     """How often each id occurs; one number for each id of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(blob, "<u4"), minlength=len(total))
+            for blob, n in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.bincount(widened(blob, n), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = common.python(blocks.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = common.python(blocks.select("ids", in_block().alias("n")), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -182,18 +199,18 @@ def write(docs: DataFrame, target: str, path: str, end_id: int = END_ID) -> None
         code = Code(table.value)
         for batch in batches:
             shard, block, at, docs, sizes, ids = batch.columns
-            blobs = [block_bytes(d, s, np.frombuffer(i, "<u4"), code) for d, s, i in zip(docs.to_pylist(), sizes.to_pylist(), ids.to_pylist())]
+            blobs = [block_bytes(d, s, widened(i, sum(s)), code) for d, s, i in zip(docs.to_pylist(), sizes.to_pylist(), ids.to_pylist())]
             yield pa.RecordBatch.from_arrays([shard, block, at, pa.array(blobs, pa.binary())], names=["shard", "block", "at", "bytes"])
 
     common.python(blocks, run, "shard int, block long, at long, bytes binary").write.option("compression", "none").parquet(f"{target}/blocks")
-    totals = blocks.groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("shard").collect()  # one row a shard
+    totals = blocks.groupBy("shard").agg(F.sum(in_block()).alias("n")).orderBy("shard").collect()  # one row a shard
     first = np.cumsum([0, *(r.n for r in totals)]).tolist()
     spark.createDataFrame([(r.shard, start) for r, start in zip(totals, first)], "shard int, start long").coalesce(1).write.parquet(f"{target}/shards")
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{target}/code")
 
 
-def read(spark: SparkSession, target: str) -> DataFrame:
-    """doc_id, start and ids (binary) of every document that the files hold."""
+def read(spark: SparkSession, target: str, digest: bool = False) -> DataFrame:
+    """doc_id, start and ids (binary) of every document that the files hold; or, of the same ids, their number n_tokens and ids_crc32."""
     lengths = bytes(spark.read.schema("lengths binary").parquet(f"{target}/code").first().lengths)
     first = {r.shard: r.start for r in spark.read.schema("shard int, start long").parquet(f"{target}/shards").collect()}
     table = spark.sparkContext.broadcast((lengths, first))
@@ -207,13 +224,14 @@ def read(spark: SparkSession, target: str) -> DataFrame:
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes, dtype=np.int64)
                 starts = ends - sizes
                 own = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first[shard] + at + starts), pa.array(own, pa.binary())], names=["doc_id", "start", "ids"])
+                content = {"n_tokens": pa.array(sizes.astype(np.int64)), "ids_crc32": pa.array(map(zlib.crc32, own), pa.int64())} if digest else {"ids": pa.array(own, pa.binary())}
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first[shard] + at + starts), *content.values()], names=["doc_id", "start", *content])
 
     blocks = spark.read.schema("shard int, at long, bytes binary").parquet(f"{target}/blocks")
-    return common.python(blocks, run, "doc_id long, start long, ids binary")
+    return common.python(blocks, run, "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = common.shared_dir(spark) + "/ids"
     write(common.read(spark, sf_dir, "documents"), target, public_tokenizers.path("word_bpe_49k.json"))
-    return read(spark, target).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return read(spark, target, digest=True)
