@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 END_ID, BLOCK, STEP, LIMIT, MAGIC = 1, 262_144, 256, 20, b"IDH1"
+REMEMBERED = 350_000
 HEAD = struct.Struct("<4sIQIIQ")
 
 
@@ -139,7 +140,7 @@ def gathered(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOC
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, shard = tokens.held(path, True), TaskContext.get().partitionId()
+        ids_of, shard = tokens.held(path, True, REMEMBERED), TaskContext.get().partitionId()
         number = at = size = 0
         docs, sizes, blobs = [], [], []
 

@@ -19,7 +19,7 @@ BYTE_CHUNK = re.compile(r"\s*\S+|\s+")
 UNCERTAIN = re.compile("[\x1c-\x1f\x85᠎]")
 #: The word-level pattern drops white space, and none of its normalisers joins characters across it.
 WORD_CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-REMEMBERED, LONGEST = 600_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 
 # Classes of the characters U+0021 to U+007E and U+00A1 to U+00FF, where all libraries agree and no normaliser but the
 # lower case changes anything.
@@ -67,11 +67,12 @@ class Words(dict):
 class Ids(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words, self.by_word = Words(self.tokenizer.model), by_word
@@ -104,7 +105,7 @@ class Ids(dict):
         if not text:
             return b""
         for held_ in (self, self.words):
-            if len(held_) > REMEMBERED:
+            if len(held_) > self.remembered:
                 held_.clear()
         out = self.plain(text)
         if out is not None:
@@ -117,8 +118,8 @@ class Ids(dict):
 _held: dict[tuple[str, bool], Ids] = {}
 
 
-def held(path: str, by_word: bool = False) -> Ids:
+def held(path: str, by_word: bool = False, remembered: int = REMEMBERED) -> Ids:
     """One for each worker process and file."""
     if (path, by_word) not in _held:
-        _held[path, by_word] = Ids(path, by_word)
+        _held[path, by_word] = Ids(path, by_word, remembered)
     return _held[path, by_word]
