@@ -117,7 +117,20 @@ def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
     return common.python(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, ids and the bytes decoded from these ids, in one pass: half the workers of encode() and decode() in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = held(path, pattern)
+        for batch in batches:
+            ids = [packed(codec.encode(t)) if t else b"" for t in batch.column(1).to_pylist()]
+            texts = [codec.decode(unpacked(b)) for b in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return common.python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids binary, decoded binary")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    back = decode(encode(common.read(spark, sf_dir, "documents"), path), path)
+    back = round_trip(common.read(spark, sf_dir, "documents"), path)
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
