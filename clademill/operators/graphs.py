@@ -211,3 +211,9 @@ def lineage(children: DataFrame, parents: DataFrame) -> DataFrame:
     inside = both.join(size, "cluster").where("common = n").groupBy("cluster", "n").agg(F.min("parent").alias("parent"))
     first = F.row_number().over(Window.partitionBy("parent").orderBy(F.col("n").desc(), "cluster"))
     return inside.select(F.col("cluster").alias("child"), "parent", (first == 1).alias("heir"))
+
+
+def edge_weights(edges: DataFrame, score: str = "bitscore") -> DataFrame:
+    """src < dst and the summed score of both directions."""
+    ends = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), score)
+    return ends.groupBy("src", "dst").agg(F.sum(score).alias("weight"))

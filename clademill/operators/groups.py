@@ -77,3 +77,36 @@ def sequence_representatives(proteins: DataFrame, order: str = "ord") -> DataFra
 def density(edges: Column, nodes: Column) -> Column:
     """Share of the possible edges."""
     return 2 * edges / (nodes * (nodes - 1))
+
+
+def subsets(members: DataFrame, species: int, group: str = "OGid") -> DataFrame:
+    """group with single (all species, one gene of each) and unique (single, and a protein that is in no other group).
+
+    members: group, ppid, gnid, spid.
+    """
+    counts = members.groupBy(group).agg(F.countDistinct("gnid").alias("__g"), F.countDistinct("spid").alias("__s"))
+    alone = members.select(group, "ppid").distinct().groupBy("ppid").agg(F.count("*").alias("__n"), F.min(group).alias(group)).where("__n = 1").select(group).distinct().withColumn("__alone", F.lit(True))
+    single = (F.col("__s") == species) & (F.col("__g") == species)
+    return counts.join(alone, group, "left").select(group, single.alias("single"), (single & F.coalesce("__alone", F.lit(False))).alias("unique"))
+
+
+def added_members(before: DataFrame, after: DataFrame, group: str = "OGid", item: str = "ppid") -> DataFrame:
+    """Of each group of `before`: its items there and in `after`, and how many the latter has beyond the former (delta)."""
+    a, b = (t.select(group, item).distinct() for t in (before, after))
+    both = a.withColumn("__a", F.lit(1)).join(b.withColumn("__b", F.lit(1)), [group, item], "full")
+    out = both.groupBy(group).agg(F.count("__a").alias(f"{item}num1"), F.count("__b").alias(f"{item}num2"), F.count_if(F.col("__a").isNull()).alias("delta"))
+    return out.where(F.col(f"{item}num1") > 0)
+
+
+def multiplicity(members: DataFrame, group: str, item: str) -> DataFrame:
+    """How many items are in one group, in two, and so on: groups, n."""
+    per = members.select(group, item).distinct().groupBy(item).agg(F.count("*").alias("groups"))
+    return per.groupBy("groups").agg(F.count("*").alias("n"))
+
+
+def without_errors(table: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """Rows none of whose flags is set; a flag that is missing counts as set."""
+    ok = F.lit(True)
+    for name in flags:
+        ok = ok & (~F.col(name).cast("boolean"))
+    return table.where(ok)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clademill.functions.special import beta_binomial, gamma_quantile, gammainc
 from clademill.sources.newick import Node
@@ -179,29 +182,63 @@ def gradients(record: Record, start: np.ndarray, move: np.ndarray, params: list[
     return chain.joint(record.states) - chain.log_likelihood(), by_move, by_param
 
 
+def _flat(found: tuple[float, np.ndarray, list[dict[str, float]]]) -> np.ndarray:
+    value, by_move, by_param = found
+    return np.concatenate([[value], by_move.ravel(), [g for own in by_param for g in own.values()]])
+
+
 def fit(records: list[Record], start: np.ndarray, move: np.ndarray, params: list[Params], rate: float = 0.05, momentum: float = 0.85, epsilon: float = 0.1, steps: int = 300):
+    """descend() on records that are here."""
+
+    def total(now: np.ndarray, at: list[Params]) -> np.ndarray:
+        return np.sum([_flat(gradients(r, start, now, at)) for r in records], axis=0)
+
+    return descend(total, len(records), sum(len(r.states) for r in records), move, params, rate, momentum, epsilon, steps)
+
+
+def fit_table(table: DataFrame, keys: list[str], record: Callable[[pd.DataFrame], Record], start: np.ndarray, move: np.ndarray, params: list[Params], rate: float = 0.05, momentum: float = 0.85, epsilon: float = 0.1, steps: int = 300):
+    """descend() on records that are the groups of a table, one row a column: a step is one pass over the table.
+
+    Groups are turned into records where they are; their gradients are added up on the executors, and a vector of fixed
+    size (the value, the moves and the parameters) reaches the driver.
+    """
+    n_columns, n_records = table.count(), table.select(*keys).distinct().count()
+
+    def total(now: np.ndarray, at: list[Params]) -> np.ndarray:
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            flat = _flat(gradients(record(part), start, now, at))
+            return pd.DataFrame({"i": np.arange(len(flat), dtype=np.int32), "x": flat})
+
+        found = table.groupBy(*keys).applyInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+        return np.array([r.x for r in found])
+
+    return descend(total, n_records, n_columns, move, params, rate, momentum, epsilon, steps)
+
+
+def descend(total: Callable[[np.ndarray, list[Params]], np.ndarray], n_records: int, n_columns: int, move: np.ndarray, params: list[Params], rate: float, momentum: float, epsilon: float, steps: int):
     """Conditional maximum likelihood by gradient descent with momentum; the best model met, and the history of values.
 
-    Descent ends when the value changes by less than epsilon.
+    total gives, for moves and parameters, the summed value and the summed gradients of all records in one vector. Gradients
+    of moves are divided by the records, those of parameters by the columns. Descent ends when the value changes by less than
+    epsilon.
     """
     z = np.log(move)
     x = [{name: unbounded(name, v) for name, v in p.items()} for p in params]
     vz, vx = np.zeros_like(z), [dict.fromkeys(p, 0.0) for p in params]
-    size = max(1, sum(len(r.states) for r in records))
     best, history = (-np.inf, move, params), []
-    for _ in range(steps):
+    for _ in range(steps if n_records else 0):
         now, at = softmax(z), [{name: bounded(name, v) for name, v in p.items()} for p in x]
-        parts = [gradients(r, start, now, at) for r in records]
-        value = sum(p[0] for p in parts)
-        history.append(value)
-        if value > best[0]:
-            best = (value, now, at)
+        value, by_move, by_param = np.split(total(now, at), [1, 1 + z.size])
+        history.append(float(value[0]))
+        if history[-1] > best[0]:
+            best = (history[-1], now, at)
         if len(history) > 1 and abs(history[-1] - history[-2]) < epsilon:
             break
-        vz = momentum * vz - rate * sum(p[1] for p in parts) / max(1, len(records))
+        vz = momentum * vz - rate * by_move.reshape(z.shape) / max(1, n_records)
         z = z + vz
+        slopes = iter(by_param / max(1, n_columns))
         for k, own in enumerate(x):
             for name in own:
-                vx[k][name] = momentum * vx[k][name] - rate * sum(p[2][k][name] for p in parts) / size
+                vx[k][name] = momentum * vx[k][name] - rate * next(slopes)
                 own[name] += vx[k][name]
     return best, history

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clademill.functions.special import geometric_threshold
-from clademill.operators import hmm, msa, trees
+from clademill.operators import hmm, msa, regions, trees
 from clademill.plans.inputs import profile, symbols
 from clademill.sources import newick
 
@@ -46,16 +46,17 @@ def _tips(part: pd.DataFrame) -> tuple[newick.Node, dict[str, np.ndarray], int]:
 
 @query
 def gap_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each alignment, rows, columns, and the summed size of the contrasts of its gap pattern on the tree."""
+    """For each alignment, genes, columns, mean length, the summed size of the contrasts of its gap pattern on the tree, its norms,
+    and the sums by contrast where no species is missing."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         tree, tips, n = _tips(part)
-        if not tree.children:
-            return pd.DataFrame({"OGid": [part["OGid"].iloc[0]], "rows": [len(tips)], "columns": [n], "total": [0.0]})
-        _, found = trees.contrasts(tree, {k: v[0] for k, v in tips.items()})
-        return pd.DataFrame({"OGid": [part["OGid"].iloc[0]], "rows": [len(tips)], "columns": [n], "total": [float(np.abs(found).sum())]})
+        found = np.abs(trees.contrasts(tree, {k: v[0] for k, v in tips.items()})[1]) if tree.children else np.zeros((0, n))
+        out = {"OGid": part["OGid"].iloc[0], "gnidnum": len(tips), "len1": n, "len2": float(np.sum([t[1] for t in tips.values()]) / len(tips)), "total": float(found.sum())}
+        return pd.DataFrame([{**out, "sums": found.sum(1).tolist() if len(tips) == 7 else None}])
 
-    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, rows int, columns int, total double")
+    found = symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, gnidnum int, len1 int, len2 double, total double, sums array<double>")
+    return regions.contrast_norms(found)
 
 
 def _decoded(part: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -79,20 +80,69 @@ def insertion_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, pos int, p1 double, p2 double, p3 double").select("OGid", "pos", *(F.round(c, 9).alias(c) for c in ("p1", "p2", "p3")))
 
 
+def _weights(tips: dict[str, np.ndarray]) -> np.ndarray:
+    own = trees.brownian_weights(newick.pruned(newick.parse(TREE), set(tips))) if len(tips) > 1 else dict.fromkeys(tips, 1.0)
+    return np.array([own[name] for name in tips])
+
+
 @query
 def insertion_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices of each alignment that the third state takes, and the residues that segment trims leave."""
+    """Slices of each alignment that the third state takes, those that the second and third take together, and the columns and
+    residues that both kinds of trims leave."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         posterior, tips = _decoded(part)
-        gaps = np.mean([t[0] for t in tips.values()], axis=0)
+        weights = _weights(tips)
+        gaps = weights @ np.array([t[0] for t in tips.values()])
         p3 = np.where(gaps <= 0.1, 0.0, posterior[:, 2])
-        slices = msa.hysteresis(p3, gaps)
+        third, both = msa.hysteresis(p3, gaps), msa.region_trims(posterior[:, 1], p3, gaps)
         rows = ["".join("-" if g else "A" for g in t[0]) for t in tips.values()]
-        left = sum(r.count("A") for r in msa.segment_trims(rows, slices, geometric_threshold))
-        return pd.DataFrame({"OGid": part["OGid"].iloc[0], "start": [a for a, _ in slices], "stop": [b for _, b in slices], "residues": left})
+        left = msa.without_slices(msa.segment_trims(rows, third, geometric_threshold, weights), both)
+        out = [("segment", a, b) for a, b in third] + [("region", a, b) for a, b in both]
+        frame = pd.DataFrame(out, columns=["kind", "start", "stop"])
+        return frame.assign(OGid=part["OGid"].iloc[0], colnum=len(gaps), columns=len(left[0]), residues=sum(r.count("A") for r in left))[["OGid", "kind", "start", "stop", "colnum", "columns", "residues"]]
+
+    found = symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, kind string, start int, stop int, colnum int, columns int, residues int")
+    return regions.trim_ratios(found)
+
+
+@query
+def hidden_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each row that looks missing somewhere: its likely residues there, as 0 and 1."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        tree, tips, _ = _tips(part)
+        out = []
+        for row, a, b in _missing(tree, tips):
+            likely = hmm.hidden_tip(tree, tips, PARAMS, row)[a:b] >= 0.8
+            out.append((int(part["OGid"].iloc[0]), int(row), a, b, "".join("01"[int(x)] for x in likely)))
+        return pd.DataFrame(out, columns=["OGid", "ppid", "start", "stop", "seq"])
+
+    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, ppid int, start int, stop int, seq string")
+
 
-    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, start int, stop int, residues int")
+def _missing(tree: newick.Node, tips: dict[str, np.ndarray]) -> list[tuple[str, int, int]]:
+    out = []
+    for row, own in tips.items():
+        likely = hmm.tip_probability(tree, tips, PARAMS, row)
+        chain = hmm.Chain(np.array([0.95, 0.05]), np.array([[0.98, 0.02], [0.1, 0.9]]), np.array([likely, 1 - likely]))
+        out += [(row, a, b) for a, b in msa.missing_segments(chain.posterior()[:, 1], own[0] > 0)]
+    return out
+
+
+@query
+def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A two-state chain fitted to the profiles: returned lines are the labels, large and small quantities what is seen."""
+
+    def record(part: pd.DataFrame) -> hmm.Record:
+        own = part.sort_values("pos")
+        large = own["x"].to_numpy() > 25
+        return hmm.Record(own["gap"].to_numpy(), [lambda p: np.where(large, p["p1"], 1 - p["p1"])] * 2)
+
+    start, move = np.array([0.5, 0.5]), np.array([[0.6, 0.4], [0.4, 0.6]])
+    (value, found, params), history = hmm.fit_table(profile(spark, sf_dir), ["OGid"], record, start, move, [{"p1": 0.4}, {"p1": 0.6}], rate=0.1, momentum=0.9, epsilon=0.05, steps=5)
+    rows = [("value", 0, value), ("steps", 0, float(len(history)))] + [("move", k, float(m)) for k, m in enumerate(found.ravel())] + [("p1", k, p["p1"]) for k, p in enumerate(params)]
+    return spark.createDataFrame(rows, "name string, k int, x double")
 
 
 @query
@@ -101,11 +151,7 @@ def missing_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         tree, tips, _ = _tips(part)
-        out = []
-        for row, own in tips.items():
-            likely = hmm.tip_probability(tree, tips, PARAMS, row)
-            chain = hmm.Chain(np.array([0.95, 0.05]), np.array([[0.98, 0.02], [0.1, 0.9]]), np.array([likely, 1 - likely]))
-            out += [(int(part["OGid"].iloc[0]), int(row), a, b) for a, b in msa.missing_segments(chain.posterior()[:, 1], own[0] > 0)]
+        out = [(int(part["OGid"].iloc[0]), int(row), a, b) for row, a, b in _missing(tree, tips)]
         return pd.DataFrame(out, columns=["OGid", "ppid", "start", "stop"])
 
     return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, ppid int, start int, stop int")

@@ -223,11 +223,12 @@ def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sequences.longest_run(F.col("text"), "e").cast("long").alias("run"))
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT doc_id, unnest(string_split(upper(text), '')) AS c FROM documents)
+SELECT doc_id, coalesce(string_agg(c, '' ORDER BY ord(c)) FILTER (c NOT IN ('', ' ', '.', ',') AND NOT regexp_full_match(c, '[A-Z]')), '') AS odd FROM c GROUP BY 1 UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def alphabet_strangers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    odd = sequences.strangers(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ .")
-    return d.select("doc_id", odd.cast("string").alias("odd"))
+    """Symbols of each document outside an alphabet, in ascending order."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ ,."
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(sequences.strangers(F.col("text"), letters), "").alias("odd"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages")

@@ -112,3 +112,14 @@ def write_model(spark: SparkSession, path: str, model: dict) -> None:
 
 def read_model(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first().value)
+
+
+def group_fasta(records: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """group and text, its records (header, seq) in the given order as one FASTA text."""
+    item = F.struct(*order, fasta_text(F.col("header"), F.col("seq")).alias("__text"))
+    return records.groupBy(group).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(item)), lambda x: x["__text"])).alias("text"))
+
+
+def report(summary: DataFrame) -> DataFrame:
+    """A summary row as one text, a line `name: value` for each column."""
+    return summary.select(F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in summary.columns)).alias("text"))
