@@ -223,7 +223,7 @@ def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sequences.longest_run(F.col("text"), "e").cast("long").alias("run"))
 
 
-@query("""WITH c AS (SELECT DISTINCT doc_id, unnest(string_split(upper(text), '')) AS c FROM documents)
+@query("""WITH c AS (SELECT DISTINCT doc_id, unnest(string_split(upper(replace(text, 'ß', 'ss')), '')) AS c FROM documents)
 SELECT doc_id, coalesce(string_agg(c, '' ORDER BY ord(c)) FILTER (c NOT IN ('', ' ', '.', ',') AND NOT regexp_full_match(c, '[A-Z]')), '') AS odd FROM c GROUP BY 1 UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def alphabet_strangers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of each document outside an alphabet, in ascending order."""
