@@ -215,25 +215,44 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 INDEXED = "payload binary, packets long, lost_sync long, bad_tables long, jumps long, repeats long, broken long, stamps array<long>, points array<struct<pts: long, position: long>>"
+NAMES = ("payload", "packets", "lost_sync", "bad_tables", "jumps", "repeats", "broken", "stamps", "points")
+
+
+def report_columns(found: list[Report]) -> list[pa.Array]:
+    """The columns of INDEXED."""
+    numbers = [pa.array([getattr(r, c) for r in found], pa.int64()) for c in ("packets", "lost_sync", "bad_tables", "jumps", "repeats", "broken")]
+    points = pa.array([[{"pts": t, "position": p} for t, p in r.points] for r in found], pa.list_(pa.struct([("pts", pa.int64()), ("position", pa.int64())])))
+    return [pa.array([r.payload for r in found], pa.binary()), *numbers, pa.array([r.stamps for r in found], pa.list_(pa.int64())), points]
 
 
 def decode(media: DataFrame) -> DataFrame:
     """media (a column of streams, beside others) with what reading each stream gives."""
-    others = [c for c in media.columns if c not in {x.split()[0] for x in INDEXED.split(", ")}]
+    others = [c for c in media.columns if c not in NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [read(x or b"") for x in batch.column(batch.schema.get_field_index("media")).to_pylist()]
-            numbers = [pa.array([getattr(r, c) for r in found], pa.int64()) for c in ("packets", "lost_sync", "bad_tables", "jumps", "repeats", "broken")]
-            points = pa.array([[{"pts": t, "position": p} for t, p in r.points] for r in found], pa.list_(pa.struct([("pts", pa.int64()), ("position", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.payload for r in found], pa.binary()), *numbers, pa.array([r.stamps for r in found], pa.list_(pa.int64())), points], names=[*others, "payload", "packets", "lost_sync", "bad_tables", "jumps", "repeats", "broken", "stamps", "points"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *report_columns(found)], names=[*others, *NAMES])
 
     kinds = dict(media.dtypes)
     return common.python(media.select(*others), run, ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", " + INDEXED)
 
 
+def stored_and_read(docs: DataFrame) -> DataFrame:
+    """decode(encode(docs)) in one pass: the streams don't leave the worker between being written and being read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            streams = [write(padded(x)) for x in raw]
+            own = [batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(streams, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *report_columns([read(x) for x in streams])], names=["doc_id", "n_bytes", "media", *NAMES])
+
+    return common.python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary, " + INDEXED)
+
+
 def op5_media_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = decode(encode(common.read(spark, sf_dir, "documents")))
+    back = stored_and_read(common.read(spark, sf_dir, "documents"))
     points = F.concat_ws(",", F.transform("points", lambda p: F.concat_ws("@", p["pts"].cast("string"), p["position"].cast("string"))))
     feature = F.concat_ws(";", F.concat(F.lit("packets="), "packets"), F.concat(F.lit("frames="), F.size("stamps")), F.concat(F.lit("pts="), F.array_min("stamps"), F.lit("-"), F.array_max("stamps")), F.concat(F.lit("points="), points), F.concat(F.lit("faults="), F.col("lost_sync") + F.col("bad_tables") + F.col("jumps") + F.col("repeats") + F.col("broken")))
     return back.select(

@@ -199,7 +199,9 @@ def test_transport(spark, docs, odd, none):
     assert transport.read(bytes(bad)).bad_tables and transport.read(b"") == transport.Report() and transport.read(b"abc").lost_sync == 1
     back = {r.doc_id: bytes(r.payload) for r in transport.decode(transport.encode(odd)).collect()}
     assert all(back[d] == transport.padded((t or "").encode()) for d, t in ODD) and back[2] == b"\0" * 64
-    assert transport.decode(transport.encode(none)).count() == 0
+    assert transport.decode(transport.encode(none)).count() == 0 and transport.stored_and_read(none).count() == 0
+    two_passes, one = ({(r.doc_id, r.n_bytes): r for r in f.collect()} for f in (transport.decode(transport.encode(odd)), transport.stored_and_read(odd)))
+    assert two_passes == one
 
 
 def base_rules(text):
