@@ -194,15 +194,26 @@ def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("qppid", "sppid", "event_id", F.col("start").alias("qstart"), F.col("stop").alias("qend"), F.col("start").alias("sstart"), F.col("stop").alias("send"), F.lit(0.0).alias("evalue"), "bitscore")
 
 
-@query()
+# A list of single-element lists, so that what is accepted so far has the type of an element.
+MARKS_SQL = HSPS_SQL + """, sorted AS (SELECT qppid, sppid, list([{'id': event_id, 'a': start, 'b': stop}] ORDER BY bitscore DESC, start, event_id) AS every FROM hsps GROUP BY 1, 2),
+d AS (SELECT *, list_reduce(every, lambda acc, x: CASE WHEN len(list_filter(acc, lambda t: t.a <= x[1].b AND t.b >= x[1].a)) = 0 THEN acc || x ELSE acc END) AS apart FROM sorted),
+c AS (SELECT *, list_reduce(list_prepend(apart, every), lambda acc, x: CASE WHEN len(list_filter(acc, lambda t: t.id = x[1].id OR (t.a <= x[1].b AND t.b >= x[1].a
+  AND (t.b <= t.a OR x[1].b <= x[1].a OR least(t.b, x[1].b) - greatest(t.a, x[1].a) >= 0.5 * (t.b - t.a) OR least(t.b, x[1].b) - greatest(t.a, x[1].a) >= 0.5 * (x[1].b - x[1].a))))) = 0 THEN acc || x ELSE acc END) AS ok FROM d),
+marks AS (SELECT h.*, every[1][1].id = event_id AS index_hsp, list_contains(list_transform(apart, lambda t: t.id), event_id) AS disjoint, list_contains(list_transform(ok, lambda t: t.id), event_id) AS compatible FROM hsps h JOIN c USING (qppid, sppid))"""
+
+
+@query(f"WITH {MARKS_SQL} SELECT qppid, sppid, event_id, index_hsp, disjoint, compatible FROM marks")
 def hsp_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = hits.marked(_alignments(spark, sf_dir), order=("qstart", "sstart", "event_id"))
     return pairs.select("qppid", "sppid", F.explode("hsps").alias("h")).select("qppid", "sppid", "h.event_id", "h.index_hsp", "h.disjoint", "h.compatible")
 
 
-@query()
+@query(f"""WITH {MARKS_SQL}, o AS (SELECT *, max(stop) OVER (PARTITION BY qppid, sppid ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM marks WHERE compatible),
+h AS (SELECT qppid, sppid, count(*) FILTER (disjoint)::INT AS hspnum, count(*)::INT AS chspnum, sum(stop - start + 1) FILTER (disjoint)::BIGINT AS nqa,
+  sum(greatest(0, stop - greatest(start, coalesce(reach + 1, start)) + 1))::BIGINT AS cnqa, round(sum(bitscore) FILTER (disjoint), 6) AS bitscore FROM o GROUP BY 1, 2)
+SELECT qppid, sppid, hspnum, chspnum, nqa, cnqa, nqa AS nsa, cnqa AS cnsa, bitscore FROM h""")
 def hit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits.hits(hits.marked(_alignments(spark, sf_dir), order=("qstart", "sstart", "event_id")))
+    return hits.hits(hits.marked(_alignments(spark, sf_dir), order=("qstart", "sstart", "event_id"))).withColumn("bitscore", F.round("bitscore", 6))
 
 
 ISLANDS_SQL = HSPS_SQL + """, o AS (SELECT *, max(stop) OVER (PARTITION BY qppid, sppid ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hsps),
