@@ -1,4 +1,4 @@
-"""Metadata, filters and representatives of groups of orthologous proteins."""
+"""Metadata, filters and representatives of groups of proteins."""
 
 from __future__ import annotations
 
