@@ -187,16 +187,16 @@ def _flat(found: tuple[float, np.ndarray, list[dict[str, float]]]) -> np.ndarray
     return np.concatenate([[value], by_move.ravel(), [g for own in by_param for g in own.values()]])
 
 
-def fit(records: list[Record], start: np.ndarray, move: np.ndarray, params: list[Params], rate: float = 0.05, momentum: float = 0.85, epsilon: float = 0.1, steps: int = 300):
+def fit(records: list[Record], start: np.ndarray, move: np.ndarray, params: list[Params], rate: float = 0.05, momentum: float = 0.85, epsilon: float = 0.1, steps: int = 300, by_columns: bool = False):
     """descend() on records that are here."""
 
     def total(now: np.ndarray, at: list[Params]) -> np.ndarray:
         return np.sum([_flat(gradients(r, start, now, at)) for r in records], axis=0)
 
-    return descend(total, len(records), sum(len(r.states) for r in records), move, params, rate, momentum, epsilon, steps)
+    return descend(total, len(records), sum(len(r.states) for r in records), move, params, rate, momentum, epsilon, steps, by_columns)
 
 
-def fit_table(table: DataFrame, keys: list[str], record: Callable[[pd.DataFrame], Record], start: np.ndarray, move: np.ndarray, params: list[Params], rate: float = 0.05, momentum: float = 0.85, epsilon: float = 0.1, steps: int = 300):
+def fit_table(table: DataFrame, keys: list[str], record: Callable[[pd.DataFrame], Record], start: np.ndarray, move: np.ndarray, params: list[Params], rate: float = 0.05, momentum: float = 0.85, epsilon: float = 0.1, steps: int = 300, by_columns: bool = False):
     """descend() on records that are the groups of a table, one row a column: a step is one pass over the table.
 
     Groups are turned into records where they are; their gradients are added up on the executors, and a vector of fixed
@@ -212,15 +212,15 @@ def fit_table(table: DataFrame, keys: list[str], record: Callable[[pd.DataFrame]
         found = table.groupBy(*keys).applyInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
         return np.array([r.x for r in found])
 
-    return descend(total, n_records, n_columns, move, params, rate, momentum, epsilon, steps)
+    return descend(total, n_records, n_columns, move, params, rate, momentum, epsilon, steps, by_columns)
 
 
-def descend(total: Callable[[np.ndarray, list[Params]], np.ndarray], n_records: int, n_columns: int, move: np.ndarray, params: list[Params], rate: float, momentum: float, epsilon: float, steps: int):
+def descend(total: Callable[[np.ndarray, list[Params]], np.ndarray], n_records: int, n_columns: int, move: np.ndarray, params: list[Params], rate: float, momentum: float, epsilon: float, steps: int, by_columns: bool = False):
     """Conditional maximum likelihood by gradient descent with momentum; the best model met, and the history of values.
 
     total gives, for moves and parameters, the summed value and the summed gradients of all records in one vector. Gradients
-    of moves are divided by the records, those of parameters by the columns. Descent ends when the value changes by less than
-    epsilon.
+    of moves are divided by the records (by the columns if by_columns: the sums of long records are too large for a step),
+    those of parameters by the columns. Descent ends when the value changes by less than epsilon.
     """
     z = np.log(move)
     x = [{name: unbounded(name, v) for name, v in p.items()} for p in params]
@@ -234,7 +234,7 @@ def descend(total: Callable[[np.ndarray, list[Params]], np.ndarray], n_records:
             best = (history[-1], now, at)
         if len(history) > 1 and abs(history[-1] - history[-2]) < epsilon:
             break
-        vz = momentum * vz - rate * by_move.reshape(z.shape) / max(1, n_records)
+        vz = momentum * vz - rate * by_move.reshape(z.shape) / max(1, n_columns if by_columns else n_records)
         z = z + vz
         slopes = iter(by_param / max(1, n_columns))
         for k, own in enumerate(x):

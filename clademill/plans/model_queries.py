@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clademill.functions.special import geometric_threshold
 from clademill.operators import hmm, msa, regions, trees
 from clademill.plans.inputs import profile, symbols
 from clademill.sources import newick
+from clademill.storage import stored
 
 QUERIES, SQL = {}, {}
 TREE = "(((1:1,2:1):0.5,(3:1,4:0.8):0.6):0.7,((5:0.9,6:1.1):0.4,7:1.2):0.3);"
@@ -132,15 +133,25 @@ def _missing(tree: newick.Node, tips: dict[str, np.ndarray]) -> list[tuple[str,
 
 @query
 def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A two-state chain fitted to the profiles: returned lines are the labels, large and small quantities what is seen."""
+    """A two-state chain fitted to the profiles: returned lines are the labels, large and small quantities what is seen.
+
+    The fit starts from the counted states and moves (0.1 added to each) and has the reference's 100 passes.
+    """
 
     def record(part: pd.DataFrame) -> hmm.Record:
         own = part.sort_values("pos")
         large = own["x"].to_numpy() > 25
         return hmm.Record(own["gap"].to_numpy(), [lambda p: np.where(large, p["p1"], 1 - p["p1"])] * 2)
 
-    start, move = np.array([0.5, 0.5]), np.array([[0.6, 0.4], [0.4, 0.6]])
-    (value, found, params), history = hmm.fit_table(profile(spark, sf_dir), ["OGid"], record, start, move, [{"p1": 0.4}, {"p1": 0.6}], rate=0.1, momentum=0.9, epsilon=0.05, steps=5)
+    seen = stored(profile(spark, sf_dir), "profile")
+    start, move = np.full(2, 0.1), np.full((2, 2), 0.1)
+    before = F.lag("gap").over(Window.partitionBy("OGid").orderBy("pos"))
+    for r in seen.select(before.alias("before"), F.col("gap").alias("after")).groupBy("before", "after").agg(F.count("*").alias("n")).collect():
+        start[r.after] += r.n
+        if r.before is not None:
+            move[r.before, r.after] += r.n
+    start, move = start / start.sum(), move / move.sum(1, keepdims=True)
+    (value, found, params), history = hmm.fit_table(seen, ["OGid"], record, start, move, [{"p1": 0.4}, {"p1": 0.6}], rate=1.0, momentum=0.5, epsilon=0.05, steps=100, by_columns=True)
     rows = [("value", 0, value), ("steps", 0, float(len(history)))] + [("move", k, float(m)) for k, m in enumerate(found.ravel())] + [("p1", k, p["p1"]) for k, p in enumerate(params)]
     return spark.createDataFrame(rows, "name string, k int, x double")
 

@@ -103,3 +103,17 @@ def test_fit_of_a_table_is_the_fit_of_its_records(spark):
     assert history == pytest.approx(history2) and value == pytest.approx(value2) and m == pytest.approx(m2)
     assert [q["p1"] for q in p] == pytest.approx([q["p1"] for q in p2]) and history[-1] > history[0]
     assert hmm.fit_table(table.where("false"), ["g"], record, start, move, params)[1] == []
+
+
+def test_registered_fit_ends_at_its_best(spark):
+    from clademill.plans import model_queries
+    from clademill.plans.inputs import profile
+
+    sf = "/root/testdata/sf0.001"
+    found = {(r.name, r.k): r.x for r in model_queries.chain_fit(spark, sf).collect()}
+    paths = [part.sort_values("pos")["gap"].to_numpy() for _, part in profile(spark, sf).toPandas().groupby("OGid")]
+    start, move = np.bincount(np.concatenate(paths)), np.sum([hmm.transition_counts(s, 2) for s in paths], axis=0)
+    start, move = start / start.sum(), move / move.sum(1, keepdims=True)
+    blind = sum(np.log(start[s[0]]) + np.log(move[s[:-1], s[1:]]).sum() for s in paths)  # both states emit alike: a model among the candidates
+    assert found["value", 0] > blind - 0.2 and 1 < found["steps", 0] < 100
+    assert abs(found["p1", 0] - 0.4) > 0.05 and abs(found["p1", 1] - 0.6) > 0.05
