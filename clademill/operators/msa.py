@@ -102,24 +102,47 @@ def column_flags(symbols: DataFrame, cutoffs: Sequence[float] = (1.0, 0.5, 0.0),
     return flags.select(group, "pos", pools.alias("pools"))
 
 
-def bootstrap(columns: DataFrame, samples: int, size: int, seed: int) -> DataFrame:
+def bootstrap(columns: DataFrame, samples: int, size: int, seed: int, pool: str | None = None) -> DataFrame:
     """sample, place and the columns drawn with replacement. columns: index (from 0) and others.
 
-    The draws are made on the executors, from a generator for each sample.
+    With a pool column, each sample has the full size from each pool; the index then counts on from one pool to the next. The
+    draws are made on the executors, from a generator for each sample (and pool); the pools' ranges reach the driver.
     """
-    n = columns.count()
     spark = columns.sparkSession
+    if pool is None:
+        ranges = [(0, columns.count())]
+    else:
+        ranges = [(r.low, r.n) for r in columns.groupBy(pool).agg(F.min("index").alias("low"), F.count("*").alias("n")).orderBy("low").collect()]
 
     def draw(frames):
         import pandas as pd
 
         for frame in frames:
-            for sample in frame["id"]:
-                picks = np.random.default_rng([seed, int(sample)]).integers(0, n, size if n else 0)
-                yield pd.DataFrame({"sample": int(sample), "place": np.arange(len(picks)), "index": picks})
+            for one in frame["id"]:
+                k, sample = divmod(int(one), samples)
+                low, n = ranges[k]
+                picks = low + np.random.default_rng([seed, sample] if pool is None else [seed, k, sample]).integers(0, n, size if n else 0)
+                yield pd.DataFrame({"sample": sample, "place": np.arange(len(picks)), "index": picks})
 
-    drawn = spark.range(samples).mapInPandas(draw, "sample long, place long, index long")
-    return drawn.join(columns, "index")
+    drawn = spark.range(samples * len(ranges)).mapInPandas(draw, "sample long, place long, index long")
+    return drawn.hint("merge").join(columns, "index")  # Spark takes the draws for a few rows and would broadcast them
+
+
+def column_texts(symbols: DataFrame, rows: Sequence[object], group: str = "OGid", row: str = "ppid") -> DataFrame:
+    """column: the symbols of each column in the order of rows; a row that is not there is a gap."""
+    parts = [F.coalesce(F.max(F.when(F.col(row) == r, F.col("sym"))), F.lit(GAP)) for r in rows]
+    return symbols.groupBy(group, "pos").agg(F.concat(F.lit(""), *parts).alias("column"))
+
+
+def _symbol(i: int):
+    return lambda x: F.substring(x["column"], i + 1, 1)
+
+
+def meta_alignments(drawn: DataFrame, rows: Sequence[object], pool: str = "pool", row: str = "ppid") -> DataFrame:
+    """Pool, sample, row and seq: the drawn columns (place, column) as the sequences of an alignment."""
+    whole = drawn.groupBy(pool, "sample").agg(F.array_sort(F.collect_list(F.struct("place", "column"))).alias("__columns"))
+    seqs = [F.struct(F.lit(r).alias(row), F.concat_ws("", F.transform("__columns", _symbol(i))).alias("seq")) for i, r in enumerate(rows)]
+    return whole.select(pool, "sample", F.inline(F.array(*seqs))) if seqs else whole.select(pool, "sample", F.lit(None).alias(row), F.lit("").alias("seq"))
 
 
 # Whole-profile segmentation, on numpy arrays.

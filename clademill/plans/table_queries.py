@@ -255,9 +255,12 @@ def membership_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten samples of a thousand columns, with replacement, as counts of pools."""
+    """Meta-alignments: of each pool 100 samples of 10,000 columns, with replacement, as the sequences of the rows."""
     from clademill.operators.ranks import with_rank
 
-    flags = msa.column_flags(symbols(spark, sf_dir))
-    indexed = with_rank(flags, F.col("OGid"), F.col("pos"), name="index")
-    return msa.bootstrap(indexed, 10, 1000, 930715).select("sample", F.explode("pools").alias("pool")).groupBy("sample", "pool").agg(F.count("*").alias("n"))
+    every = symbols(spark, sf_dir)
+    rows = [r.ppid for r in every.select("ppid").distinct().orderBy("ppid").collect()]
+    flags = msa.column_flags(every).select("OGid", "pos", F.explode("pools").alias("pool"))
+    columns = flags.join(msa.column_texts(every, rows), ["OGid", "pos"])
+    indexed = with_rank(columns, F.col("pool"), F.col("OGid"), F.col("pos"), name="index")
+    return msa.meta_alignments(msa.bootstrap(indexed, 100, 10_000, 930715, "pool"), rows)

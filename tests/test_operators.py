@@ -156,6 +156,24 @@ def test_pools(spark):
     assert found == {0: {"100R", "50R", "0R"}, 1: {"50R", "0R"}, 2: {"50R", "50R_NI", "0R", "0R_NI"}, 3: {"0R"}}
 
 
+def test_meta_alignments(spark):
+    from clademill.plans import table_queries
+
+    pools = [("a", k, f"A{k}") for k in range(8)] + [("b", 8, "B8")]  # a rare pool has the full size too
+    columns = spark.createDataFrame(pools, "pool string, index long, column string")
+    drawn = msa.bootstrap(columns, 3, 50, 1, "pool")
+    assert {(r.pool, r.sample, r["count"]) for r in drawn.groupBy("pool", "sample").count().collect()} == {(p, s, 50) for p in "ab" for s in range(3)}
+    own = {(r.sample, r.place): r.column for r in drawn.where("pool = 'a'").collect()}
+    assert set(own.values()) == {f"A{k}" for k in range(8)}
+    seqs = {(r.pool, r.sample, r.ppid): r.seq for r in msa.meta_alignments(drawn, [1, 2]).collect()}
+    assert seqs["a", 2, 2] == "".join(own[2, k][1] for k in range(50)) and seqs["b", 0, 1] == "B" * 50
+    texts = msa.column_texts(spark.createDataFrame([("g", 1, 0, "A"), ("g", 3, 0, "C")], "OGid string, ppid int, pos int, sym string"), [1, 2, 3])
+    assert texts.first().column == "A-C"
+    found = table_queries.bootstrap_columns(spark, "/root/testdata/sf0.001").select("pool", "sample", "ppid", F.length("seq").alias("n")).toPandas()
+    n_rows, n_pools = found["ppid"].nunique(), found["pool"].nunique()
+    assert len(found) == n_pools * 100 * n_rows and set(found["n"]) == {10_000}
+
+
 def test_codons():
     bases = "TCAG"
     table = {a + b + c: x for (a, b, c), x in zip(itertools.product(bases, repeat=3), "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG")}
