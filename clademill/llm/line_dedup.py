@@ -222,27 +222,27 @@ def drop_cold(near: DataFrame, counts: DataFrame, min_docs: int, shard_keys: int
         return left.loc[hit, ["own", "first", "second"]]
 
     found = asked.groupBy("shard").cogroup(shards(counts, n).groupBy("shard")).applyInPandas(look, "own binary, first long, second long")
-    found = found.groupBy("own").agg(F.collect_list(F.struct("first", "second")).alias("gone"))
-    near = near.withColumn("own", F.lit(None).cast("binary"))
+    found = found.groupBy(F.col("own").alias("__own")).agg(F.collect_list(F.struct("first", "second")).alias("__gone"))
+    near = near.withColumn("__own", F.lit(None).cast("binary"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
             own = [xxhash.xxh3_128_digest((t or "").encode()) for t in batch.column(k).to_pylist()]
-            yield batch.set_column(batch.schema.get_field_index("own"), "own", pa.array(own, pa.binary()))
+            yield batch.set_column(batch.schema.get_field_index("__own"), "__own", pa.array(own, pa.binary()))
 
-    joined = common.python(near, hashed, schema + ", own binary").join(found, "own", "left").drop("own")
+    joined = common.python(near, hashed, schema + ", __own binary").join(found, "__own", "left").drop("__own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone, n_dropped, out = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "gone", "__n_dropped", "text"))
+            texts, gone, n_dropped, out = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "__gone", "__n_dropped", "text"))
             for i, (text, keys) in enumerate(zip(texts, gone)):
                 if keys:
                     lost = {np.array([x["first"], x["second"]], np.int64).tobytes() for x in keys}
                     lines = text.encode().split(b"\n")
                     stay = [x for x, h in zip(lines, line_hashes(lines)) if h not in lost]
                     out[i], n_dropped[i] = b"\n".join(stay).decode(), n_dropped[i] + len(lines) - len(stay)
-            batch = batch.drop_columns(["gone"])
+            batch = batch.drop_columns(["__gone"])
             for name, values, kind in (("text", out, pa.string()), ("__n_dropped", n_dropped, pa.int64())):
                 batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
             yield batch

@@ -151,6 +151,15 @@ def test_line_dedup(docs, odd, none, texts):
     assert drop_lines(odd, counts=False).columns == odd.columns
 
 
+def test_rarer_lines_of_a_table_with_other_columns(odd):
+    from clademill.llm.line_dedup import drop_lines
+
+    rows = odd.select("doc_id", "text", F.lit("o").alias("own"), F.lit("g").alias("gone"))
+    found = drop_lines(rows, 2, 3, 50)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in found.collect()), key=str) == dropped(ODD, 2)
+    assert {(r.own, r.gone) for r in found.collect()} == {("o", "g")}
+
+
 def test_perfect_hash():
     from clademill.llm.line_dedup import PerfectHash, Shard, build_shard
 
