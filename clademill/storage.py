@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="clademill-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a local temporary folder."""
+    """A new folder below spark.checkpoint.dir; where that is unset and Spark runs in one process (tests), below a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="clademill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/clademill/{uuid.uuid4().hex}"
 
 
