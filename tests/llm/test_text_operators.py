@@ -322,11 +322,17 @@ def base_pii(text):
     return ",".join(x for _, _, x in sorted(out))
 
 
-def test_pii(spark, docs, odd, none, texts):
+@pytest.fixture(scope="module")
+def trees(spark):
     from clademill.llm import pii
 
-    trees = pii.fit(docs.select("doc_id", "text"))
-    hard = ["x@y.com_z@q.org a@b.c-d@e.f", "4111 1111 1111 1111 4111-1111", "4111-1111-1111-1111!", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1", "é@x.com ü+49 30 1234567 😀 a@b.co 1.1.1.1", "a@@b.c a@b..c @b.c a@b. %@-.-", "1" * 3000, "1 " * 3000, "+1 (017) 555-7713 +1 (017) 555-7713"]
+    return pii.fit(spark)
+
+
+def test_pii(spark, docs, odd, none, texts, trees):
+    from clademill.llm import pii
+
+    hard = ["x@y.com_z@q.org a@b.c-d@e.f", "4111 1111 1111 1111 4111-1111", "4111-1111-1111-1111!", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1", "é@x.com ü+49 30 1234567 😀 a@b.co 1.1.1.1", "a@@b.c a@b..c @b.c a@b. %@-.-", "1" * 3000, "1 " * 3000, "+1 (017) 555-7713 +1 (017) 555-7713", "a:" * 3000, "x@" * 3000, "(" * 3000, "a." * 3000 + "@", "1.1" * 2000]
     tough = spark.createDataFrame([(100 + k, t) for k, t in enumerate(hard)], "doc_id long, text string")
     for frame, source in ((docs, texts), (tough, dict(enumerate(hard, 100))), (odd, dict(ODD))):
         for r in pii.spanned(frame, trees).select("doc_id", pii.written(F.col("base")).alias("base"), pii.written(F.col("spans")).alias("spans")).collect():
@@ -334,15 +340,104 @@ def test_pii(spark, docs, odd, none, texts):
     assert {r.text for r in pii.redacted(odd, trees).where("doc_id = 11").collect()} == {"[EMAIL], [PHONE], [CARD], [IP]"}
     out = pii.redacted(odd, trees)
     assert out.columns == odd.columns and out.where("text is null").count() == 1 and pii.redacted(none, trees).count() == 0
-    # a candidate that looks like data but isn't a base span is added if the trees say so
-    every = pii.Trees(bias=1.0, threshold=0.5)
-    assert "phone:5:17" in pii.spanned(spark.createDataFrame([(1, "call 555-123-4567 now")], "doc_id long, text string"), every).select(pii.written(F.col("spans")).alias("s")).first().s
-    rng = np.random.default_rng(0)
-    rows = [[float(x) for x in rng.integers(0, 5, len(pii.FEATURES))] for _ in range(400)]
-    fitted = pii.Trees.fit(rows, [r[5] >= 2 for r in rows])
-    assert fitted.threshold < np.inf and np.mean([(fitted.raw(r) >= fitted.threshold) == (r[5] >= 2) for r in rows]) > 0.95
+    # without a finite threshold, or without trees, nothing is added
+    assert pii.spanned(odd, pii.Trees()).where("size(spans) <> size(base)").count() == 0
     plan = pii.op8_pii(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
+
+
+def luhn(number):
+    return number + str(-sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(number))) % 10)
+
+
+def planted(rng):
+    """Texts with personal data in other words and numbers than those that the trees learn from, and texts without."""
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    e = lambda n: "".join(map(str, rng.integers(2, 10, n)))
+    name, host = rng.choice(["petra", "lukas.k", "sven-olaf", "mary_ann", "b.keller77"]), rng.choice(["acme", "blauwal", "city-library", "hospital", "data4you"])
+    card = luhn("4" + d(14))
+    good = [
+        ("email", f"{name} (at) {host} (dot) com"), ("email", f"{name}[at]{host}[dot]org"), ("email", f"{name} @ {host}.net"), ("email", f"{name} at {host} dot de"),
+        ("phone", f"({e(3)}) {e(3)}-{d(4)}"), ("phone", f"{e(3)}-{e(3)}-{d(4)}"), ("card", ".".join(card[i : i + 4] for i in (0, 4, 8, 12))), ("card", "/".join(card[i : i + 4] for i in (0, 4, 8, 12))),
+        ("ip", f"10[.]{e(2)}[.]{e(1)}[.]{e(2)}"), ("ip", f"2001:db8:{e(4)}:{e(3)}::{e(2)}"),
+    ]
+    said = [("phone", f"telephone {e(3)} {e(3)} {d(4)}", 10), ("phone", f"fax 0{e(2)}/{d(7)}", 4), ("phone", f"mobile 0{e(3)} {d(7)}", 7)]
+    bad = [f"since 1{d(1)}.0{e(1)}.19{e(2)}", f"on 20{d(2)}-0{e(1)}-1{d(1)}", f"at 1{d(1)}:3{d(1)}:{e(2)}", f"release {e(1)}.{e(1)}.{e(2)}", f"serial {e(16)}0{e(3)}", f"{e(1)} {e(3)} {e(3)} people", f"see chapter {e(1)}.{e(1)}.{e(1)}", f"isbn 978-{e(1)}-{e(2)}-{e(6)}-{e(1)}", "a map @ scale", "std::vector of x", f"scores {e(2)}-{e(2)} {e(2)}-{e(2)}"]
+    out = []
+    for kind, found in good:
+        out.append((f"we met {name.split('.')[0]}s friend: {found}, thanks", kind, found))
+    for kind, found, skip in said:
+        out.append((f"my {found} today", kind, found[skip:]))
+    return out, [f"they said {x} and left" for x in bad]
+
+
+def test_pii_finds_other_forms(spark, trees):
+    from clademill.llm import pii
+
+    assert all(np.isfinite(trees.threshold[k]) for k in pii.KINDS)
+    named = {
+        "write jane.doe (at) example (dot) org": "email:6:37", "write jane @ example.org": "email:6:24", "pay 4111.1111.1111.1111": "card:4:23", "pay 4111/1111/1111/1111": "card:4:23",
+        "call (555) 123-4567": "phone:5:19", "tel 030 1234567": "phone:4:15", "phone 555-713-0192": "phone:6:18", "SSN 123-45-6789": "", "due 2023-01-15": "", "the 4785380592391135 of": "",
+    }
+    rng, cases = np.random.default_rng(77), [(t, s) for t, s in named.items()]
+    for _ in range(40):
+        good, bad = planted(rng)
+        cases += [(t, f"{kind}:{t.index(found)}:{t.index(found) + len(found)}") for t, kind, found in good] + [(t, "") for t in bad]
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.spanned(frame, trees).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert [found[k] for k in range(len(named))] == [*named.values()]
+    positive = [k for k, (_, s) in enumerate(cases) if s]
+    taken = [k for k in found if found[k]]
+    assert np.mean([found[k] == cases[k][1] for k in positive]) >= 0.9
+    assert np.mean([found[k] == cases[k][1] for k in taken]) >= 0.95
+    text = pii.redacted(frame.where("doc_id = 0"), trees).first().text
+    assert text == "write [EMAIL]"
+
+
+def plain_tree(x, slope, weight, own, depth, least, rate):
+    g, h = sum(slope[i] for i in own), sum(weight[i] for i in own)
+    best = (1e-6, None, None)
+    for f in range(len(x[0])) if depth and len(own) >= 2 * least else ():
+        values = sorted({r[f] for r in x})
+        for low, high in zip(values, values[1:]):
+            left = [i for i in own if x[i][f] <= low]
+            if least <= len(left) <= len(own) - least:
+                a, b = sum(slope[i] for i in left), sum(weight[i] for i in left)
+                gain = a * a / (b + 1) + (g - a) ** 2 / (h - b + 1) - g * g / (h + 1)
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, (low + high) / 2)
+    _, f, cut = best
+    if f is None:
+        return rate * g / (h + 1)
+    return (f, cut, *(plain_tree(x, slope, weight, part, depth - 1, least, rate) for part in ([i for i in own if x[i][f] < cut], [i for i in own if x[i][f] >= cut])))
+
+
+def test_boosting_against_a_plain_version():
+    from clademill.llm import pii
+
+    rng = np.random.default_rng(0)
+    x = [[float(v) for v in rng.integers(0, 6, len(pii.FEATURES))] for _ in range(160)]
+    kinds = ["card" if r[5] >= 2 and r[1] < 4 else "email" if r[2] == 3 else "" for r in x]
+    turns = [*range(160)]
+    trees = pii.Trees.fit(x, kinds, turns)
+    assert set(trees.trees) == {"card", "email"}
+    for kind in trees.trees:
+        y = [k == kind for k in kinds]
+        train = [i for i in turns if i % 2 == 0]
+        n = sum(y[i] for i in train)
+        raw = [np.log(n / (len(train) - n))] * 160
+        for own in trees.trees[kind]:
+            p = [1 / (1 + np.exp(-r)) for r in raw]
+            tree = plain_tree(x, [a - b for a, b in zip(y, p)], [max(q * (1 - q), 1e-6) for q in p], train, pii.DEPTH, pii.LEAST, pii.RATE)
+            step = [pii.walked(tree, r) for r in x]
+            assert np.allclose(step, [pii.walked(own, r) for r in x])
+            raw = [a + b for a, b in zip(raw, step)]
+        test = sorted(((raw[i], y[i]) for i in turns if i % 2), reverse=True)
+        least = min((s for k, (s, _) in enumerate(test) if sum(g for _, g in test[: k + 1]) >= pii.PRECISION * (k + 1) and (k + 1 == len(test) or test[k + 1][0] < s)), default=np.inf)
+        below = [s for s, _ in test if s < least]
+        assert trees.threshold[kind] == pytest.approx(max(0.0, (least + max(below)) / 2 if below else least))
+    right = [max(trees.trees, key=lambda k: trees.raw(k, r) - trees.threshold[k]) if max(trees.raw(k, r) - trees.threshold[k] for k in trees.trees) >= 0 else "" for r in x]
+    assert np.mean([a == b for a, b in zip(right, kinds)]) > 0.9
 
 
 def test_quality(spark, docs, odd, none):
