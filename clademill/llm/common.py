@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,10 @@ from clademill.storage import shared_dir, stored
 #: White space as the word and line rules know it: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 
-__all__ = ["WS", "arrow_batches", "python", "read", "remainder", "shared_dir", "stored"]
+#: Of a join's keys, HOT_KEYS at most are dealt over several tasks, those with HOT_ROWS rows and a share of 1/HOT_KEYS.
+HOT_KEYS, HOT_ROWS = 1000, 2000
+
+__all__ = ["WS", "arrow_batches", "hot_keys", "python", "read", "remainder", "runs", "shared_dir", "spread_join", "stored"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,3 +38,37 @@ def arrow_batches(df: DataFrame) -> DataFrame:
 def python(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with bounded batches."""
     return arrow_batches(df).mapInArrow(function, schema)
+
+
+def hot_keys(counts: DataFrame, n: str) -> DataFrame:
+    """The keys with so many rows that they are dealt over several tasks, and over how many (__parts): HOT_KEYS keys at most, whatever the input."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    share = max(HOT_ROWS, -(-total // HOT_KEYS))
+    return counts.where(F.col(n) >= share).withColumn("__parts", F.ceil(F.col(n) / share).cast("int")).drop(n)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, by: str) -> DataFrame:
+    """left joined with right, which has a row for each key. Rows of hot keys are dealt by the hash of `by`, and their row of right goes to each part."""
+    few = F.broadcast(hot.select(*on, "__parts"))
+    dealt = left.join(few, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    copied = right.join(few, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copied, [*on, "__part"]).drop("__part")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, one after another, of batches that are sorted by key."""
+    held, last = [], None
+    for batch in batches:
+        names = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys)))
+        at = 0
+        for i, name in enumerate(names):
+            if name != last:
+                if i > at:
+                    held.append(batch.slice(at, i - at))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, last, at = [], name, i
+        if at < len(names):
+            held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)

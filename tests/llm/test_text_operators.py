@@ -280,6 +280,12 @@ def test_near_dups(spark, docs, odd, none, texts):
     kept = near_dups.one_of_each(odd)
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, 1, 2, 3, 4, 5, 6, 7, 8, 9, -3, 11], key=str)
     assert near_dups.near_classes(none).count() == 0 and near_dups.one_of_each(none).count() == 0
+    # near copies with one id or none, and rows that differ in other columns only
+    words = " ".join(f"u{i}" for i in range(80))
+    again = spark.createDataFrame([(5, words, "a"), (5, words + " z", "b"), (5, words, "c"), (None, words + " z y", "d")], "doc_id long, text string, kind string")
+    assert len({tuple(r) for _ in range(2) for r in near_dups.one_of_each(again.orderBy(F.rand())).collect()}) == 1
+    nameless = again.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert near_dups.one_of_each(nameless).count() == 1
 
 
 def test_rest_is_compared_in_blocks(spark):
@@ -287,12 +293,58 @@ def test_rest_is_compared_in_blocks(spark):
     from clademill.llm import near_dups
 
     base = [f"v{i}" for i in range(100)]
-    texts = [" ".join(base), " ".join(base[:70] + [f"a{i}" for i in range(30)]), " ".join(base[:70] + [f"a{i}" for i in range(29)] + ["b"])]
+    texts = [" ".join(base), " ".join(base[:70] + [f"a{i}" for i in range(30)]), " ".join(base[:70] + [f"a{i}" for i in range(29)] + ["b"]), " ".join(f"c{i}" for i in range(100))]
     d = spark.createDataFrame([*enumerate(texts)], "node long, text string")
-    edges = spark.createDataFrame([(1, 0), (2, 0)], "node long, hub long")
-    links = edges.where("node < 0")
-    for block in (1, 2, 1000):
-        assert {tuple(sorted((r.node, r.hub))) for r in near_dups.rest_linked(edges, links, d, block).collect()} == {(1, 2)}
+    nodes = spark.createDataFrame([(k, bytearray(near_dups.signed(t)[1])) for k, t in enumerate(texts)], "node long, sign binary")
+    meetings = spark.createDataFrame([(band, node, 0) for band in (7, 8, 9) for node in (0, 1, 2, 3)[: band - 5]], "band long, node long, hub long")
+    alike = near_dups.compared(meetings.where("node <> hub").select("node", "hub").distinct(), d)
+    open_ = near_dups.open_buckets(meetings, alike)
+    assert {r.band for r in open_.collect()} == {8, 9}
+    for block, size in ((1, 1 << 20), (1000, 100), (1000, 1 << 20)):
+        assert {tuple(sorted((r.node, r.hub))) for r in near_dups.rest_linked(open_, nodes, d, block, size).collect()} == {(1, 2)}
+
+
+def test_a_chained_group_loses_no_link(spark):
+    """Thousands of texts of one template, many pairs of which meet without being near: the classes are those of all pairs."""
+    from clademill.llm import near_dups
+
+    rng = np.random.default_rng(3)
+    base = [f"t{i}" for i in range(60)]
+    texts = {}
+    for k in range(2500):  # families of a few near copies around each of many variants of the template
+        if k % 4 == 0:
+            start, own = int(rng.integers(0, 45)), [f"f{rng.integers(0, 10**9)}" for _ in range(14)]
+            words = base[:start] + own + base[start:]
+        texts[k] = " ".join(words[: len(words) - int(rng.integers(0, 6))])
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    sets = [near_dups.shingles(t) for t in texts.values()]
+    keys, at = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True)
+    x = np.zeros((len(sets), len(keys)), np.float32)
+    x[np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets]), at] = 1
+    both, size = x @ x.T, x.sum(1)
+    alike = both / (size[:, None] + size - both)
+    assert ((alike > 0.5) & (alike < 0.8)).sum() > 10 * len(sets)
+    root = np.arange(len(sets))
+    while True:
+        least = np.where(alike >= 0.8 - 1e-7, root[None, :], len(sets)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    found = {r.doc_id: r.class_id for r in near_dups.near_classes(frame).collect()}
+    assert np.mean([found[k] == root[k] for k in found]) > 0.999
+    assert all(root[found[k]] == root[k] for k in found)
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    from clademill.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    left = spark.range(200).select((F.col("id") % 20 * (F.col("id") > 99).cast("int")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(25).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    hot = common.hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "n")
+    assert [tuple(r) for r in hot.collect()] == [(0, 11)]
+    found = common.spread_join(left, right, ["k"], hot, "v")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
 
 
 def test_darts():
