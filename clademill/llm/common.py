@@ -47,12 +47,12 @@ def hot_keys(counts: DataFrame, n: str) -> DataFrame:
     return counts.where(F.col(n) >= share).withColumn("__parts", F.ceil(F.col(n) / share).cast("int")).drop(n)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, by: str) -> DataFrame:
-    """left joined with right, which has a row for each key. Rows of hot keys are dealt by the hash of `by`, and their row of right goes to each part."""
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has a row for each key. Rows of hot keys are dealt by the hash of `by`, and their row of right goes to each part."""
     few = F.broadcast(hot.select(*on, "__parts"))
     dealt = left.join(few, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     copied = right.join(few, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    return dealt.join(copied, [*on, "__part"]).drop("__part")
+    return dealt.join(copied, [*on, "__part"], how).drop("__part")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -6,8 +6,11 @@ before the shuffle. The keys that documents lose are put into a sharded minimal
 fingerprints and one of counts, and documents probe these arrays.
 
 Keys with over 1/HOT of all counts are at most HOT in number whatever the input is, so their shards are broadcast and
-documents probe them where they are. If rarer keys have to go too, their shards stay where they were built; the
-documents' remaining hashes come to them, and no such key is frequent enough to fill a task.
+documents probe them where they are. If rarer keys have to go too, their shards stay where they were built. A Bloom filter
+of these keys, of FILTER_BITS bits at most, is broadcast instead: lines that it doesn't know never leave their task. The
+hashes that pass are dealt over shards and, where a shard is asked more than ASKED hashes, over several copies of it; what
+is found comes back to the documents by the hash of their text, of which frequent ones are dealt over several tasks too. A
+filter that is too small for the number of keys lets more hashes pass and changes no result.
 
 Each row is a document. Null and empty texts are one empty line, and empty keys are never dropped. Repeated rows count
 each. An empty table gives an empty result. Columns other than those named are kept as they are (drop_lines) or not read.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_DOCS, HOT, SHARD_KEYS = 10, 1_000_000, 200_000
+MIN_DOCS, HOT, SHARD_KEYS, FILTER_BITS, SLICE, ASKED = 10, 1_000_000, 200_000, 1 << 28, 1 << 20, 2_000_000
 STRIP = common.WS.encode()
 
 
@@ -171,6 +174,9 @@ def marked_lines(docs: DataFrame, min_docs: int, hot: int, shard_keys: int) -> D
     table = spark.sparkContext.broadcast((n, [tuple(r) for r in shards(near, n).collect()]))
     cold = bound > min_docs
     others = [c for c in docs.columns if c != "text"]
+    source = docs.select(*others, "text")
+    if cold:
+        source = with_rare(source, counts.where(F.col("docs") < bound), min_docs, shard_keys, size.keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = table.value
@@ -179,10 +185,15 @@ def marked_lines(docs: DataFrame, min_docs: int, hot: int, shard_keys: int) -> D
             of.setdefault(k, []).append(Shard(*blobs))
         for batch in batches:
             texts = [(t or "").encode().split(b"\n") for t in batch.column(len(others)).to_pylist()]
-            gone = probe_all(of, n, line_hashes([x for t in texts for x in t]), min_docs)
+            hashes = line_hashes([x for t in texts for x in t])
+            gone = probe_all(of, n, hashes, min_docs)
+            rare = batch.column(len(others) + 1).to_pylist() if cold else [None] * len(texts)
             kept, dropped, at = [], [], 0
-            for lines in texts:
+            for lines, more in zip(texts, rare):
                 own = gone[at : at + len(lines)]
+                if more:
+                    lost = {more[i : i + 16] for i in range(0, len(more), 16)}
+                    own = own | np.array([h in lost for h in hashes[at : at + len(lines)]], bool)
                 at += len(lines)
                 kept.append(b"\n".join([x for x, g in zip(lines, own.tolist()) if not g]) if own.any() else b"\n".join(lines))
                 dropped.append(int(own.sum()))
@@ -191,63 +202,92 @@ def marked_lines(docs: DataFrame, min_docs: int, hot: int, shard_keys: int) -> D
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "text string", "__n_lines long", "__n_dropped long"])
-    source = docs.select(*others, "text")
-    out = common.python(source, run, schema)
-    return drop_cold(out, counts.where(F.col("docs") < bound), min_docs, shard_keys, size.keys, schema) if cold else out
+    return common.python(source, run, schema)
+
+
+def places(first: np.ndarray, second: np.ndarray, mask: int) -> list[np.ndarray]:
+    """The filter's bits of each key: three independent parts of its hash."""
+    a, b, m = first.astype(np.uint64), second.astype(np.uint64), np.uint64(mask)
+    return [(a & m).astype(np.int64), (a >> np.uint64(32) & m).astype(np.int64), (b & m).astype(np.int64)]
+
+
+def bloom(counts: DataFrame, keys: int, most: int = FILTER_BITS) -> tuple[int, bytes]:
+    """Mask and bits of a filter of the keys, built in slices: at most `most` / 8 bytes, whatever the number of keys."""
+    bits = SLICE
+    while bits < min(most, 16 * keys):
+        bits *= 2
+    mask = F.lit(bits - 1)
+    at = F.array(F.col("first").bitwiseAND(mask), F.shiftrightunsigned("first", 32).bitwiseAND(mask), F.col("second").bitwiseAND(mask))
+    each = counts.select(F.explode(at).alias("at")).distinct().withColumn("slice", F.shiftright("at", 20).cast("int"))
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(SLICE, np.uint8)
+        own[part["at"].to_numpy() & (SLICE - 1)] = 1
+        return pd.DataFrame([(int(part["slice"].iloc[0]), np.packbits(own, bitorder="little").tobytes())], columns=["slice", "bits"])
+
+    out = np.zeros((bits // SLICE, SLICE // 8), np.uint8)
+    for row in each.groupBy("slice").applyInPandas(build, "slice int, bits binary").collect():
+        out[row.slice] = np.frombuffer(bytes(row.bits), np.uint8)
+    return bits - 1, out.tobytes()
+
+
+def asking(docs: DataFrame, mask: int, bits: bytes) -> DataFrame:
+    """Of each text (own1, own2, its hash) the hashes of lines that the filter knows, 16 bytes each, if there are any. docs: own1, own2, text."""
+    held = docs.sparkSession.sparkContext.broadcast((mask, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, table = held.value[0], np.frombuffer(held.value[1], np.uint8)
+        for batch in batches:
+            rows, keys = [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                found = sorted({*line_hashes((text or "").encode().split(b"\n"))} - {b""})
+                pair = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+                known = np.ones(len(pair), bool)
+                for at in places(pair[:, 0], pair[:, 1], mask):
+                    known &= table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+                if known.any():
+                    rows.append(i)
+                    keys.append(pair[known].tobytes())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.binary())], names=["own1", "own2", "keys"])
 
+    return common.python(docs.select("own1", "own2", "text"), run, "own1 long, own2 long, keys binary")
 
-def drop_cold(near: DataFrame, counts: DataFrame, min_docs: int, shard_keys: int, keys: int, schema: str) -> DataFrame:
-    """Rarer keys: the hashes of the kept lines go to the shards, and what is found comes back by the text's own hash."""
+
+def with_rare(docs: DataFrame, counts: DataFrame, min_docs: int, shard_keys: int, keys: int, asked_rows: int = ASKED) -> DataFrame:
+    """docs (text as the last column) with the hashes of each text's rarer lines that go."""
     n = max(1, -(-keys // shard_keys))
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.withColumns({"__own1": F.xxhash64(text), "__own2": F.xxhash64(F.lit(1), text)})
+    texts = hashed.select(F.col("__own1").alias("own1"), F.col("__own2").alias("own2"), "text")
+    askers = common.stored(asking(texts, *bloom(counts, keys)).dropDuplicates(["own1", "own2"]), "askers")
+    size = askers.agg(F.sum(F.length("keys") / 16)).first()[0] or 0
+    copies = max(1, -(-int(size) // (n * asked_rows)))
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, first, second = [], [], []
-            for text in dict.fromkeys(batch.column(0).to_pylist()):
-                raw = (text or "").encode()
-                found = {*line_hashes(raw.split(b"\n"))} - {b""}
-                pair = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-                own += [xxhash.xxh3_128_digest(raw)] * len(found)
-                first.append(pair[:, 0])
-                second.append(pair[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (first, second))], names=["own", "first", "second"])
+            blobs = batch.column(2).to_pylist()
+            pair = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+            times = np.array([len(x) // 16 for x in blobs], np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(k).to_numpy(), times)) for k in (0, 1)), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["own1", "own2", "first", "second"])
 
-    asked = common.python(near.select("text"), exploded, "own binary, first long, second long").distinct().withColumn("shard", F.pmod("first", F.lit(n)))
+    asked = common.python(askers, exploded, "own1 long, own2 long, first long, second long").withColumns({"shard": F.pmod("first", F.lit(n)), "copy": F.pmod(F.xxhash64("own1"), F.lit(copies))})
+    built = shards(counts, n).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
     def look(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         first, second = left["first"].to_numpy().astype(np.uint64), left["second"].to_numpy().astype(np.uint64)
         hit = np.zeros(len(left), bool)
         for row in right.itertuples():
             hit |= Shard(row.levels, row.prints, row.counts).probe(first, second) >= min_docs
-        return left.loc[hit, ["own", "first", "second"]]
-
-    found = asked.groupBy("shard").cogroup(shards(counts, n).groupBy("shard")).applyInPandas(look, "own binary, first long, second long")
-    found = found.groupBy(F.col("own").alias("__own")).agg(F.collect_list(F.struct("first", "second")).alias("__gone"))
-    near = near.withColumn("__own", F.lit(None).cast("binary"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("text")
-            own = [xxhash.xxh3_128_digest((t or "").encode()) for t in batch.column(k).to_pylist()]
-            yield batch.set_column(batch.schema.get_field_index("__own"), "__own", pa.array(own, pa.binary()))
-
-    joined = common.python(near, hashed, schema + ", __own binary").join(found, "__own", "left").drop("__own")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, gone, n_dropped, out = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "__gone", "__n_dropped", "text"))
-            for i, (text, keys) in enumerate(zip(texts, gone)):
-                if keys:
-                    lost = {np.array([x["first"], x["second"]], np.int64).tobytes() for x in keys}
-                    lines = text.encode().split(b"\n")
-                    stay = [x for x, h in zip(lines, line_hashes(lines)) if h not in lost]
-                    out[i], n_dropped[i] = b"\n".join(stay).decode(), n_dropped[i] + len(lines) - len(stay)
-            batch = batch.drop_columns(["__gone"])
-            for name, values, kind in (("text", out, pa.string()), ("__n_dropped", n_dropped, pa.int64())):
-                batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
-            yield batch
-
-    return common.python(joined, run, schema)
+        left = left[hit]
+        pair = left[["first", "second"]].to_numpy(np.int64)
+        return pd.DataFrame({"own1": left["own1"], "own2": left["own2"], "key": [x.tobytes() for x in pair]})
+
+    found = asked.groupBy("shard", "copy").cogroup(built.groupBy("shard", "copy")).applyInPandas(look, "own1 long, own2 long, key binary")
+    found = found.groupBy(F.col("own1").alias("__own1"), F.col("own2").alias("__own2")).agg(F.concat_ws("", F.collect_list(F.hex("key"))).alias("__gone"))
+    frequent = common.hot_keys(hashed.groupBy("__own1", "__own2").agg(F.count("*").alias("n")), "n")
+    joined = common.spread_join(hashed.withColumn("__row", F.monotonically_increasing_id()), found, ["__own1", "__own2"], frequent, "__row", "left")
+    return joined.select(*docs.columns, F.unhex("__gone").alias("__gone"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,28 @@ def test_rarer_lines_of_a_table_with_other_columns(odd):
     assert {(r.own, r.gone) for r in found.collect()} == {("o", "g")}
 
 
+def test_unique_lines_stay_where_they_are(spark, monkeypatch):
+    """Of many lines, few of which go, only these and the filter's errors are asked for; copies of a text and shards are dealt."""
+    from clademill.llm import common, line_dedup
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    shared = [f"shared line {k}" for k in range(40)]
+    source = [(i, "\n".join([f"only {i} {k}" for k in range(20)] + [shared[(i + j) % 40] for j in range(2)])) for i in range(600)]
+    source += [(1000 + i, "a copy\n" + shared[0] + "\nof one text") for i in range(300)]
+    frame = spark.createDataFrame(source, "doc_id long, text string").repartition(8)
+    counts = line_dedup.key_counts(frame).where("docs >= 10")
+    mask, bits = line_dedup.bloom(counts, counts.count())
+    asked = line_dedup.asking(frame.select(F.xxhash64("text").alias("own1"), F.xxhash64(F.lit(1), "text").alias("own2"), "text"), mask, bits)
+    lines = asked.agg(F.sum(F.length("keys") / 16)).first()[0]
+    assert 600 * 2 + 300 * 3 <= lines <= 600 * 2 + 300 * 3 + 0.01 * 600 * 20
+    small = line_dedup.bloom(counts, 10**9, line_dedup.SLICE)
+    assert len(small[1]) == line_dedup.SLICE // 8
+    found = line_dedup.drop_lines(frame, 10, 3, 8)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in found.collect()), key=str) == dropped(source, 10)
+    more = line_dedup.with_rare(frame.select("doc_id", "text"), counts, 10, 8, counts.count(), 10)
+    assert {len(r[0] or b"") for r in more.select("__gone").collect()} == {32, 48}
+
+
 def test_perfect_hash():
     from clademill.llm.line_dedup import PerfectHash, Shard, build_shard
 
