@@ -3,7 +3,8 @@
 A text of plain Latin letters, digits and signs is split here, as the tokenizer's own steps would split it, and each word
 goes to the library's merges once in a while: a worker remembers the ids of its words. Any other text is cut into chunks
 at places where the tokenizers' patterns always end a match, so that the ids of the text are those of its chunks, one
-after another; what isn't plain in it goes through the library whole.
+after another; what isn't plain in it goes through the library whole. A text with the string of an added token goes to the
+library as it is, which gives that token, as its own call does by default.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ class Ids(dict):
         super().__init__()
         self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower() if by_word else t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.words, self.by_word = Words(self.tokenizer.model), by_word
         self.chunks = (WORD_CHUNK if by_word else BYTE_CHUNK).findall
         self.split = (WORD_WORD if by_word else BYTE_WORD).findall
@@ -107,6 +108,8 @@ class Ids(dict):
         for held_ in (self, self.words):
             if len(held_) > self.remembered:
                 held_.clear()
+        if any(map((text.lower() if self.by_word else text).__contains__, self.added)):
+            return self.whole(text)
         out = self.plain(text)
         if out is not None:
             return out

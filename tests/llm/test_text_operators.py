@@ -48,12 +48,14 @@ def u32(ids):
 
 
 def test_word_ids_are_the_librarys(texts):
+    from tokenizers import Tokenizer
+
     from clademill.llm import tokens
 
-    more = [*texts.values(), *(t or "" for _, t in ODD), "It's WE'LL a\xa0b  c\n\n d\t e²3½ <|endoftext|>", "İstanbul ǅ ﬁ ﷺ ẞ Σς", "'s'S 1 22", "  \n ", "\x7f\x80"]
+    more = [*texts.values(), *(t or "" for _, t in ODD), "It's WE'LL a\xa0b  c\n\n d\t e²3½ <|endoftext|>", "end <|endoftext|> of <|ENDOFTEXT|>x<|startoftext|>", "İstanbul ǅ ﬁ ﷺ ẞ Σς", "'s'S 1 22", "  \n ", "\x7f\x80"]
     for name, by_word in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
-        ids = tokens.Ids(P.path(name), by_word)
-        assert all(ids.text(t) == ids.whole(t) for t in more)
+        ids, own = tokens.Ids(P.path(name), by_word), Tokenizer.from_file(P.path(name))
+        assert all(ids.text(t) == u32(own.encode(t, add_special_tokens=False).ids) for t in more)
 
 
 def plan_is_sound(rows, capacity):
@@ -128,6 +130,27 @@ def test_byte_bpe(spark, docs, odd, none, texts):
     assert byte_bpe.encode(none, path).count() == 0
 
 
+def test_byte_bpe_without_blanks():
+    """Joins inside one match: windows of tokens, never the whole text."""
+    import time
+
+    from clademill.llm import byte_bpe
+
+    codec = byte_bpe.held(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = np.random.default_rng(5)
+    pieces = ["中文字", "'s", "'", "1", "23", ".", "é", "the", " word", "aaaa", "。", "Ж", "ا", "=", "😀", "ll", "  "]
+    for t in range(3000):
+        text = "".join(rng.choice(pieces, int(rng.integers(2, 40)))) if t % 3 == 0 else "".join(rng.choice(list("abcdeiorst"), int(rng.integers(2, 900)))) if t % 3 == 1 else str(rng.choice(["a", "ab", "中", "1", "=", " the", ".-"])) * int(rng.integers(2, 500))
+        k = int(rng.integers(0, len(text) + 1))
+        assert list(codec.join(text[:k], codec.leaf(text[:k]), text[k:], codec.leaf(text[k:]))) == codec.own.encode_ordinary(text)
+    for text in ("".join(map(chr, rng.integers(0x4E00, 0x9FA5, 1_000_000))), "".join(rng.choice(list("abcdefghij"), 1_000_000)), "".join(rng.choice(list("ABCabc0123456789+/"), 1_000_000)), "a" * 300_000):
+        begin = time.perf_counter()
+        plain = codec.own.encode_ordinary(text)
+        middle = time.perf_counter()
+        assert list(codec.encode(text)) == plain
+        assert time.perf_counter() - middle < 4 * (middle - begin) + 1
+
+
 def dropped(source, least):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").encode().lower()
     count = collections.Counter(k for _, t in source for k in {key(x) for x in (t or "").split("\n")} if k)
