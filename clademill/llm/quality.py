@@ -26,6 +26,8 @@ from . import common
 
 SIZES, BITS, SAMPLE, SMOOTH, C, EPOCHS, FOLDS, SEED = (2, 3, 4), 18, 4000, 1.0, 1.0, 20, 4, 11
 SLOTS, CUT = 1 << BITS, 0.3
+#: A row of the sample comes to the driver as slots or, if it has many, as a bitmap: 32 KB at most, however long its text.
+BITMAP = SLOTS // 8
 
 
 def indicators(text: str | None, seen: np.ndarray) -> np.ndarray:
@@ -50,30 +52,49 @@ def ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
 
 
 def descend(rows: list[np.ndarray], good: np.ndarray, ratio: np.ndarray, c: float = C, epochs: int = EPOCHS, seed: int = SEED) -> np.ndarray:
-    """Weights of the squared hinge loss by dual coordinate descent. Each label has the same weight in all."""
+    """Weights of the hinge loss by dual coordinate descent. Each label has the same weight in all."""
     y = np.where(good, 1.0, -1.0)
     values = [r / (np.linalg.norm(r) or 1.0) if (r := ratio[own]).size else r for own in rows]
-    cost = c * np.where(good, len(good) / 2 / max(good.sum(), 1), len(good) / 2 / max((~good).sum(), 1))
-    extra = 0.5 / cost
+    square = [float(x @ x) for x in values]
+    cost = costs(good, c)
     w, alpha, rng = np.zeros(SLOTS), np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         largest = 0.0
         for i in rng.permutation(len(rows)).tolist():
             own, x = rows[i], values[i]
-            if not own.size:
+            if not square[i]:
                 continue
-            slope = y[i] * float(w[own] @ x) - 1 + extra[i] * alpha[i]
-            if alpha[i] == 0 and slope >= 0:
-                continue
-            new = max(alpha[i] - slope / (1 + extra[i]), 0.0)
-            w[own] += (new - alpha[i]) * y[i] * x
-            alpha[i] = new
-            largest = max(largest, abs(slope))
-        if largest < 1e-2:
+            slope = y[i] * float(w[own] @ x) - 1
+            new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
+            if new != alpha[i]:
+                largest = max(largest, abs(new - alpha[i]))
+                w[own] += (new - alpha[i]) * y[i] * x
+                alpha[i] = new
+        if largest < 1e-3:
             break
     return w
 
 
+def costs(good: np.ndarray, c: float = C) -> np.ndarray:
+    """What one unit of each row's hinge loss costs."""
+    return c * np.where(good, len(good) / 2 / max(good.sum(), 1), len(good) / 2 / max((~good).sum(), 1))
+
+
+def packed(own: np.ndarray) -> bytes:
+    """Ascending slots, or a bitmap of them if that is shorter."""
+    if own.nbytes < BITMAP:
+        return own.tobytes()
+    bits = np.zeros(SLOTS, np.uint8)
+    bits[own] = 1
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    if len(blob) < BITMAP:
+        return np.frombuffer(blob, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8))).astype(np.int32)
+
+
 def curve(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve of largest likelihood, with softened labels."""
     n, m = good.sum(), (~good).sum()
@@ -132,14 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SLOTS, bool)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([indicators(t, seen).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["quality", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packed(indicators(t, seen)) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "quality", "slots"])
 
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
-    found = common.python(known, run, "quality int, slots binary").limit(2 * sample).collect()
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    # one row for each id and label, whatever rows repeat: `sample` at most
+    found = common.python(known, run, "doc_id long, quality int, slots binary").groupBy("doc_id", "quality").agg(F.min("slots").alias("slots")).collect()
     chosen.unpersist()
     found.sort(key=lambda r: (bytes(r.slots), r.quality))
     np.random.default_rng(SEED).shuffle(found)
-    return Model.fit([np.frombuffer(bytes(r.slots), np.int32) for r in found], np.array([r.quality == 1 for r in found], bool))
+    return Model.fit([unpacked(bytes(r.slots)) for r in found], np.array([r.quality == 1 for r in found], bool))
 
 
 def scored(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
