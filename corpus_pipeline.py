@@ -2,6 +2,12 @@
 
 Each stage takes the documents that its predecessor kept and returns documents with the same columns; the last one
 returns the pieces that fill training sequences. Stages are written as Parquet to the shared folder in between.
+
+Null and empty texts have too few words for the quality rules and go there. Documents that line dedup empties have no word
+left, so they are near none and stay, copies of one another included, as one end id each. Of rows with one id and one text
+one stays, that with the least hash of its columns; rows with one id and different texts are documents of their own. Ties:
+the least doc_id of a class stays, a null id counting last. An empty table, or one from which the rules take all, gives an
+empty result. Columns beyond those of documents stay as they are until packing, whatever their names.
 """
 
 from __future__ import annotations
