@@ -110,3 +110,8 @@ def without_errors(table: DataFrame, flags: Sequence[str]) -> DataFrame:
     for name in flags:
         ok = ok & (~F.col(name).cast("boolean"))
     return table.where(ok)
+
+
+def drawn(chosen: DataFrame, members: DataFrame, genes: DataFrame, group: str = "OGid", gene: str = "gnid") -> DataFrame:
+    """Every gene, with the groups that it is in and what the chosen groups have beside; null where there is none."""
+    return chosen.join(members, group, "right").join(genes, gene, "right")

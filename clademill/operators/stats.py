@@ -83,3 +83,16 @@ def principal_components(df: DataFrame, row: str, column: str, k: int = 2) -> Da
     coordinates *= np.sign(coordinates[np.abs(coordinates).argmax(0), np.arange(len(first))] + 1e-300)
     kind = dict(df.dtypes)[row]
     return df.sparkSession.createDataFrame([(n, *map(float, c)) for n, c in zip(names, coordinates)], f"`{row}` {kind}, " + ", ".join(f"pc{i + 1} double" for i in range(len(first))))
+
+
+def extreme_counts(df: DataFrame, keys: list[str], value: str, conditions: dict[str, Column]) -> DataFrame:
+    """How many groups meet each condition on their least (low) and greatest (high) value, and how many there are."""
+    own = df.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return own.agg(F.count("*").alias("groups"), *(F.count_if(c).alias(name) for name, c in conditions.items()))
+
+
+def with_attributes(ranked: DataFrame, key: str, *attributes: DataFrame) -> DataFrame:
+    """A ranking with what other tables know of its keys; what they don't know is null."""
+    for table in attributes:
+        ranked = ranked.join(table, key, "left")
+    return ranked

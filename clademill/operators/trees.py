@@ -58,6 +58,11 @@ def contrasts(tree: Node, values: dict[str, np.ndarray]) -> tuple[np.ndarray, li
     return visit(tree)[0], out
 
 
+def _mean(values: list[tuple[float, int]]) -> float | None:
+    """Of values and how often they occur."""
+    return float(np.average([x for x, _ in values], weights=[n for _, n in values])) if values else None
+
+
 def clades(tree: Node) -> dict[frozenset, Node]:
     return {frozenset(n.names()): n for n in tree.postorder() if n.children}
 
@@ -74,34 +79,42 @@ def clade_counts(trees: DataFrame, newick: str = "newick") -> DataFrame:
     return trees.select(newick).mapInPandas(split, "clade array<string>").groupBy("clade").agg(F.count("*").alias("n"))
 
 
-def consensus(trees: list[Node], cutoff: float = 0.5) -> Node:
-    """The clades in at least a share `cutoff` of the trees, most frequent first, as long as they fit what stands.
+def table_consensus(trees: DataFrame, newick: str = "newick", cutoff: float = 0.5) -> Node:
+    """consensus() of a table of trees. Equal texts are counted where they are; each different one reaches the driver once."""
+    rows = trees.groupBy(newick).agg(F.count("*").alias("n")).orderBy(newick).collect()
+    return consensus([parse(r[newick]) for r in rows], cutoff, [r.n for r in rows])
+
+
+def consensus(trees: list[Node], cutoff: float = 0.5, times: list[int] | None = None) -> Node:
+    """The clades in at least a share `cutoff` of the trees (each one counting `times`), most frequent first, as long as they fit what stands.
 
     Supports are shares; a length is the mean over the trees that show the clade, a tip's over the trees that show all
     clades beside it.
     """
-    shown = [clades(t) for t in trees]
-    counts = Counter(c for s in shown for c in s)
+    shown, times = [clades(t) for t in trees], times or [1] * len(trees)
+    total, counts = sum(times), Counter()
+    for s, n in zip(shown, times):
+        counts.update(dict.fromkeys(s, n))
     order = sorted(counts, key=lambda c: (-counts[c], -len(c), sorted(c)))
     every = max(counts, key=len)
     kept = [every]
     for clade in order:
         if clade == every:
             continue
-        if counts[clade] / len(trees) < cutoff:
+        if counts[clade] / total < cutoff:
             break
         if all(clade <= k or k <= clade or not clade & k for k in kept):
             kept.append(clade)
-    nodes = {c: Node(support=counts[c] / len(trees)) for c in kept}
+    nodes = {c: Node(support=counts[c] / total) for c in kept}
     for clade in kept[1:]:
-        lengths = [s[clade].length for s in shown if clade in s and s[clade].length is not None]
-        nodes[clade].length = float(np.mean(lengths)) if lengths else None
+        lengths = [(s[clade].length, n) for s, n in zip(shown, times) if clade in s and s[clade].length is not None]
+        nodes[clade].length = _mean(lengths)
         nodes[min((k for k in kept if clade < k), key=len)].children.append(nodes[clade])
     lengths_of = [{t.name: t.length for t in tree.tips()} for tree in trees]
     for name in sorted(every):
         home = min((k for k in kept if name in k), key=len)
         beside = [k for k in kept if k < home and not any(k < o < home for o in kept)]
-        lengths = [x[name] for x, s in zip(lengths_of, shown) if x[name] is not None and all(k in s for k in beside)]
-        nodes[home].children.append(Node(name, float(np.mean(lengths)) if lengths else None))
+        lengths = [(x[name], n) for x, s, n in zip(lengths_of, shown, times) if x[name] is not None and all(k in s for k in beside)]
+        nodes[home].children.append(Node(name, _mean(lengths)))
     nodes[every].support = None
     return nodes[every]

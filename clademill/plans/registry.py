@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademill.plans import alignment_queries, graph_queries, model_queries, table_queries
+from clademill.plans import alignment_queries, file_queries, graph_queries, model_queries, table_queries
 
 flagship = graph_queries.hit_components
-PARTS = (graph_queries, table_queries, alignment_queries, model_queries)
+PARTS = (graph_queries, table_queries, alignment_queries, model_queries, file_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

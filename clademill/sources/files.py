@@ -55,6 +55,16 @@ def read_table(spark: SparkSession, path: str, schema: str, comment: str | None
     return (reader.option("comment", comment) if comment else reader).schema(schema).csv(path)
 
 
+def write_table(table: DataFrame, path: str) -> None:
+    """Tab-separated rows with a header, which read_table() reads again."""
+    table.write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+
+
+def listed(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """path and length of the files below a folder whose names end in suffix."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+
 def read_pairs(spark: SparkSession, root: str, schema: str, genomes: list[str] | None = None) -> DataFrame:
     """Rows of a folder tree qspid=/sspid=, of the genomes named; pairs of a genome with itself stay out."""
     table = spark.read.schema(schema).parquet(root).where("qspid <> sspid")
@@ -62,7 +72,14 @@ def read_pairs(spark: SparkSession, root: str, schema: str, genomes: list[str] |
 
 
 def write_pairs(table: DataFrame, root: str) -> None:
-    table.write.partitionBy("qspid", "sspid").parquet(root)
+    """One folder for each pair of genomes."""
+    table.repartition("qspid", "sspid").write.partitionBy("qspid", "sspid").parquet(root)
+
+
+def remaining(pairs: DataFrame, root: str) -> DataFrame:
+    """The pairs (qspid, sspid) that have no folder below root yet: what a run that was broken off has still to do."""
+    done = listed(pairs.sparkSession, root, ".parquet").select(*(F.regexp_extract("path", r"qspid=([^/]*)/sspid=([^/]*)/", k).alias(c) for k, c in ((1, "qspid"), (2, "sspid"))))
+    return pairs.join(done.distinct(), ["qspid", "sspid"], "left_anti")
 
 
 def adjacency(lines: DataFrame, text: str = "value") -> DataFrame:

@@ -125,6 +125,6 @@ def rooted_at(tree: Node, outgroup: str) -> Node:
 
 
 def ordered(tree: Node) -> Node:
-    """Children by number of tips, then by least tip name."""
-    tree.children = sorted(map(ordered, tree.children), key=lambda c: (len(c.tips()), min(c.names())))
+    """Children by number of tips, then by the names of their tips, in their own order, joined."""
+    tree.children = sorted(map(ordered, tree.children), key=lambda c: (len(c.tips()), "".join(c.names())))
     return tree
