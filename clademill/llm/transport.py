@@ -135,23 +135,24 @@ def places(raw: np.ndarray) -> tuple[np.ndarray, int]:
         """Whether the sync byte stands here and at the next two packets, as far as the stream goes."""
         return p + PACKET <= len(raw) and all(raw[q] == SYNC for q in (p, p + PACKET, p + 2 * PACKET) if q < len(raw))
 
-    while at + PACKET <= len(raw):
+    while at < len(raw):
         good = raw[at::PACKET] == SYNC
-        run = len(good) if good.all() else int(good.argmin())
-        run = min(run, (len(raw) - at) // PACKET)
+        run = min(len(good) if good.all() else int(good.argmin()), (len(raw) - at) // PACKET)
         found += range(at, at + run * PACKET, PACKET)
         at += run * PACKET
-        if at + PACKET > len(raw):
+        if at == len(raw):
             break
         lost += 1
+        if raw[at] == SYNC:  # the last packet is cut
+            break
         if steady(at + PACKET):  # one packet without its sync byte
             at += PACKET
             continue
         later = syncs[np.searchsorted(syncs, at - PACKET + 1 if found else at) :].tolist()
         at = next((p for p in later if steady(p)), len(raw))
-        if found and run and (at - found[-1]) % PACKET:
+        if found and run and at < len(raw) and (at - found[-1]) % PACKET:
             found.pop()  # bytes are missing or added in it
-    return np.array(found, np.int64), lost + (at < len(raw))
+    return np.array(found, np.int64), lost
 
 
 def sections(packets: list[tuple[bool, bytes]], report: Report) -> Iterator[tuple[int, bytes]]:
