@@ -113,21 +113,59 @@ def four_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.select("a", "b", "c", "d")
 
 
-def _clusters(k: int, **options):
+def reach_sql(name: str, nodes: str, links: str) -> str:
+    """CTE name(node, comp): the least node that each node reaches. links: src, dst in both directions."""
+    return f"""{name}(node, comp) USING KEY (node) AS (SELECT node, node FROM {nodes} UNION
+SELECT l.dst, min(u.comp) FROM {name} u JOIN {links} l ON u.node = l.src JOIN recurring.{name} o ON o.node = l.dst WHERE u.comp < o.comp GROUP BY l.dst)"""
+
+
+THREE_SQL = SCORES_SQL + """, top AS (SELECT * FROM ranked WHERE r <= 3),
+edges AS MATERIALIZED (SELECT a.src, a.dst FROM top a JOIN top b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst),
+ways AS MATERIALIZED (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), nodes AS (SELECT DISTINCT src AS node FROM ways), """ + reach_sql("parts", "nodes", "ways")
+
+
+def clique_sql(k: int) -> str:
+    """CTEs c{k} (the k-cliques as lists m) and k{k} (component_id, cluster, src, dst)."""
+    grown = [f"c{n} AS MATERIALIZED (SELECT m || [e.dst] AS m FROM c{n - 1} JOIN edges e ON e.src = m[{n - 1}] WHERE (SELECT count(*) FROM edges f WHERE f.dst = e.dst AND list_contains(m, f.src)) = {n - 1})" for n in range(3, k + 1)]
+    return ", ".join(["c2 AS MATERIALIZED (SELECT [src, dst] AS m FROM edges)", *grown]) + f""",
+face{k} AS MATERIALIZED (SELECT m, list_filter(m, lambda x: x <> d) AS f FROM (SELECT m, unnest(m) AS d FROM c{k})),
+next{k} AS MATERIALIZED (SELECT DISTINCT x.m AS src, y.m AS dst FROM face{k} x JOIN face{k} y USING (f) WHERE x.m <> y.m), own{k} AS (SELECT m AS node FROM c{k}), {reach_sql(f"same{k}", f"own{k}", f"next{k}")},
+k{k} AS (SELECT DISTINCT p.comp::VARCHAR AS component_id, s.comp AS cluster, e.src, e.dst FROM same{k} s JOIN edges e ON list_contains(s.node, e.src) AND list_contains(s.node, e.dst) JOIN parts p ON p.node = e.src)"""
+
+
+def core_sql(k: int, rounds: int = 40) -> str:
+    """CTE core (component_id, cluster, src, dst): the connected parts of what is left when nodes of fewer than k neighbours go, round by round."""
+    left = ["left0 AS MATERIALIZED (SELECT src, dst FROM ways)"]
+    for n in range(1, rounds + 1):
+        left.append(f"keep{n} AS MATERIALIZED (SELECT src FROM left{n - 1} GROUP BY src HAVING count(*) >= {k}), left{n} AS MATERIALIZED (SELECT src, dst FROM left{n - 1} WHERE src IN (FROM keep{n}) AND dst IN (FROM keep{n}))")
+    return ", ".join(left) + f""", inner_nodes AS (SELECT DISTINCT src AS node FROM left{rounds}), {reach_sql("cores", "inner_nodes", f"left{rounds}")},
+core AS (SELECT p.comp::VARCHAR AS component_id, c.comp AS cluster, l.src, l.dst FROM left{rounds} l JOIN cores c ON c.node = l.src JOIN parts p ON p.node = l.src WHERE l.src < l.dst)"""
+
+
+def ids_sql(name: str, of: str) -> str:
+    """CTE name(component_id, cluster, OGid): clusters by number of edges, then by their sorted ends, both descending."""
+    return f"""{name} AS (SELECT component_id, cluster, lpad(upper(to_hex(row_number() OVER (ORDER BY n DESC, ends DESC) - 1)), 4, '0') AS OGid
+FROM (SELECT component_id, cluster, count(*) AS n, list_sort(flatten(list([src, dst]))) AS ends FROM {of} GROUP BY 1, 2))"""
+
+
+def _clusters(name: str, k: int, sql: str, of: str, algorithm: str, **options) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = graphs.cluster_ids(stored(graphs.clique_clusters(mutual_three(spark, sf_dir), k, **options), "clusters"))
         return found.select("component_id", "OGid", "algorithm", "src", "dst")
 
-    return f
+    QUERIES[name] = f
+    SQL[name] = f"WITH RECURSIVE {THREE_SQL}, {sql}, {ids_sql('ids', of)} SELECT component_id, OGid, '{algorithm}' AS algorithm, src, dst FROM {of} JOIN ids USING (component_id, cluster)"
 
 
-QUERIES["clique_clusters_3"] = _clusters(3)
-QUERIES["clique_clusters_4"] = _clusters(4)
-QUERIES["clique_clusters_5"] = _clusters(5)
-QUERIES["core_clusters_4"] = _clusters(4, budget=0)
+for _k in (3, 4, 5):
+    _clusters(f"clique_clusters_{_k}", _k, clique_sql(_k), f"k{_k}", f"{_k}clique")
+_clusters("core_clusters_4", 4, core_sql(4), "core", "4core", budget=0)
+_clusters("named_core_clusters_6", 6, core_sql(6), "core", "6core", core_components=("0", "1", "2", "3"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {THREE_SQL}, {clique_sql(4)}, size AS (SELECT comp::VARCHAR AS component_id, count(*) AS size FROM parts GROUP BY 1),
+inside AS (SELECT DISTINCT component_id, cluster, unnest([src, dst]) AS node FROM k4), g AS (SELECT component_id, count(DISTINCT cluster) AS groups, count(DISTINCT node) AS inside, count(*) AS places FROM inside GROUP BY 1)
+SELECT component_id, CASE WHEN groups IS NULL THEN 0 WHEN groups = 1 THEN CASE WHEN inside = size THEN 1 ELSE 2 END WHEN places > inside THEN 4 ELSE 3 END AS type FROM size LEFT JOIN g USING (component_id)""")
 def cluster_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = mutual_three(spark, sf_dir)
     found = stored(graphs.clique_clusters(edges, 4), "clusters").withColumn("OGid", F.col("cluster"))
@@ -136,14 +174,20 @@ def cluster_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.component_types(members, nodes)
 
 
-@query()
+@query(f"""WITH RECURSIVE {THREE_SQL}, {clique_sql(4)}, face3 AS MATERIALIZED (SELECT m, list_filter(m, lambda x: x <> d) AS f FROM (SELECT m, unnest(m) AS d FROM c3)),
+next3 AS MATERIALIZED (SELECT DISTINCT x.m AS src, y.m AS dst FROM face3 x JOIN face3 y USING (f) WHERE x.m <> y.m), own3 AS (SELECT m AS node FROM c3), {reach_sql("same3", "own3", "next3")},
+k3 AS (SELECT DISTINCT p.comp::VARCHAR AS component_id, s.comp AS cluster, e.src, e.dst FROM same3 s JOIN edges e ON list_contains(s.node, e.src) AND list_contains(s.node, e.dst) JOIN parts p ON p.node = e.src),
+{ids_sql("ids3", "k3")}, {ids_sql("ids4", "k4")},
+child AS (SELECT DISTINCT component_id || '/' || OGid AS cluster, unnest([src, dst]) AS node FROM k4 JOIN ids4 USING (component_id, cluster)), parent AS (SELECT DISTINCT component_id || '/' || OGid AS cluster, unnest([src, dst]) AS node FROM k3 JOIN ids3 USING (component_id, cluster)),
+n AS (SELECT cluster, count(*) AS n FROM child GROUP BY 1), x AS (SELECT c.cluster AS child, p.cluster AS parent, count(*) AS common FROM child c JOIN parent p USING (node) GROUP BY 1, 2),
+i AS (SELECT child, n, min(parent) AS parent FROM x JOIN n ON cluster = child WHERE common = n GROUP BY 1, 2)
+SELECT child, parent, row_number() OVER (PARTITION BY parent ORDER BY n DESC, child) = 1 AS heir FROM i""")
 def cluster_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = stored(mutual_three(spark, sf_dir), "edges")
 
     def nodes(k: int) -> DataFrame:
-        found = stored(graphs.clique_clusters(edges, k), "clusters")
-        name = F.concat_ws("/", "component_id", F.lpad(F.col("cluster").cast("string"), 6, "0"))
-        return found.select(name.alias("cluster"), F.explode(F.array("src", "dst")).alias("node")).distinct()
+        found = graphs.cluster_ids(stored(graphs.clique_clusters(edges, k), "clusters"))
+        return found.select(F.concat_ws("/", "component_id", "OGid").alias("cluster"), F.explode(F.array("src", "dst")).alias("node")).distinct()
 
     return graphs.lineage(nodes(4), nodes(3))
 
@@ -174,7 +218,11 @@ def overlap_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.overlap_graph(lines(spark, sf_dir), "OGid", "gnid")
 
 
-@query()
+@query(f"""WITH RECURSIVE own AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem), sizes AS (SELECT g, count(*) AS n FROM own GROUP BY g),
+pairs AS MATERIALIZED (SELECT c.g AS src, c.h AS dst FROM (SELECT a.g, b.g AS h, count(*) AS common FROM own a JOIN own b ON a.i = b.i AND a.g < b.g GROUP BY 1, 2) c JOIN sizes s ON s.g = c.g JOIN sizes t ON t.g = c.h WHERE common >= 0.5 * least(s.n, t.n)),
+ways AS MATERIALIZED (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs), nodes AS (SELECT g AS node FROM sizes), {reach_sql("parts", "nodes", "ways")},
+size AS (SELECT comp, count(*) AS n FROM parts GROUP BY 1), ids AS (SELECT comp, lpad(upper(to_hex(row_number() OVER (ORDER BY n DESC, comp DESC) - 1)), 4, '0') AS GGid FROM size)
+SELECT GGid, node AS OGid FROM parts JOIN ids USING (comp)""")
 def gene_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = lines(spark, sf_dir)
     whole = graphs.groups_with_singletons(sets.select("OGid"), graphs.overlap_graph(sets, "OGid", "gnid"), "OGid")
