@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from clademill.functions.special import geometric_threshold
 from clademill.operators import hmm, msa, regions, trees
-from clademill.plans.inputs import profile, symbols
+from clademill.plans import tree_sql
+from clademill.plans.inputs import profile, symbols, table
 from clademill.sources import newick
 from clademill.storage import stored
 
@@ -18,20 +21,82 @@ TREE = "(((1:1,2:1):0.5,(3:1,4:0.8):0.6):0.7,((5:0.9,6:1.1):0.4,7:1.2):0.3);"
 PARAMS = {"q0": 0.6, "q1": 0.9, "pi": 0.7, "p0": 0.02, "p1": 0.05, "pinv": 0.2, "alpha": 0.8}
 
 
-def query(f):
+def query(f, sql: str | None = None):
+    if isinstance(f, str):
+        return lambda g: query(g, f)
     QUERIES[f.__name__] = f
+    if sql:
+        SQL[f.__name__] = sql
     return f
 
 
-@query
+# A tree of three or four tips for each part, with lengths from its numbers.
+LENGTHS_SQL = "t AS (SELECT p_partkey AS k, p_size AS x, p_partkey % 7 + 1 AS y, p_partkey % 5 + 1 AS z, p_partkey % 11 + 1 AS w, p_partkey % 4 AS b, p_size % 3 AS a, sqrt(p_retailprice) AS c FROM part)"
+
+
+def _trees(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    """tree_id and newick of each part's tree, with the part's row."""
+    p = table(spark, sf_dir, "part").withColumns({"x": F.col("p_size"), "y": F.col("p_partkey") % 7 + 1, "z": F.col("p_partkey") % 5 + 1, "w": F.col("p_partkey") % 11 + 1})
+    return p.withColumn("newick", F.format_string(form, "x", "y", "z", "w"))
+
+
+@query(f"""WITH {LENGTHS_SQL}, u AS (SELECT *, z + x * y / (x + y)::DOUBLE AS v FROM t), r AS (SELECT *, (1 / v) / (1 / v + 1 / w) AS share FROM u)
+SELECT k AS p_partkey, tip, round(CASE tip WHEN 'A' THEN share * y / (x + y) WHEN 'B' THEN share * x / (x + y) ELSE 1 - share END, 12) AS weight FROM r, (SELECT unnest(['A', 'B', 'C']) AS tip)""")
 def tree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = trees.brownian_weights(newick.parse(TREE))
-    return spark.createDataFrame([(int(k), v) for k, v in weights.items()], "tip int, weight double")
+    """Each tip's weight in the root value of its tree."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(k, tip, w) for k, text in zip(frame["p_partkey"], frame["newick"]) for tip, w in trees.brownian_weights(newick.parse(text)).items()]
+            yield pd.DataFrame(found, columns=["p_partkey", "tip", "weight"])
 
-@query
+    own = _trees(spark, sf_dir, "((A:%1$s,B:%2$s):%3$s,C:%4$s);").select("p_partkey", "newick").mapInPandas(run, "p_partkey long, tip string, weight double")
+    return own.withColumn("weight", F.round("weight", 12))
+
+
+@query(f"""WITH {LENGTHS_SQL}, u AS (SELECT *, z + x * y / (x + y)::DOUBLE AS v, (a * y + b * x) / (x + y)::DOUBLE AS ab FROM t)
+SELECT k AS p_partkey, round((ab * w + c * v) / (v + w), 6) AS root, round((a - b) / sqrt(x + y), 6) AS first, round((ab - c) / sqrt(v + w), 6) AS second FROM u""")
+def tree_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root value and independent contrasts of a trait on each tree."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                root, (first, second) = trees.contrasts(newick.parse(row.newick), {"A": row.p_size % 3, "B": row.p_partkey % 4, "C": row.p_retailprice**0.5})
+                out.append((row.p_partkey, float(root), float(first), float(second)))
+            yield pd.DataFrame(out, columns=["p_partkey", "root", "first", "second"])
+
+    own = _trees(spark, sf_dir, "((A:%1$s,B:%2$s):%3$s,C:%4$s);").select("p_partkey", "p_size", "p_retailprice", "newick")
+    found = own.mapInPandas(run, "p_partkey long, root double, first double, second double")
+    return found.select("p_partkey", *(F.round(c, 6).alias(c) for c in ("root", "first", "second")))
+
+
+@query(f"""WITH {LENGTHS_SQL} SELECT k::VARCHAR AS tree_id, i AS node_id, CASE i WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 4 END AS parent_id, CASE i WHEN 0 THEN 'A' WHEN 1 THEN 'B b' WHEN 3 THEN 'C' END AS name,
+CASE i WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN z WHEN 3 THEN w END::DOUBLE AS length, CASE i WHEN 2 THEN 0.75 END::DOUBLE AS support FROM t, range(5) r(i)""")
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(newick.rows("species", newick.parse(TREE)), "tree_id string, node_id int, parent_id int, name string, length double, support double")
+    """Newick text written again and read as a table of nodes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [r for k, text in zip(frame["p_partkey"], frame["newick"]) for r in newick.rows(str(k), newick.parse(newick.write(newick.parse(text))))]
+            own = pd.DataFrame(out, columns=["tree_id", "node_id", "parent_id", "name", "length", "support"])
+            yield own.astype({"parent_id": "Int64"})
+
+    own = _trees(spark, sf_dir, "((A:%1$s,'B b':%2$s)0.75:%3$s,C:%4$s);").select("p_partkey", "newick")
+    return own.mapInPandas(run, "tree_id string, node_id long, parent_id long, name string, length double, support double")
+
+
+@query(f"""WITH {LENGTHS_SQL} SELECT k AS p_partkey, CASE WHEN k % 2 = 0 THEN '(A:' || x || '.0,B:' || y || '.0,C:' || z + w || '.0);' ELSE '(A:' || x || '.0,B:' || y || '.0,(C:' || w || '.0,D:3.0):' || z || '.0);' END AS text FROM t""")
+def rerooted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees with the parent of one tip as root, children in their order; a root of two children goes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"p_partkey": frame["p_partkey"], "text": [newick.write(newick.ordered(newick.rooted_at(newick.parse(t), "A"))) for t in frame["newick"]]})
+
+    two, three = (_trees(spark, sf_dir, form).select("p_partkey", "newick") for form in ("(C:%4$s,(B:%2$s,A:%1$s):%3$s);", "((B:%2$s,A:%1$s):%3$s,D:3,C:%4$s);"))
+    return two.where("p_partkey % 2 = 0").union(three.where("p_partkey % 2 = 1")).mapInPandas(run, "p_partkey long, text string")
 
 
 def _tips(part: pd.DataFrame) -> tuple[newick.Node, dict[str, np.ndarray], int]:
@@ -45,7 +110,7 @@ def _tips(part: pd.DataFrame) -> tuple[newick.Node, dict[str, np.ndarray], int]:
     return newick.pruned(newick.parse(TREE), set(tips)), tips, n
 
 
-@query
+@query(tree_sql.contrasts_sql())
 def gap_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each alignment, genes, columns, mean length, the summed size of the contrasts of its gap pattern on the tree, its norms,
     and the sums by contrast where no species is missing."""
@@ -57,7 +122,9 @@ def gap_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame([{**out, "sums": found.sum(1).tolist() if len(tips) == 7 else None}])
 
     found = symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, gnidnum int, len1 int, len2 double, total double, sums array<double>")
-    return regions.contrast_norms(found)
+    found = regions.contrast_norms(found)
+    whole = [F.round(F.col("sums")[k], 6).alias(f"c{k + 1}") for k in range(6)]
+    return found.select("OGid", "gnidnum", "len1", *(F.round(c, 6).alias(c) for c in ("len2", "total", "norm1", "norm2")), *whole)
 
 
 def _decoded(part: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -70,7 +137,7 @@ def _decoded(part: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return hmm.Chain(np.array([0.6, 0.2, 0.2]), move, emit).posterior(), tips
 
 
-@query
+@query(tree_sql.insertion_sql())
 def insertion_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior of three states at each column of each alignment."""
 
@@ -78,7 +145,7 @@ def insertion_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         posterior, _ = _decoded(part)
         return pd.DataFrame({"OGid": part["OGid"].iloc[0], "pos": np.arange(len(posterior)), "p1": posterior[:, 0], "p2": posterior[:, 1], "p3": posterior[:, 2]})
 
-    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, pos int, p1 double, p2 double, p3 double").select("OGid", "pos", *(F.round(c, 9).alias(c) for c in ("p1", "p2", "p3")))
+    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, pos int, p1 double, p2 double, p3 double").select("OGid", "pos", *(F.round(c, 6).alias(c) for c in ("p1", "p2", "p3")))
 
 
 def _weights(tips: dict[str, np.ndarray]) -> np.ndarray:
@@ -107,7 +174,7 @@ def insertion_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.trim_ratios(found)
 
 
-@query
+@query(tree_sql.hidden_sql())
 def hidden_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each row that looks missing somewhere: its likely residues there, as 0 and 1."""
 
@@ -156,7 +223,7 @@ def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, k int, x double")
 
 
-@query
+@query(tree_sql.missing_sql())
 def missing_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each row that look missing: runs where its gaps are unlikely given the other rows."""
 
@@ -170,14 +237,11 @@ def missing_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def profile_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transition counts of each profile's gap states, summed, and the chain that they estimate."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        states = part.sort_values("pos")["gap"].to_numpy()
-        counts = hmm.transition_counts(states, 2)
-        return pd.DataFrame([(a, b, int(counts[a, b])) for a in (0, 1) for b in (0, 1)], columns=["before", "after", "n"])
-
-    return profile(spark, sf_dir).groupBy("OGid").applyInPandas(run, "before int, after int, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
+    """Transition counts of the profiles' gap states, which estimate a chain; moves that never occur count 0."""
+    before = F.lag("gap").over(Window.partitionBy("OGid").orderBy("pos"))
+    counted = profile(spark, sf_dir).select(before.alias("before"), F.col("gap").alias("after")).where("before is not null").groupBy("before", "after").agg(F.count("*").alias("n"))
+    every = spark.range(4).select(F.floor(F.col("id") / 2).cast("int").alias("before"), (F.col("id") % 2).cast("int").alias("after"))
+    return every.join(F.broadcast(counted), ["before", "after"], "left").select("before", "after", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 SQL["profile_fit"] = """WITH p AS (SELECT l_suppkey AS g, (l_returnflag = 'R')::INT AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i FROM lineitem),
@@ -185,10 +249,16 @@ l AS (SELECT g, s, lag(s) OVER (PARTITION BY g ORDER BY i) AS b FROM p)
 SELECT x AS before, y AS after, (SELECT count(*) FROM l WHERE b = x AND s = y)::BIGINT AS n FROM (SELECT unnest([0, 0, 1, 1])::INT AS x, unnest([0, 1, 0, 1])::INT AS y)"""
 
 
-@query
+@query("""WITH o AS (SELECT CASE WHEN o_orderkey % 8 < 5 THEN 'AB' WHEN o_orderkey % 8 = 5 THEN 'AC' ELSE 'BC' END AS clade, o_custkey % 3 + 1 AS l FROM orders),
+c AS (SELECT clade, count(*) AS n, avg(l) AS l, count(*) / (SELECT count(*) FROM o)::DOUBLE AS share FROM o GROUP BY 1)
+SELECT clade, n, CASE WHEN share >= 0.5 THEN round(l, 9) END AS length, CASE WHEN share >= 0.5 THEN round(share, 9) END AS support FROM c""")
 def consensus_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Majority consensus of trees that differ in one place, with the clade counts made where the trees are."""
-    texts = ["((A:1,B:1):1,C:1,D:1);"] * 2 + ["((A:1,C:1):1,B:1,D:1);"]
-    counts = trees.clade_counts(spark.createDataFrame([(t,) for t in texts], "newick string"))
-    best = trees.consensus([newick.parse(t) for t in texts])
-    return counts.withColumn("consensus", F.lit(newick.write(best)))
+    """Clades of a table of trees, counted where the trees are, and the length and support of those in its majority consensus."""
+    o, length = table(spark, sf_dir, "orders"), F.col("o_custkey") % 3 + 1
+    form = F.when(F.col("o_orderkey") % 8 < 5, F.format_string("((A:1,B:1):%s,C:1,D:1);", length)).when(F.col("o_orderkey") % 8 == 5, F.format_string("((A:1,C:1):%s,B:1,D:1);", length)).otherwise(F.format_string("((B:1,C:1):%s,A:1,D:1);", length))
+    texts = stored(o.select(form.alias("newick")), "trees")
+    best = trees.clades(trees.table_consensus(texts))
+    rows = [("".join(sorted(c)), node.length, node.support) for c, node in best.items() if node.support is not None]
+    kept = spark.createDataFrame(rows, "clade string, length double, support double")  # a row for each clade of one tree
+    counts = trees.clade_counts(texts).where("size(clade) < 4").select(F.array_join("clade", "").alias("clade"), "n")
+    return counts.join(F.broadcast(kept), "clade", "left").select("clade", "n", F.round("length", 9).alias("length"), F.round("support", 9).alias("support"))
