@@ -806,6 +806,26 @@ def test_pipeline(spark, texts):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_pipeline_on_odd_tables(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows, a null id and clashing columns; a table from which the rules take all; an empty one."""
+    import corpus_pipeline as c
+
+    words = [" ".join(f"{w}{i}" for i in range(40)) + "." for w in ("red", "blue", "green")]
+    more = [(20, words[0]), (21, words[0]), (22, words[1] + "\nwrite to a@b.co"), (22, words[2]), (None, words[2] + " end"), (23, words[1] + "\nwrite to c@d.org")]
+    rows = spark.createDataFrame([(i, t, *(0 if k not in ("string",) else "z" for _, k in odd.dtypes[2:])) for i, t in more], odd.schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd.union(rows)), ("few", odd.where("doc_id < 5")), ("none", odd.where("doc_id = 12345678"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = c.run(spark, f"file://{tmp_path}/{name}").collect()
+        plan_is_sound(found, 2048)
+        kept = {r.doc_id for r in found}
+        if name == "odd":
+            assert {20, 22} <= kept and not kept & {1, 2, 3, 4, 21} and len(kept & {None, 22, 23}) in (1, 2)
+        else:
+            assert not found
+
+
 def test_registered_queries(spark):
     from clademill.llm import queries
 
