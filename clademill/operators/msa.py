@@ -27,6 +27,12 @@ def assembled(symbols: DataFrame, keys: Sequence[str]) -> DataFrame:
     return symbols.groupBy(*keys).agg(F.concat_ws("", F.transform(ordered, lambda x: x["sym"])).alias("seq"))
 
 
+def differences(columns: DataFrame, value: str, group: str = "OGid") -> DataFrame:
+    """columns (group, pos, value) with step, the difference to the column before; 0 for the first."""
+    before = F.lag(value).over(Window.partitionBy(group).orderBy("pos"))
+    return columns.withColumn("step", F.coalesce(F.col(value) - before, F.lit(0)))
+
+
 def gap_profile(symbols: DataFrame, group: str = "OGid", weight: Column | None = None) -> DataFrame:
     """Weighted sum of gaps in each column."""
     w = F.lit(1) if weight is None else weight

@@ -160,7 +160,7 @@ def _clusters(name: str, k: int, sql: str, of: str, algorithm: str, **options) -
 for _k in (3, 4, 5):
     _clusters(f"clique_clusters_{_k}", _k, clique_sql(_k), f"k{_k}", f"{_k}clique")
 _clusters("core_clusters_4", 4, core_sql(4), "core", "4core", budget=0)
-_clusters("named_core_clusters_6", 6, core_sql(6), "core", "6core", core_components=("0", "1", "2", "3"))
+_clusters("named_core_clusters_13", 13, core_sql(13, 60), "core", "13core", core_components=("0", "1", "2", "3"))
 
 
 @query(f"""WITH RECURSIVE {THREE_SQL}, {clique_sql(4)}, size AS (SELECT comp::VARCHAR AS component_id, count(*) AS size FROM parts GROUP BY 1),

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clademill.functions.special import geometric_threshold
+from clademill.functions.special import beta_binomial, gammainc, geometric_threshold
 from clademill.operators import hmm, msa, regions, trees
 from clademill.plans import tree_sql
-from clademill.plans.inputs import profile, symbols, table
+from clademill.plans.inputs import PROFILE_SQL, profile, symbols, table
 from clademill.sources import newick
 from clademill.storage import stored
 
@@ -262,3 +262,52 @@ def consensus_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = spark.createDataFrame(rows, "clade string, length double, support double")  # a row for each clade of one tree
     counts = trees.clade_counts(texts).where("size(clade) < 4").select(F.array_join("clade", "").alias("clade"), "n")
     return counts.join(F.broadcast(kept), "clade", "left").select("clade", "n", F.round("length", 9).alias("length"), F.round("support", 9).alias("support"))
+
+
+@query(f"WITH {PROFILE_SQL} SELECT OGid, pos, x, x - coalesce(lag(x) OVER (PARTITION BY OGid ORDER BY pos), x) AS step FROM profile")
+def profile_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between neighbouring columns."""
+    return msa.differences(profile(spark, sf_dir), "x").select("OGid", "pos", "x", "step")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity::INT AS length, round(l_quantity / 100, 9) AS length_ratio, round(l_discount / l_quantity, 9) AS norm2, round(l_tax / l_quantity, 9) AS norm3 FROM lineitem""")
+def trim_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of trims, their shares and their mean posteriors."""
+    start = F.col("l_linenumber") * 10
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("stop"), F.lit(100).alias("colnum"), F.col("l_discount").alias("posterior2"), F.col("l_tax").alias("posterior3"))
+    return regions.trim_ratios(own).select("l_orderkey", "l_linenumber", "length", *(F.round(c, 9).alias(c) for c in ("length_ratio", "norm2", "norm3")))
+
+
+# Of whole numbers the incomplete gamma function is a finite sum, and the beta-binomial distribution a product.
+@query("""WITH t AS (SELECT p_partkey AS k, p_size AS s, (p_size % 5 + 1)::INT AS a, p_partkey % 9 / 2.0::DOUBLE + 0.25 AS x, (p_partkey % 7)::INT AS j, (p_partkey % 97 + 1) / 100.0::DOUBLE AS u FROM part)
+SELECT k AS p_partkey, round(1 - exp(-x) * list_sum(list_transform(range(a), lambda i: pow(x, i) / gamma(i + 1))), 9) AS gamma, round(gamma(7) / (gamma(j + 1) * gamma(7 - j)) * gamma(j + a) * gamma(6 - j + 2) / gamma(6 + a + 2) * gamma(a + 2) / (gamma(a) * gamma(2)), 9) AS chance,
+round(ln(0.01::DOUBLE) / ln(1 - 1 / (s + 1)::DOUBLE) - 1, 6) AS threshold, round(1 / (1 + exp(-(ln(u / (1 - u)) + 1))), 9) AS moved FROM t""")
+def special_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Special functions, the threshold of outliers, and a parameter moved on its unbounded scale, for each part's numbers."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, size in zip(frame["p_partkey"].tolist(), frame["p_size"].tolist()):
+                a, x = size % 5 + 1, k % 9 / 2 + 0.25
+                moved = hmm.bounded("p0", hmm.unbounded("p0", (k % 97 + 1) / 100) + 1)
+                out.append((k, float(gammainc(a, x)), float(beta_binomial(6, a, 2)[k % 7]), geometric_threshold(size), moved))
+            yield pd.DataFrame(out, columns=["p_partkey", "gamma", "chance", "threshold", "moved"])
+
+    found = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, gamma double, chance double, threshold double, moved double")
+    return found.select("p_partkey", F.round("gamma", 9).alias("gamma"), F.round("chance", 9).alias("chance"), F.round("threshold", 6).alias("threshold"), F.round("moved", 9).alias("moved"))
+
+
+@query(f"""WITH {PROFILE_SQL}, s AS (SELECT *, lag(gap) OVER (PARTITION BY OGid ORDER BY pos) AS before FROM profile)
+SELECT OGid, round(sum(ln(CASE WHEN before IS NULL THEN CASE gap WHEN 0 THEN 0.7e0 ELSE 0.3e0 END WHEN before = 0 THEN CASE gap WHEN 0 THEN 0.8e0 ELSE 0.2e0 END ELSE CASE gap WHEN 0 THEN 0.6e0 ELSE 0.4e0 END END)
+  + ln(CASE WHEN gap = 0 THEN CASE WHEN x > 25 THEN 0.45e0 ELSE 0.55e0 END ELSE CASE WHEN x > 25 THEN 0.65e0 ELSE 0.35e0 END END)), 6) AS joint FROM s GROUP BY 1""")
+def path_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logarithm of the probability of each profile's gap states together with its quantities."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        own = part.sort_values("pos")
+        large = own["x"].to_numpy() > 25
+        chain = hmm.Chain(np.array([0.7, 0.3]), np.array([[0.8, 0.2], [0.6, 0.4]]), np.array([np.where(large, p, 1 - p) for p in (0.45, 0.65)]))
+        return pd.DataFrame({"OGid": [part["OGid"].iloc[0]], "joint": [chain.joint(own["gap"].to_numpy())]})
+
+    return profile(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, joint double").withColumn("joint", F.round("joint", 6))
