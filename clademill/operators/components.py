@@ -6,7 +6,7 @@ written to the shared folder: lineage stays short and a lost executor costs one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clademill.storage import stored
@@ -26,6 +26,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges as stored, with their number and the sum of their hashes, which the write observes."""
+    seen = Observation()
+    return stored(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges"), seen.get
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node and component (the least node that it reaches) of every node that occurs in an edge.
 
@@ -33,14 +39,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = ends.where("u = v").select("u").distinct()
-    now = stored(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, mark = _written(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
-            break
+    while mark["n"] and mark != before:
         before = mark
-        now = stored(_small_star(_large_star(now)), "edges")
+        now, mark = _written(_small_star(_large_star(now)))
     roots = now.select(F.col("v").alias("u")).distinct()
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("u", "u"))
     return out.union(loops.join(out.select(F.col("node").alias("u")), "u", "left_anti").select("u", "u"))

@@ -39,10 +39,9 @@ def other_regions(profile: DataFrame, good: Column, least: int, group: str = "OG
 
 
 def _inside(symbols: DataFrame, slices: DataFrame, group: str) -> DataFrame:
-    """symbols with the start and stop of the slice that they are in."""
-    s = slices.select(F.col(group).alias("__group"), "start", "stop")
-    at = (F.col(group) == F.col("__group")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
-    return symbols.join(s, at).drop("__group")
+    """symbols with the start and stop of the slice that they are in: a join on group and column, of each slice's columns."""
+    each = slices.where("start < stop").select(group, "start", "stop", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
+    return symbols.join(each, [group, "pos"])
 
 
 def row_scores(symbols: DataFrame, slices: DataFrame, group: str = "OGid", row: str = "ppid", weight: str = "weight") -> DataFrame:

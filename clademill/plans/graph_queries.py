@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from clademill.operators import graphs, groups, hits
 from clademill.operators.components import components
 from clademill.operators.intervals import complement, coverage, merged
+from clademill.operators.products import mutual_products
 from clademill.operators.ranks import component_ids, hex_id, with_rank
-from clademill.plans.inputs import HSPS_SQL, LINES_SQL, SCORES_SQL, hsps, lines, top_hits
+from clademill.plans.inputs import HSPS_SQL, LINES_SQL, SCORES_SQL, hsps, lines, top_hits, vectors
 from clademill.storage import stored
 
 QUERIES, SQL = {}, {}
@@ -203,11 +204,8 @@ def paralog_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(top_hits(spark, sf_dir), "hits")
     edges = hits.with_reciprocity(found.select("src", "dst", "score")).where("reciprocal and src < dst").select("src", "dst", "score")
     best = found.groupBy("src").agg(F.max("score").alias("best"))
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("e"))
-    dot = F.aggregate(F.zip_with("e", "f", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    near = v.join(best, v.vec_id == best.src).join(v.select(F.col("vec_id").alias("paralog"), F.col("label").alias("l2"), F.col("e").alias("f")), F.col("label") == F.col("l2"))
-    pairs = near.where("vec_id <> paralog").where(dot > F.col("best")).select(F.col("vec_id").alias("node"), "paralog")
-    mutual = hits.with_reciprocity(pairs, "node", "paralog").where("reciprocal").select("node", "paralog")
+    near = vectors(spark, sf_dir).join(best.withColumnRenamed("src", "id"), "id")
+    mutual = mutual_products(near)
     return graphs.with_paralogs(edges, mutual)
 
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 512
+from clademill.operators.products import top_products
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,35 +23,15 @@ HSPS_SQL = """hsps AS (SELECT event_id, user_id AS qppid, event_type AS sppid, (
   (epoch_us(ts) // 60000000)::BIGINT + ceil(value)::BIGINT AS stop, value AS bitscore FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)"""
 
 
-def top_hits(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
-    """src, dst, dst_label, score: for each vector and each other label, the k highest scores with all ties.
-
-    All against all in blocks: a pair of blocks is one product of matrices, of which only each query's k best by label
-    leave the worker. Scores are exact integers.
-    """
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as whole numbers, so that products are exact."""
     v = table(spark, sf_dir, "embeddings").where("vec_id is not null and label is not null and embedding is not null")
-    blocks = max(1, -(-v.count() // BLOCK))
-    quantised = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000))
-    packed = v.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.struct("vec_id", "label", quantised.alias("e")).alias("v")).groupBy("block").agg(F.collect_list("v").alias("vs"))
-    pairs = packed.crossJoin(packed.select(F.col("vs").alias("other")))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for vs, other in zip(frame["vs"], frame["other"]):
-                a, b = (np.array([np.asarray(x["e"]) for x in y]) for y in (vs, other))
-                src, dst = (np.array([x["vec_id"] for x in y]) for y in (vs, other))
-                own, label = (np.array([x["label"] for x in y]) for y in (vs, other))
-                score = a @ b.T
-                for name in np.unique(label):
-                    at = np.flatnonzero(label == name)
-                    part = score[:, at]
-                    least = np.sort(part, 1)[:, -k] if len(at) > k else np.full(len(src), -np.inf)
-                    q, s = np.nonzero((part >= least[:, None]) & (own != name)[:, None])
-                    yield pd.DataFrame({"src": src[q], "dst": dst[at[s]], "dst_label": name, "score": part[q, s].astype(np.int64)})
-
-    found = pairs.select("vs", "other").mapInPandas(run, "src long, dst long, dst_label int, score long")
-    rank = F.rank().over(Window.partitionBy("src", "dst_label").orderBy(F.col("score").desc()))
-    return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+    return v.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("int")).alias("e"))
+
+
+def top_hits(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
+    """src, dst, dst_label, score: for each vector and each other label, the k highest scores with all ties."""
+    return top_products(vectors(spark, sf_dir), k)
 
 
 SCORES_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::BIGINT) AS e FROM embeddings),

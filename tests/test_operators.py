@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clademill.functions import sequences, special
-from clademill.operators import graphs, groups, hits, hmm, intervals, msa, ranks, trees
+from clademill.operators import graphs, groups, hits, hmm, intervals, msa, products, ranks, trees
 from clademill.operators.components import components
 from clademill.sources import files, newick
 
@@ -288,3 +288,32 @@ def test_ingest(spark, tmp_path):
     for _ in range(2):
         ingest_hits(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark", schema).awaitTermination(60)
     assert files.read_pairs(spark, f"{tmp_path}/out", schema).count() == 2
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_products_of_many_cells(spark, monkeypatch, k):
+    monkeypatch.setattr(products, "SMALL", 4)
+    rng = np.random.default_rng(5)
+    e, label = rng.integers(-3, 4, (61, 4)), rng.integers(0, 4, 61)
+    v = spark.createDataFrame([(i, int(c), [int(x) for x in y]) for i, (c, y) in enumerate(zip(label, e))], "id long, label int, e array<int>")
+    score, want = e @ e.T, set()
+    for i, c in itertools.product(range(61), range(4)):
+        at = np.flatnonzero(label == c)
+        if label[i] != c:
+            least = np.sort(score[i, at])[-k:][0]
+            want |= {(i, int(j), c, int(score[i, j])) for j in at if score[i, j] >= least}
+    plan = products.top_products(v, k)
+    found = [tuple(r) for r in plan.collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()
+    assert products.top_products(v.where("false"), k).count() == 0
+
+
+def test_mutual_products_of_a_large_label(spark, monkeypatch):
+    monkeypatch.setattr(products, "CELL", 7)
+    rng = np.random.default_rng(6)
+    e, label, best = rng.integers(-3, 4, (50, 4)), np.where(np.arange(50) < 30, 0, np.arange(50) % 5), rng.integers(0, 12, 50)
+    v = spark.createDataFrame([(i, int(label[i]), [int(x) for x in e[i]], int(best[i])) for i in range(50)], "id long, label int, e array<int>, best long")
+    score = e @ e.T
+    want = sorted((i, j) for i, j in itertools.permutations(range(50), 2) if label[i] == label[j] and score[i, j] > max(best[i], best[j]))
+    assert sorted((r.node, r.paralog) for r in products.mutual_products(v).collect()) == want and want
