@@ -73,6 +73,13 @@ def beta_binomial(n: int, a: float, b: float) -> np.ndarray:
     return np.exp(log)
 
 
+def beta_binomial_slopes(n: int, a: float, b: float) -> dict[str, np.ndarray]:
+    """Derivatives of beta_binomial() by a and b."""
+    chance, common = beta_binomial(n, a, b), digamma(a + b) - digamma(n + a + b)
+    by_a, by_b = (np.array([digamma(k + x) - digamma(x) + common for k in range(n + 1)]) for x in (a, b))
+    return {"a": chance * by_a, "b": chance * by_b[::-1]}
+
+
 def geometric_threshold(mean: float, alpha: float = 0.01) -> float:
     """The count that a geometric variable of this mean exceeds with probability alpha."""
     return math.log(alpha) / math.log(1 - 1 / (mean + 1)) - 1

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clademill.functions.special import beta_binomial, gamma_quantile, gammainc
+from clademill.functions.special import beta_binomial, beta_binomial_slopes, gamma_quantile, gammainc
 from clademill.sources.newick import Node
+from clademill.storage import stored
 
 Params = dict[str, float]
 
@@ -25,11 +28,12 @@ def transition(q0: float, q1: float, t: float) -> np.ndarray:
     return np.array([[p00, 1 - p00], [1 - p11, p11]])
 
 
-def rate_classes(pinv: float, alpha: float, k: int = 4) -> list[tuple[float, float]]:
+@lru_cache(maxsize=64)
+def rate_classes(pinv: float, alpha: float, k: int = 4) -> tuple[tuple[float, float], ...]:
     """(rate, prior) of k equal bins of a gamma distribution of mean 1, and of the invariant class."""
     edges = [alpha * gamma_quantile(i / k, alpha, 1 / alpha) for i in range(k + 1)]
     upper = [gammainc(alpha + 1, x) for x in edges]
-    return [(k / (1 - pinv) * (b - a), (1 - pinv) / k) for a, b in zip(upper, upper[1:])] + [(0.0, pinv)]
+    return (*((k / (1 - pinv) * (b - a), (1 - pinv) / k) for a, b in zip(upper, upper[1:])), (0.0, pinv))
 
 
 def conditional(tree: Node, tips: dict[str, np.ndarray], q0: float, q1: float, p0: float, p1: float) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +65,82 @@ def tree_probability(tree: Node, tips: dict[str, np.ndarray], p: Params, k: int
     return out
 
 
+def transition_slopes(q0: float, q1: float, t: float) -> dict[str, np.ndarray]:
+    """Derivatives of transition() by q0 and q1."""
+    q = q0 + q1
+    if q == 0 or t == 0:
+        return {"q0": np.zeros((2, 2)), "q1": np.zeros((2, 2))}
+    (p00, _), (_, p11) = transition(q0, q1, t)
+    e = np.exp(-q * t)
+    by = {"q0": (e - q0 * t * e - p00, 1 - q1 * t * e - p11), "q1": (1 - q0 * t * e - p00, e - q1 * t * e - p11)}
+    return {name: np.array([[a, -a], [-b, b]]) / q for name, (a, b) in by.items()}
+
+
+def conditional_slopes(tree: Node, tips: dict[str, np.ndarray], q0: float, q1: float, p0: float, p1: float) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """conditional(), and the derivatives of the likelihoods by q0, q1, p0 and p1 under the same scale, in one visit of the tree."""
+    error = np.array([[1 - p0, p0], [p1, 1 - p1]])
+    by_error = {"p0": np.array([[-1.0, 1.0], [0.0, 0.0]]), "p1": np.array([[0.0, 0.0], [1.0, -1.0]])}
+
+    def visit(node: Node) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        if not node.children:
+            own = tips[node.name]
+            return error @ own, np.zeros(own.shape[1]), {"q0": np.zeros_like(own), "q1": np.zeros_like(own)} | {name: m @ own for name, m in by_error.items()}
+        value, log, slopes = 1.0, 0.0, dict.fromkeys(("q0", "q1", "p0", "p1"), 0.0)
+        for child in node.children:
+            below, scale, inner = visit(child)
+            t = child.length or 0.0
+            move, by_move = transition(q0, q1, t), transition_slopes(q0, q1, t)
+            factor = move @ below
+            for name in slopes:
+                change = move @ inner[name]
+                if name in by_move:
+                    change = change + by_move[name] @ below
+                slopes[name] = slopes[name] * factor + value * change
+            value, log = value * factor, log + scale
+        total = value.sum(0)
+        return value / total, log + np.log(total), {name: x / total for name, x in slopes.items()}
+
+    return visit(tree)
+
+
+def tree_slopes(tree: Node, tips: dict[str, np.ndarray], p: Params, k: int = 4, eps: float = 1e-6) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """tree_probability() and its derivatives by each of its parameters; only the rates' own by alpha is a difference."""
+    root = np.array([1 - p["pi"], p["pi"]])
+    classes = rate_classes(p["pinv"], p["alpha"], k)
+    above, below = (rate_classes(p["pinv"], p["alpha"] + s * eps, k) for s in (1, -1))
+    out, slopes = 0.0, dict.fromkeys(("q0", "q1", "p0", "p1", "pi", "pinv", "alpha"), 0.0)
+    for i, (rate, prior) in enumerate(classes):
+        value, log, inner = conditional_slopes(tree, tips, p["q0"] * rate, p["q1"] * rate, p["p0"], p["p1"])
+        scale = np.exp(log)
+        like, by = (root @ value) * scale, {name: (root @ x) * scale for name, x in inner.items()}
+        by_rate = by["q0"] * p["q0"] + by["q1"] * p["q1"]
+        out = out + prior * like
+        for name, weight in (("q0", rate), ("q1", rate), ("p0", 1.0), ("p1", 1.0)):
+            slopes[name] = slopes[name] + prior * weight * by[name]
+        slopes["pi"] = slopes["pi"] + prior * (value[1] - value[0]) * scale
+        if i < k:
+            slopes["pinv"] = slopes["pinv"] - like / k + prior * by_rate * rate / (1 - p["pinv"])
+            slopes["alpha"] = slopes["alpha"] + prior * by_rate * (above[i][0] - below[i][0]) / (2 * eps)
+        else:
+            slopes["pinv"] = slopes["pinv"] + like
+    return out, slopes
+
+
+def tip_slopes(tree: Node, tips: dict[str, np.ndarray], p: Params, tip: str, k: int = 4) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """tip_probability() and its derivatives."""
+    seen, by_seen = tree_slopes(tree, tips, p, k)
+    other, by_other = tree_slopes(tree, tips | {tip: tips[tip][::-1]}, p, k)
+    whole = seen + other
+    return seen / whole, {name: (by_seen[name] * other - seen * by_other[name]) / whole**2 for name in by_seen}
+
+
+def column_slopes(tree: Node, tips: dict[str, np.ndarray], same: np.ndarray, rows: int, p: Params) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """column_emission() and its derivatives."""
+    on_tree, by_tree = tree_slopes(tree, tips, p)
+    kept, by_kept = beta_binomial(rows, p["a"], p["b"])[same], beta_binomial_slopes(rows, p["a"], p["b"])
+    return kept * on_tree, {name: kept * x for name, x in by_tree.items()} | {name: x[same] * on_tree for name, x in by_kept.items()}
+
+
 def tip_probability(tree: Node, tips: dict[str, np.ndarray], p: Params, tip: str, k: int = 4) -> np.ndarray:
     """Probability of a tip's state given the other tips."""
     seen = tree_probability(tree, tips, p, k)
@@ -148,6 +228,11 @@ def bounded(name: str, x: float) -> float:
     return float(1 / (1 + np.exp(-x)) if name in UNIT else np.exp(x))
 
 
+def bounded_slope(name: str, x: float) -> float:
+    """Derivative of a parameter by its unbounded value."""
+    return x * (1 - x) if name in UNIT else x
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -161,24 +246,35 @@ def emission_gradient(emission: Callable[[Params], np.ndarray], p: Params, name:
 
 
 class Record:
-    """A labelled record: path of states, and for each state a function from parameters to emissions."""
+    """A labelled record: path of states, and for each state a function from parameters to emissions.
+
+    slopes: for each state a function that also gives the emissions' derivatives by the parameters as they are; without it
+    they are taken by differences.
+    """
 
-    def __init__(self, states: np.ndarray, emissions: list[Callable[[Params], np.ndarray]]):
-        self.states, self.emissions = np.asarray(states), emissions
+    def __init__(self, states: np.ndarray, emissions: list[Callable[[Params], np.ndarray]], slopes: list[Callable[[Params], tuple[np.ndarray, dict[str, np.ndarray]]]] | None = None):
+        self.states, self.emissions, self.slopes = np.asarray(states), emissions, slopes
+
+    def emitted(self, params: list[Params]) -> tuple[np.ndarray, list[dict[str, np.ndarray]]]:
+        """Emissions, and their derivatives by the parameters on their unbounded scales."""
+        if self.slopes is None:
+            return np.array([f(p) for f, p in zip(self.emissions, params)]), [{name: emission_gradient(f, p, name) for name in p} for f, p in zip(self.emissions, params)]
+        found = [f(p) for f, p in zip(self.slopes, params)]
+        return np.array([emit for emit, _ in found]), [{name: by[name] * bounded_slope(name, p[name]) for name in p} for (_, by), p in zip(found, params)]
 
 
 def gradients(record: Record, start: np.ndarray, move: np.ndarray, params: list[Params]) -> tuple[float, np.ndarray, list[dict[str, float]]]:
     """log P(states | emissions) of one record, and minus its gradients by the moves' softmax scale and the parameters."""
-    emit = np.array([f(p) for f, p in zip(record.emissions, params)])
+    emit, slopes = record.emitted(params)
     chain = Chain(start, move, emit)
     n, m = chain.moves(), transition_counts(record.states, len(start))
     diff = m - n
     by_move = -(diff - move * diff.sum(1, keepdims=True))
     seen, expected = np.eye(len(start))[record.states], chain.posterior()
     by_param = []
-    for k, (f, p) in enumerate(zip(record.emissions, params)):
+    for k, by in enumerate(slopes):
         share = (seen[:, k] - expected[:, k]) / emit[k]
-        by_param.append({name: -float((share * emission_gradient(f, p, name)).sum()) for name in p})
+        by_param.append({name: -float((share * x).sum()) for name, x in by.items()})
     return chain.joint(record.states) - chain.log_likelihood(), by_move, by_param
 
 
@@ -197,21 +293,29 @@ def fit(records: list[Record], start: np.ndarray, move: np.ndarray, params: list
 
 
 def fit_table(table: DataFrame, keys: list[str], record: Callable[[pd.DataFrame], Record], start: np.ndarray, move: np.ndarray, params: list[Params], rate: float = 0.05, momentum: float = 0.85, epsilon: float = 0.1, steps: int = 300, by_columns: bool = False):
-    """descend() on records that are the groups of a table, one row a column: a step is one pass over the table.
+    """descend() on records that are the groups of a table, one row a column: a step is one pass over the records.
 
-    Groups are turned into records where they are; their gradients are added up on the executors, and a vector of fixed
-    size (the value, the moves and the parameters) reaches the driver.
+    Each group is stored as one row, so that a pass needs no shuffle; it becomes a record where it is. A task adds up its
+    gradients, and a vector of fixed size (the value, the moves and the parameters) reaches the driver from all of them.
     """
-    n_columns, n_records = table.count(), table.select(*keys).distinct().count()
+    packed = stored(table.groupBy(*keys).agg(F.collect_list(F.struct(*table.columns)).alias("__rows")).select("__rows"), "records")
+    size = packed.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.size("__rows")), F.lit(0)).alias("columns")).first()
 
     def total(now: np.ndarray, at: list[Params]) -> np.ndarray:
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            flat = _flat(gradients(record(part), start, now, at))
-            return pd.DataFrame({"i": np.arange(len(flat), dtype=np.int32), "x": flat})
-
-        found = table.groupBy(*keys).applyInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flat = None
+            for batch in batches:
+                for rows in batch.column(0):
+                    part = pa.RecordBatch.from_struct_array(rows.values).to_pandas()
+                    own = _flat(gradients(record(part), start, now, at))
+                    flat = own if flat is None else flat + own
+            if flat is not None:
+                yield pa.record_batch({"i": np.arange(len(flat), dtype=np.int32), "x": flat})
+
+        found = packed.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
         return np.array([r.x for r in found])
 
+    n_records, n_columns = size.records, size.columns
     return descend(total, n_records, n_columns, move, params, rate, momentum, epsilon, steps, by_columns)
 
 

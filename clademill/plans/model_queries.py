@@ -19,6 +19,7 @@ from clademill.storage import stored
 QUERIES, SQL = {}, {}
 TREE = "(((1:1,2:1):0.5,(3:1,4:0.8):0.6):0.7,((5:0.9,6:1.1):0.4,7:1.2):0.3);"
 PARAMS = {"q0": 0.6, "q1": 0.9, "pi": 0.7, "p0": 0.02, "p1": 0.05, "pinv": 0.2, "alpha": 0.8}
+STATES = [{**PARAMS, "a": 3.0, "b": 0.5}, {**PARAMS, "a": 0.8, "b": 1.2, "pi": 0.5}, {**PARAMS, "a": 1.5, "b": 0.8, "pi": 0.2}]
 
 
 def query(f, sql: str | None = None):
@@ -131,8 +132,7 @@ def _decoded(part: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     tree, tips, n = _tips(part)
     gaps = np.array([t[0] for t in tips.values()])
     same = hmm.unchanged(gaps)
-    states = [{**PARAMS, "a": 3.0, "b": 0.5}, {**PARAMS, "a": 0.8, "b": 1.2, "pi": 0.5}, {**PARAMS, "a": 1.5, "b": 0.8, "pi": 0.2}]
-    emit = np.array([hmm.column_emission(tree, tips, same, len(tips), p) for p in states])
+    emit = np.array([hmm.column_emission(tree, tips, same, len(tips), p) for p in STATES])
     move = np.array([[0.95, 0.03, 0.02], [0.05, 0.9, 0.05], [0.04, 0.03, 0.93]])
     return hmm.Chain(np.array([0.6, 0.2, 0.2]), move, emit).posterior(), tips
 
@@ -223,6 +223,27 @@ def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, k int, x double")
 
 
+def labelled(part: pd.DataFrame, width: int = 11) -> hmm.Record:
+    """An alignment as a record of three states, by the mean share of gaps in the columns around: up to a quarter, up to a half, more."""
+    tree, tips, n = _tips(part)
+    gaps, window = np.array([t[0] for t in tips.values()]), np.ones(min(width, n))
+    same, share = hmm.unchanged(gaps), np.convolve(gaps.mean(0), window, "same") / np.convolve(np.ones(n), window, "same")
+    states = (share > 0.25).astype(int) + (share > 0.5)
+    return hmm.Record(states, [lambda p: hmm.column_emission(tree, tips, same, len(tips), p)] * 3, [lambda p: hmm.column_slopes(tree, tips, same, len(tips), p)] * 3)
+
+
+def insertion_fit(spark: SparkSession, sf_dir: str, steps: int = 300) -> DataFrame:
+    """The model of insertion_decode fitted to labelled alignments: moves of three states, and of each state the tree's and the
+    beta-binomial distribution's parameters.
+
+    Not registered: descent needs hundreds of passes.
+    """
+    move = np.array([[0.95, 0.03, 0.02], [0.05, 0.9, 0.05], [0.04, 0.03, 0.93]])
+    (value, found, params), history = hmm.fit_table(symbols(spark, sf_dir), ["OGid"], labelled, np.array([0.6, 0.2, 0.2]), move, STATES, rate=1.0, momentum=0.7, epsilon=0.1, steps=steps, by_columns=True)
+    rows = [("value", 0, value), ("first_value", 0, history[0] if history else None), ("steps", 0, float(len(history)))] + [("move", k, float(m)) for k, m in enumerate(found.ravel())]
+    return spark.createDataFrame(rows + [(name, k, p[name]) for k, p in enumerate(params) for name in sorted(p)], "name string, k int, x double")
+
+
 @query(tree_sql.missing_sql())
 def missing_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each row that look missing: runs where its gaps are unlikely given the other rows."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from clademill.operators import groups, hmm, labels, msa, regions
-from clademill.sources import files
+from clademill.sources import files, newick
 
 
 def test_hulls_and_margins():
@@ -117,3 +117,45 @@ def test_registered_fit_ends_at_its_best(spark):
     blind = sum(np.log(start[s[0]]) + np.log(move[s[:-1], s[1:]]).sum() for s in paths)  # both states emit alike: a model among the candidates
     assert found["value", 0] > blind - 0.2 and 1 < found["steps", 0] < 100
     assert abs(found["p1", 0] - 0.4) > 0.05 and abs(found["p1", 1] - 0.6) > 0.05
+
+
+def test_slopes_are_the_limits_of_differences():
+    from clademill.plans import model_queries as mq
+
+    rng = np.random.default_rng(8)
+    tree = newick.parse(mq.TREE)
+    tips = {str(t): np.array([1 - x, x]) for t in range(1, 8) for x in [(rng.random(20) < 0.6).astype(float)]}
+    same = hmm.unchanged(np.array([t[0] for t in tips.values()]))
+    p = {**mq.PARAMS, "a": 1.3, "b": 0.7}
+    for exact, plain in (
+        (lambda q: hmm.tree_slopes(tree, tips, q), lambda q: hmm.tree_probability(tree, tips, q)),
+        (lambda q: hmm.tip_slopes(tree, tips, q, "3"), lambda q: hmm.tip_probability(tree, tips, q, "3")),
+        (lambda q: hmm.column_slopes(tree, tips, same, 7, q), lambda q: hmm.column_emission(tree, tips, same, 7, q)),
+    ):
+        value, slopes = exact(p)
+        assert value == pytest.approx(plain(p))
+        for name, slope in slopes.items():
+            assert slope * hmm.bounded_slope(name, p[name]) == pytest.approx(hmm.emission_gradient(plain, p, name), rel=1e-4, abs=1e-8), name
+
+
+def test_gradients_of_a_record_with_slopes():
+    import pandas as pd
+
+    from clademill.plans import model_queries as mq
+
+    rng = np.random.default_rng(9)
+    part = pd.DataFrame([(1, r, i, "-" if rng.random() < 0.4 else "A") for r in range(1, 6) for i in range(25)], columns=["OGid", "ppid", "pos", "sym"])
+    with_slopes = mq.labelled(part)
+    plain = hmm.Record(with_slopes.states, with_slopes.emissions)
+    start, move = np.full(3, 1 / 3), np.full((3, 3), 0.1) + 0.7 * np.eye(3)
+    one, two = (hmm.gradients(r, start, move, mq.STATES) for r in (with_slopes, plain))
+    assert one[0] == pytest.approx(two[0]) and one[1] == pytest.approx(two[1])
+    assert [x for own in one[2] for x in own.values()] == pytest.approx([own[name] for k, own in enumerate(two[2]) for name in one[2][k]], rel=1e-4, abs=1e-6)
+
+
+def test_insertion_model_improves_with_each_pass(spark):
+    from clademill.plans import model_queries as mq
+
+    found = {(r.name, r.k): r.x for r in mq.insertion_fit(spark, "/root/testdata/sf0.001", steps=8).collect()}
+    assert found["steps", 0] == 8 and found["value", 0] > found["first_value", 0] + 1
+    assert sum(found["move", k] for k in range(3)) == pytest.approx(1)
