@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clademill.operators.components import components
 from clademill.operators.ranks import hex_id, with_rank
+from clademill.storage import stored
 
 BUDGET = 2_000_000
 
@@ -158,10 +159,18 @@ def clique_clusters(edges: DataFrame, k: int, budget: int = BUDGET, core_compone
 
 
 def cluster_ids(clusters: DataFrame, keys: tuple[str, ...] = ("component_id", "cluster")) -> DataFrame:
-    """clusters with OGid: more edges first, ties by the descending sorted list of their edges' ends."""
-    ends = F.array_sort(F.flatten(F.collect_list(F.array("src", "dst"))))
-    sizes = clusters.groupBy(*keys).agg(F.count("*").alias("__n"), ends.alias("__ends"))
-    ids = with_rank(sizes, F.col("__n").desc(), F.col("__ends").desc(), *(F.col(k) for k in keys)).withColumn("OGid", hex_id("rank"))
+    """clusters with OGid: more edges first, ties by the descending sorted list of their edges' ends.
+
+    A list is kept as its nodes and how often each occurs, and only of clusters that another one equals in size.
+    """
+    sizes = stored(clusters.groupBy(*keys).agg(F.count("*").alias("__n")), "sizes")
+    tied = sizes.groupBy("__n").agg(F.count("*").alias("__same")).where("__same > 1").select("__n")
+    again = clusters.join(sizes.join(tied, "__n", "left_semi").select(*keys), list(keys), "left_semi")
+    # of two lists that differ first in how often a node occurs, the one with fewer goes on with a larger node
+    nodes = again.select(*keys, F.explode(F.array("src", "dst")).alias("__node")).groupBy(*keys, "__node").agg((-F.count("*")).alias("__minus"))
+    ends = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__node", "__minus"))).alias("__ends"))
+    order = sizes.join(ends, list(keys), "left")
+    ids = with_rank(order, F.col("__n").desc(), F.col("__ends").desc(), *(F.col(k) for k in keys)).withColumn("OGid", hex_id("rank"))
     return clusters.join(ids.select(*keys, "OGid"), list(keys))
 
 
@@ -188,12 +197,22 @@ def inparalogs(hits: DataFrame, best: DataFrame, cover: float = 0.5) -> DataFram
 
 
 def overlap_graph(sets: DataFrame, group: str, item: str, least: float = 0.5) -> DataFrame:
-    """src < dst of groups that have at least a share `least` of the smaller one's items in common."""
-    own = sets.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    sizes = own.groupBy("g").agg(F.count("*").alias("n"))
-    both = own.join(own.select(F.col("g").alias("h"), "i"), "i").where("g < h").groupBy("g", "h").agg(F.count("*").alias("common"))
-    sized = both.join(sizes, "g").join(sizes.select(F.col("g").alias("h"), F.col("n").alias("m")), "h")
-    return sized.where(F.col("common") >= least * F.least("n", "m")).select(F.col("g").alias("src"), F.col("h").alias("dst"))
+    """src < dst of groups that have at least a share `least` (above 0) of the smaller one's items in common.
+
+    A group of n items that has c = ceil(least * n) of them in common with another has one of any n - c + 1 in common:
+    its rarest ones are looked up, so that an item that most groups have makes pairs only of groups with little else. Null groups and items don't count.
+    """
+    if least <= 0:
+        raise ValueError("least has to be above 0")
+    own = sets.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null").distinct()
+    often = own.groupBy("i").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("often", "i"))
+    all_ = stored(own.join(often, "i").withColumns({"n": F.count("*").over(Window.partitionBy("g")), "place": place}).select("g", "i", "n", "place"), "sets")
+    rare = all_.where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("g", "i", "n")
+    others = all_.select(F.col("g").alias("h"), "i", F.col("n").alias("m"))
+    pairs = rare.join(others, "i").where("n < m or n = m and g < h").select("g", "h", "n").distinct()
+    common = pairs.join(all_.select("g", "i"), "g").join(others.select("h", "i"), ["h", "i"], "left_semi").groupBy("g", "h", "n").agg(F.count("*").alias("common"))
+    return common.where(F.col("common") >= least * F.col("n")).select(F.least("g", "h").alias("src"), F.greatest("g", "h").alias("dst"))
 
 
 def groups_with_singletons(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:

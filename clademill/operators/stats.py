@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a membership table whose inner products may come to the driver.
+MOST_ROWS = 2000
+
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
@@ -66,16 +69,19 @@ def ranked_subjects(df: DataFrame, subject: str, query: str) -> DataFrame:
 def principal_components(df: DataFrame, row: str, column: str, k: int = 2) -> DataFrame:
     """Coordinates of the rows of a 0/1 membership table on the first k components.
 
-    Few rows (species) and many columns (groups): the rows' inner products, added up on the executors, are all that the driver needs. Signs are made positive at
-    the largest entry.
+    Few rows (species; MOST_ROWS at most, or it raises) and many columns (groups): the rows' inner products, added up on the executors, are all that the driver
+    needs. Signs are made positive at the largest entry.
     """
     own = df.select(F.col(row).alias("a"), F.col(column).alias("c")).distinct()
-    products = own.join(own.select(F.col("a").alias("b"), "c"), "c").groupBy("a", "b").agg(F.count("*").alias("n")).collect()
+    n = own.select("a").distinct().count()
+    if n > MOST_ROWS:
+        raise ValueError(f"{n} rows; the driver takes the products of {MOST_ROWS} at most")
+    products = own.join(own.select(F.col("a").alias("b"), "c"), "c").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("n")).collect()
     names = sorted({r.a for r in products})
     at = {n: i for i, n in enumerate(names)}
     gram = np.zeros((len(names), len(names)))
     for r in products:
-        gram[at[r.a], at[r.b]] = r.n
+        gram[at[r.a], at[r.b]] = gram[at[r.b], at[r.a]] = r.n
     centre = np.eye(len(names)) - 1 / max(1, len(names))
     values, vectors = np.linalg.eigh(centre @ gram @ centre)
     first = np.argsort(-values)[:k]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clademill.functions import sequences, special
-from clademill.operators import graphs, groups, hits, hmm, intervals, msa, products, ranks, trees
+from clademill.operators import graphs, groups, hits, hmm, intervals, msa, products, ranks, stats, trees
 from clademill.operators.components import components
 from clademill.sources import files, newick
 
@@ -81,6 +81,9 @@ def test_components_of_chains_loops_and_nothing(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "src long, dst long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200}
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    pairs = spark.createDataFrame(chain, "src long, dst long")
+    for nothing in (pairs.where("false"), pairs.where("src > 1000"), pairs.join(spark.createDataFrame([(9, 1)], "src long, k long").where("k > 1"), "src")):
+        assert components(nothing.select("src", "dst")).count() == 0
 
 
 def test_percolation_agrees_with_faces():
@@ -120,6 +123,43 @@ def test_overlap(spark):
     assert found == {("A", "B"), ("B", "C")}
 
 
+def test_overlap_of_any_share(spark):
+    rng = np.random.default_rng(11)
+    sets = {g: {int(i) for i in rng.integers(0, 40, rng.integers(1, 12))} | ({99} if g % 3 else set()) for g in range(120)}
+    rows = [(g, i) for g, s in sets.items() for i in s] * 2 + [(1, None), (None, 5)]
+    d = spark.createDataFrame(rows, "o int, g int")
+    for least in (0.3, 0.5, 1.0):
+        want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= least * min(len(sets[a]), len(sets[b]))}
+        found = [(r.src, r.dst) for r in graphs.overlap_graph(d, "o", "g", least).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert graphs.overlap_graph(d.where("false"), "o", "g").count() == 0
+    with pytest.raises(ValueError):
+        graphs.overlap_graph(d, "o", "g", 0)
+
+
+def test_cluster_ids(spark):
+    rng = np.random.default_rng(4)
+    clusters = {("p", c): {(int(a), int(b)) for a, b in np.sort(rng.integers(0, 6, (rng.integers(3, 7), 2)), axis=1) if a != b} for c in range(60)}
+    clusters = {k: e for k, e in clusters.items() if e}
+    rows = [(*k, a, b) for k, e in clusters.items() for a, b in e]
+    found = {((r.component_id, r.cluster), r.OGid) for r in graphs.cluster_ids(spark.createDataFrame(rows, "component_id string, cluster int, src int, dst int")).collect()}
+    order = sorted(clusters, key=lambda k: (len(clusters[k]), sorted(itertools.chain(*clusters[k])), -k[1]), reverse=True)
+    assert found == {(k, f"{i:04X}") for i, k in enumerate(order)}
+
+
+def test_principal_components(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    member = rng.random((7, 60)) < 0.4
+    d = spark.createDataFrame([(int(a), int(c)) for a, c in np.argwhere(member)] * 2, "a int, c int")
+    found = np.array([tuple(r)[1:] for r in sorted(stats.principal_components(d, "a", "c", 2).collect())])
+    centred = member - member.mean(0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(np.abs(found), np.abs(u[:, :2] * s[:2])) and (found[np.abs(found).argmax(0), [0, 1]] > 0).all()
+    monkeypatch.setattr(stats, "MOST_ROWS", 6)
+    with pytest.raises(ValueError):
+        stats.principal_components(d, "a", "c")
+
+
 def test_representative(spark):
     d = spark.createDataFrame([("g", "a", 30, 900.1), ("g", "b", 33, 500.0), ("g", "c", 33, 500.0)], "GGid string, OGid string, spidnum int, bitscore double")
     assert groups.representatives(d).first().OGid == "b"
