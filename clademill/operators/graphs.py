@@ -1,10 +1,7 @@
-"""Clusters of graphs: triangles, cliques and their percolation, k-cores, overlap graphs, paralogs, lineages."""
+"""Graphs: triangles and their clusters, cluster ids, overlap graphs, paralogs, lineages."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +9,6 @@ from clademill.operators.components import components
 from clademill.operators.ranks import hex_id, with_rank
 from clademill.storage import stored
 
-BUDGET = 2_000_000
-
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Distinct edges with src < dst; loops go."""
@@ -56,108 +51,6 @@ def triangle_clusters(edges: DataFrame) -> DataFrame:
     return found.select(F.col("component").alias("cluster"), "node.src", "node.dst")
 
 
-def maximal_cliques(adjacent: dict, budget: int = BUDGET) -> list[frozenset] | None:
-    """All maximal cliques by pivoting; None once more than `budget` steps were taken."""
-    out, steps = [], 0
-    todo = [(frozenset(), set(adjacent), set())]
-    while todo:
-        steps += 1
-        if steps > budget:
-            return None
-        clique, more, done = todo.pop()
-        if not more and not done:
-            out.append(clique)
-            continue
-        pivot = max(more | done, key=lambda n: len(adjacent[n] & more))
-        for node in sorted(more - adjacent[pivot]):
-            todo.append((clique | {node}, more & adjacent[node], done & adjacent[node]))
-            more.remove(node)
-            done.add(node)
-    return out
-
-
-def percolated(cliques: list[frozenset], k: int) -> list[set[tuple]]:
-    """Edge sets of k-clique communities: cliques of k nodes or more that share k - 1 nodes belong together."""
-    if k < 2:
-        raise ValueError("k has to be 2 or more")
-    large = [c for c in cliques if len(c) >= k]
-    root = list(range(len(large)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    by_node = defaultdict(list)
-    for i, clique in enumerate(large):
-        common: dict[int, int] = defaultdict(int)
-        for node in clique:
-            for j in by_node[node]:
-                common[j] += 1
-            by_node[node].append(i)
-        for j, n in common.items():
-            if n >= k - 1:
-                root[top(i)] = top(j)
-    out: dict[int, set[tuple]] = defaultdict(set)
-    for i, clique in enumerate(large):
-        nodes = sorted(clique)
-        out[top(i)].update((a, b) for n, a in enumerate(nodes) for b in nodes[n + 1 :])
-    return [out[i] for i in sorted(out)]
-
-
-def core(adjacent: dict, k: int) -> dict:
-    """The part in which every node has k neighbours or more."""
-    left = {n: set(x) for n, x in adjacent.items()}
-    todo = [n for n, x in left.items() if len(x) < k]
-    while todo:
-        node = todo.pop()
-        for other in left.pop(node, ()):
-            if other in left:
-                left[other].discard(node)
-                if len(left[other]) < k:
-                    todo.append(other)
-    return left
-
-
-def clusters_of(adjacent: dict, k: int, budget: int = BUDGET, use_core: bool = False) -> list[tuple[str, set[tuple]]]:
-    """(algorithm, edges) of each cluster of one component: percolation within the budget, else the connected parts of the k-core."""
-    cliques = None if use_core else maximal_cliques(adjacent, budget)
-    if cliques is not None:
-        return [(f"{k}clique", e) for e in percolated(cliques, k)]
-    rest, out = core(adjacent, k), []
-    while rest:
-        todo, part = [next(iter(rest))], set()
-        while todo:
-            node = todo.pop()
-            if node in rest:
-                others = rest.pop(node)
-                part |= {(min(node, o), max(node, o)) for o in others}
-                todo += others
-        out.append((f"{k}core", part))
-    return out
-
-
-def clique_clusters(edges: DataFrame, k: int, budget: int = BUDGET, core_components: tuple[str, ...] = ()) -> DataFrame:
-    """component_id, cluster (a number within the component), algorithm, src, dst.
-
-    edges: component_id, src, dst. Each component is one group: cliques have no bound that a join would respect, so the
-    budget of steps, and not the clock, decides where the k-core takes over.
-    """
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        adjacent = defaultdict(set)
-        for a, b in zip(part["src"], part["dst"]):
-            if a != b:
-                adjacent[a].add(b)
-                adjacent[b].add(a)
-        found = clusters_of(adjacent, k, budget, key[0] in core_components)
-        return pd.DataFrame([(key[0], i, algorithm, a, b) for i, (algorithm, own) in enumerate(found) for a, b in sorted(own)], columns=["component_id", "cluster", "algorithm", "src", "dst"])
-
-    kinds = dict(edges.dtypes)
-    schema = f"component_id {kinds['component_id']}, cluster int, algorithm string, src {kinds['src']}, dst {kinds['dst']}"
-    return edges.groupBy("component_id").applyInPandas(run, schema)
-
-
 def cluster_ids(clusters: DataFrame, keys: tuple[str, ...] = ("component_id", "cluster")) -> DataFrame:
     """clusters with OGid: more edges first, ties by the descending sorted list of their edges' ends.
 

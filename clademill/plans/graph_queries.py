@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clademill.operators import graphs, groups, hits
+from clademill.operators import cliques, graphs, groups, hits
 from clademill.operators.components import components
 from clademill.operators.intervals import complement, coverage, merged
 from clademill.operators.products import mutual_products
@@ -151,7 +151,7 @@ FROM (SELECT component_id, cluster, count(*) AS n, list_sort(flatten(list([src,
 
 def _clusters(name: str, k: int, sql: str, of: str, algorithm: str, **options) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = graphs.cluster_ids(stored(graphs.clique_clusters(mutual_three(spark, sf_dir), k, **options), "clusters"))
+        found = graphs.cluster_ids(stored(cliques.clique_clusters(mutual_three(spark, sf_dir), k, **options), "clusters"))
         return found.select("component_id", "OGid", "algorithm", "src", "dst")
 
     QUERIES[name] = f
@@ -169,7 +169,7 @@ inside AS (SELECT DISTINCT component_id, cluster, unnest([src, dst]) AS node FRO
 SELECT component_id, CASE WHEN groups IS NULL THEN 0 WHEN groups = 1 THEN CASE WHEN inside = size THEN 1 ELSE 2 END WHEN places > inside THEN 4 ELSE 3 END AS type FROM size LEFT JOIN g USING (component_id)""")
 def cluster_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = mutual_three(spark, sf_dir)
-    found = stored(graphs.clique_clusters(edges, 4), "clusters").withColumn("OGid", F.col("cluster"))
+    found = stored(cliques.clique_clusters(edges, 4), "clusters").withColumn("OGid", F.col("cluster"))
     nodes = found.select("component_id", "OGid", F.col("src").alias("node")).union(found.select("component_id", "OGid", "dst"))
     members = edges.select("component_id", F.col("src").alias("node")).union(edges.select("component_id", "dst")).distinct()
     return groups.component_types(members, nodes)
@@ -187,7 +187,7 @@ def cluster_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = stored(mutual_three(spark, sf_dir), "edges")
 
     def nodes(k: int) -> DataFrame:
-        found = graphs.cluster_ids(stored(graphs.clique_clusters(edges, k), "clusters"))
+        found = graphs.cluster_ids(stored(cliques.clique_clusters(edges, k), "clusters"))
         return found.select(F.concat_ws("/", "component_id", "OGid").alias("cluster"), F.explode(F.array("src", "dst")).alias("node")).distinct()
 
     return graphs.lineage(nodes(4), nodes(3))

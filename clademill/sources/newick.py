@@ -15,9 +15,12 @@ class Node:
     support: float | None = None
 
     def postorder(self) -> Iterator[Node]:
-        for child in self.children:
-            yield from child.postorder()
-        yield self
+        order, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo += node.children
+        return reversed(order)
 
     def tips(self) -> list[Node]:
         return [n for n in self.postorder() if not n.children]
@@ -35,37 +38,43 @@ TOKEN = re.compile(r"\s*('(?:[^']|'')*'|[(),:;]|[^\s(),:;\[\]']+|\[[^\]]*\])")
 def parse(text: str) -> Node:
     """A tree; an inner node's label is its support if it is a number, else its name."""
     tokens = [t for t in TOKEN.findall(text) if t[0] != "["]
+    if not tokens or tokens[-1] != ";":
+        raise ValueError("a tree ends with a semicolon")
+    out = node = Node()
+    open_, complete = [], False  # the inner nodes around `node`; whether its children and label stand
     at = 0
-
-    def subtree() -> Node:
-        nonlocal at
-        node = Node()
-        if tokens[at] == "(":
-            while tokens[at] in "(,":
-                at += 1
-                node.children.append(subtree())
-            if tokens[at] != ")":
-                raise ValueError(f"expected ) at token {at}")
-            at += 1
-        if at < len(tokens) and tokens[at] not in "(),:;":
-            label = tokens[at]
+    while tokens[at] != ";":
+        token = tokens[at]
+        if token == "(":
+            if complete:
+                raise ValueError(f"expected no ( at token {at}")
+            open_.append(node)
+            node = Node()
+            open_[-1].children.append(node)
+        elif token == ",":
+            if not open_:
+                raise ValueError(f"expected no , at token {at}")
+            node, complete = Node(), False
+            open_[-1].children.append(node)
+        elif token == ")":
+            if not open_:
+                raise ValueError(f"expected no ) at token {at}")
+            node, complete = open_.pop(), True
+        elif token == ":":
             at += 1
-            if label[0] == "'":
-                label = label[1:-1].replace("''", "'")
+            node.length, complete = float(tokens[at]), True
+        else:
+            label = token[1:-1].replace("''", "'") if token[0] == "'" else token
             try:
                 node.support = float(label) if node.children else None
             except ValueError:
                 pass
             if node.support is None:
                 node.name = label
-        if at < len(tokens) and tokens[at] == ":":
-            node.length = float(tokens[at + 1])
-            at += 2
-        return node
-
-    out = subtree()
-    if at >= len(tokens) or tokens[at] != ";":
-        raise ValueError("a tree ends with a semicolon")
+            complete = True
+        at += 1
+    if open_ or at < len(tokens) - 1:
+        raise ValueError(f"expected ) at token {at}" if open_ else f"expected the end at token {at}")
     return out
 
 

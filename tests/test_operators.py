@@ -65,15 +65,6 @@ def test_clusters(spark):
     for r in graphs.triangle_clusters(d).collect():
         by.setdefault(tuple(r.cluster), set()).add((r.src, r.dst))
     assert sorted(map(len, by.values())) == [3, 9] and {("e", "f"), ("e", "g"), ("f", "g")} in by.values()
-    adjacent = {}
-    for a, b in EDGES:
-        adjacent.setdefault(a, set()).add(b)
-        adjacent.setdefault(b, set()).add(a)
-    for k, sizes in ((3, [3, 9]), (4, [9]), (5, [])):
-        assert sorted(len(e) for _, e in graphs.clusters_of(adjacent, k)) == sizes
-    assert [(a, len(e)) for a, e in graphs.clusters_of(adjacent, 3, budget=0)] == [("3core", 9)]
-    with pytest.raises(ValueError):
-        graphs.percolated([], 1)
 
 
 def test_components_of_chains_loops_and_nothing(spark):
@@ -86,26 +77,6 @@ def test_components_of_chains_loops_and_nothing(spark):
         assert components(nothing.select("src", "dst")).count() == 0
 
 
-def test_percolation_agrees_with_faces():
-    rng = np.random.default_rng(3)
-    for _ in range(20):
-        n = 9
-        edges = [(a, b) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.55]
-        adjacent = {a: set() for a in range(n)}
-        for a, b in edges:
-            adjacent[a].add(b)
-            adjacent[b].add(a)
-        cliques = graphs.maximal_cliques(adjacent)
-        for k in (3, 4):
-            every = [set(c) for c in itertools.combinations(range(n), k) if all(b in adjacent[a] for a, b in itertools.combinations(c, 2))]
-            parts = []
-            for c in every:
-                near = [p for p in parts if any(len(c & x) >= k - 1 for x in p)]
-                parts = [p for p in parts if p not in near] + [[c, *itertools.chain(*near)]]
-            expected = sorted(sorted({e for c in p for e in itertools.combinations(sorted(c), 2)}) for p in parts)
-            assert sorted(map(sorted, graphs.percolated(cliques, k))) == expected
-
-
 def test_ids(spark):
     members = spark.createDataFrame([(n, c) for c, ns in ((1, [1, 2, 3, 4, 5]), (6, [6, 7, 8]), (9, [9, 10, 11])) for n in ns], "node long, component long")
     assert {r.component: r.component_id for r in ranks.component_ids(members).collect()} == {1: "0000", 9: "0001", 6: "0002"}
