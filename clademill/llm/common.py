@@ -13,8 +13,8 @@ from clademill.storage import shared_dir, stored
 #: White space as the word and line rules know it: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 
-#: Of a join's keys, HOT_KEYS at most are dealt over several tasks, those with HOT_ROWS rows and a share of 1/HOT_KEYS.
-HOT_KEYS, HOT_ROWS = 1000, 2000
+#: Rows of a join's key beyond which it is dealt over several tasks, and rows that each of these then gets, whatever the input.
+HOT_ROWS = 2000
 
 __all__ = ["WS", "arrow_batches", "hot_keys", "python", "read", "remainder", "runs", "shared_dir", "spread_join", "stored"]
 
@@ -40,16 +40,18 @@ def python(df: DataFrame, function, schema: str) -> DataFrame:
     return arrow_batches(df).mapInArrow(function, schema)
 
 
-def hot_keys(counts: DataFrame, n: str) -> DataFrame:
-    """The keys with so many rows that they are dealt over several tasks, and over how many (__parts): HOT_KEYS keys at most, whatever the input."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    share = max(HOT_ROWS, -(-total // HOT_KEYS))
-    return counts.where(F.col(n) >= share).withColumn("__parts", F.ceil(F.col(n) / share).cast("int")).drop(n)
+def hot_keys(counts: DataFrame, n: str, rows: int | None = None) -> DataFrame:
+    """The keys with `rows` (HOT_ROWS) rows or more, and over how many parts they are dealt (__parts): a stored table of a key for each `rows` rows at most."""
+    rows = rows or HOT_ROWS
+    return stored(counts.where(F.col(n) >= rows).withColumn("__parts", F.ceil(F.col(n) / rows).cast("int")).drop(n), "hot")
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """left joined (inner or left) with right, which has a row for each key. Rows of hot keys are dealt by the hash of `by`, and their row of right goes to each part."""
-    few = F.broadcast(hot.select(*on, "__parts"))
+    """left joined (inner or left) with right, which has a row for each key. Rows of hot keys are dealt by the hash of `by`, and their row of right goes to each part.
+
+    hot comes by a join, which Spark broadcasts if the stored table is small, and else splits where a key has many rows of left.
+    """
+    few = hot.select(*on, "__parts")
     dealt = left.join(few, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     copied = right.join(few, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return dealt.join(copied, [*on, "__part"], how).drop("__part")

@@ -545,6 +545,20 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
 
 
+def test_a_hub_below_a_thousandth_is_dealt(spark):
+    """A key of 50,000 rows in a table of 60 million, counted as such: its rows are dealt in parts of HOT_ROWS or so."""
+    from clademill.llm import common
+
+    counts = spark.createDataFrame([(0, 50_000), (1, 59_950_000)], "k long, n long")
+    left = spark.range(50_100).select(F.when(F.col("id") < 50_000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(60_000).select(F.col("id").alias("k"))
+    hot = common.hot_keys(counts, "n")
+    assert {r.k: r["__parts"] for r in hot.collect()} == {0: 25, 1: 29_975}
+    assert common.spread_join(left, right, ["k"], hot.where("k = 0"), "v").count() == 50_100
+    dealt = left.where("k = 0").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(25))).groupBy("part").count()
+    assert dealt.agg(F.max("count")).first()[0] < 1.2 * common.HOT_ROWS
+
+
 def test_darts():
     from clademill.llm import darts
 
