@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -171,6 +172,34 @@ def column_emission(tree: Node, tips: dict[str, np.ndarray], same: np.ndarray, r
     return beta_binomial(rows, p["a"], p["b"])[same] * tree_probability(tree, tips, p)
 
 
+class Patterns:
+    """Gap patterns of alignments on one tree: columns that are equal are evaluated once for all of them.
+
+    residues: for each alignment, tips (as named) x columns of 0 and 1.
+    """
+
+    def __init__(self, tree: Node, names: list[str], residues: list[np.ndarray]):
+        every = np.concatenate(residues, 1)
+        unique, place = np.unique(every, axis=1, return_inverse=True)
+        self.tree, self.tips = tree, {name: np.array([1.0 - row, row]) for name, row in zip(names, unique.astype(float))}
+        self.places = np.split(place.ravel(), np.cumsum([r.shape[1] for r in residues])[:-1])
+        self.known: dict[tuple, tuple] = {}
+
+    def slopes(self, p: Params, k: int = 4) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """tree_slopes() of the different columns."""
+        own = tuple(v for name, v in p.items() if name not in ("a", "b"))
+        if own not in self.known:
+            self.known[own] = tree_slopes(self.tree, self.tips, p, k)
+        return self.known[own]
+
+    def column_slopes(self, i: int, same: np.ndarray, p: Params) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """column_slopes() of alignment i."""
+        (on_tree, by_tree), place, rows = self.slopes(p), self.places[i], len(self.tips)
+        on_tree = on_tree[place]
+        kept, by_kept = beta_binomial(rows, p["a"], p["b"])[same], beta_binomial_slopes(rows, p["a"], p["b"])
+        return kept * on_tree, {name: kept * x[place] for name, x in by_tree.items()} | {name: x[same] * on_tree for name, x in by_kept.items()}
+
+
 class Chain:
     """A hidden chain with a start vector, a transition matrix and an emission for each state and position."""
 
@@ -292,31 +321,93 @@ def fit(records: list[Record], start: np.ndarray, move: np.ndarray, params: list
     return descend(total, len(records), sum(len(r.states) for r in records), move, params, rate, momentum, epsilon, steps, by_columns)
 
 
-def fit_table(table: DataFrame, keys: list[str], record: Callable[[pd.DataFrame], Record], start: np.ndarray, move: np.ndarray, params: list[Params], rate: float = 0.05, momentum: float = 0.85, epsilon: float = 0.1, steps: int = 300, by_columns: bool = False):
-    """descend() on records that are the groups of a table, one row a column: a step is one pass over the records.
+def fit_table(table: DataFrame, keys: list[str], prepare: Callable[[pd.DataFrame], object], records: Callable[[list], list[Record]], start: np.ndarray, move: np.ndarray, params: list[Params], method: Callable, **options):
+    """A fit (descend, quasi_newton) to records that are the groups of a table, one row a column: each value is one pass over the records.
 
-    Each group is stored as one row, so that a pass needs no shuffle; it becomes a record where it is. A task adds up its
-    gradients, and a vector of fixed size (the value, the moves and the parameters) reaches the driver from all of them.
+    What `prepare` makes of a group is stored as one row, so that a pass needs no shuffle; `records` makes records of a batch
+    of these at once, so that they can share what they have in common. A task adds up its gradients, and a vector of fixed
+    size (the value, the moves and the parameters) reaches the driver from all of them.
     """
-    packed = stored(table.groupBy(*keys).agg(F.collect_list(F.struct(*table.columns)).alias("__rows")).select("__rows"), "records")
-    size = packed.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.size("__rows")), F.lit(0)).alias("columns")).first()
+
+    def ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [pa.RecordBatch.from_struct_array(rows.values).to_pandas() for rows in batch.column(0)]
+            yield pa.record_batch({"n": pa.array(map(len, parts), pa.int64()), "record": pa.array([pickle.dumps(prepare(p)) for p in parts], pa.binary())})
+
+    grouped = table.groupBy(*keys).agg(F.collect_list(F.struct(*table.columns)).alias("__rows")).select("__rows")
+    packed = stored(grouped.mapInArrow(ready, "n long, record binary"), "records")
+    size = packed.agg(F.count("*").alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("columns")).first()
 
     def total(now: np.ndarray, at: list[Params]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = None
             for batch in batches:
-                for rows in batch.column(0):
-                    part = pa.RecordBatch.from_struct_array(rows.values).to_pandas()
-                    own = _flat(gradients(record(part), start, now, at))
+                for record in records([pickle.loads(x.as_py()) for x in batch.column(0)]):
+                    own = _flat(gradients(record, start, now, at))
                     flat = own if flat is None else flat + own
             if flat is not None:
                 yield pa.record_batch({"i": np.arange(len(flat), dtype=np.int32), "x": flat})
 
-        found = packed.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+        found = packed.select("record").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
         return np.array([r.x for r in found])
 
-    n_records, n_columns = size.records, size.columns
-    return descend(total, n_records, n_columns, move, params, rate, momentum, epsilon, steps, by_columns)
+    return method(total, size.records, size.columns, move, params, **options)
+
+
+def quasi_newton(total: Callable[[np.ndarray, list[Params]], np.ndarray], n_records: int, n_columns: int, move: np.ndarray, params: list[Params], epsilon: float = 0.1, steps: int = 300, reach: float = 1.0):
+    """The same maximum by a quasi-Newton method (BFGS) with a line search; the best model met, and the history of values.
+
+    The matrix that stands for the curvature is of the parameters' size and stays on the driver; each value with its gradients
+    is one call of total, `steps` at most. No parameter moves by more than `reach` on its unbounded scale at once. The fit ends
+    when two lines in a row have won less than epsilon.
+    """
+    names = [[*p] for p in params]
+    n = move.size
+
+    def model(x: np.ndarray) -> tuple[np.ndarray, list[Params]]:
+        rest = iter(x[n:])
+        return softmax(x[:n].reshape(move.shape)), [{name: bounded(name, next(rest)) for name in own} for own in names]
+
+    history: list[float] = []
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        found = total(*model(x))
+        history.append(float(found[0]))
+        return -float(found[0]), found[1:]
+
+    x = np.array([*np.log(move).ravel(), *(unbounded(name, v) for p in params for name, v in p.items())])
+    if not n_records or not steps:
+        return (-np.inf, move, params), history
+    value, slope = at(x)
+    inverse, small, fresh = np.eye(len(x)) / max(1.0, np.abs(slope).max()), 0, True
+    while len(history) < steps and small < 2:
+        way = -inverse @ slope
+        down = float(slope @ way)
+        if not down < 0:
+            inverse, fresh = np.eye(len(x)) / max(1.0, np.abs(slope).max()), True
+            way = -inverse @ slope
+            down = float(slope @ way)
+            if not down < 0:
+                break
+        t = min(1.0, reach / np.abs(way).max())
+        while True:
+            there, its_slope = at(x + t * way)
+            if np.isfinite(there) and there <= value + 1e-4 * t * down:
+                break
+            curve = there - value - t * down
+            t *= float(np.clip(-t * down / (2 * curve), 0.1, 0.5)) if np.isfinite(curve) and curve > 0 else 0.1
+            if len(history) >= steps or t * np.abs(way).max() < 1e-9:
+                return (-value, *model(x)), history
+        step, change = t * way, its_slope - slope
+        bend = float(step @ change)
+        if bend > 1e-12 * np.linalg.norm(step) * np.linalg.norm(change):
+            if fresh:
+                inverse, fresh = np.eye(len(x)) * bend / float(change @ change), False
+            left = np.eye(len(x)) - np.outer(step, change) / bend
+            inverse = left @ inverse @ left.T + np.outer(step, step) / bend
+        small = small + 1 if value - there < epsilon else 0
+        x, value, slope = x + step, there, its_slope
+    return (-value, *model(x)), history
 
 
 def descend(total: Callable[[np.ndarray, list[Params]], np.ndarray], n_records: int, n_columns: int, move: np.ndarray, params: list[Params], rate: float, momentum: float, epsilon: float, steps: int, by_columns: bool = False):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -13,13 +14,14 @@ from clademill.functions.special import beta_binomial, gammainc, geometric_thres
 from clademill.operators import hmm, msa, regions, trees
 from clademill.plans import tree_sql
 from clademill.plans.inputs import PROFILE_SQL, profile, symbols, table
-from clademill.sources import newick
-from clademill.storage import stored
+from clademill.sources import files, newick
+from clademill.storage import shared_dir, stored
 
 QUERIES, SQL = {}, {}
 TREE = "(((1:1,2:1):0.5,(3:1,4:0.8):0.6):0.7,((5:0.9,6:1.1):0.4,7:1.2):0.3);"
 PARAMS = {"q0": 0.6, "q1": 0.9, "pi": 0.7, "p0": 0.02, "p1": 0.05, "pinv": 0.2, "alpha": 0.8}
 STATES = [{**PARAMS, "a": 3.0, "b": 0.5}, {**PARAMS, "a": 0.8, "b": 1.2, "pi": 0.5}, {**PARAMS, "a": 1.5, "b": 0.8, "pi": 0.2}]
+START, MOVE = np.array([0.6, 0.2, 0.2]), np.array([[0.95, 0.03, 0.02], [0.05, 0.9, 0.05], [0.04, 0.03, 0.93]])
 
 
 def query(f, sql: str | None = None):
@@ -128,13 +130,12 @@ def gap_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("OGid", "gnidnum", "len1", *(F.round(c, 6).alias(c) for c in ("len2", "total", "norm1", "norm2")), *whole)
 
 
-def _decoded(part: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def _decoded(part: pd.DataFrame, start: np.ndarray = START, move: np.ndarray = MOVE, states: list[dict] = STATES) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     tree, tips, n = _tips(part)
     gaps = np.array([t[0] for t in tips.values()])
     same = hmm.unchanged(gaps)
-    emit = np.array([hmm.column_emission(tree, tips, same, len(tips), p) for p in STATES])
-    move = np.array([[0.95, 0.03, 0.02], [0.05, 0.9, 0.05], [0.04, 0.03, 0.93]])
-    return hmm.Chain(np.array([0.6, 0.2, 0.2]), move, emit).posterior(), tips
+    emit = np.array([hmm.column_emission(tree, tips, same, len(tips), p) for p in states])
+    return hmm.Chain(start, move, emit).posterior(), tips
 
 
 @query(tree_sql.insertion_sql())
@@ -205,10 +206,12 @@ def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     The fit starts from the counted states and moves (0.1 added to each) and has the reference's 100 passes.
     """
 
-    def record(part: pd.DataFrame) -> hmm.Record:
+    def prepared(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         own = part.sort_values("pos")
-        large = own["x"].to_numpy() > 25
-        return hmm.Record(own["gap"].to_numpy(), [lambda p: np.where(large, p["p1"], 1 - p["p1"])] * 2)
+        return own["gap"].to_numpy(), own["x"].to_numpy() > 25
+
+    def record(states: np.ndarray, large: np.ndarray) -> hmm.Record:
+        return hmm.Record(states, [lambda p: np.where(large, p["p1"], 1 - p["p1"])] * 2)
 
     seen = stored(profile(spark, sf_dir), "profile")
     start, move = np.full(2, 0.1), np.full((2, 2), 0.1)
@@ -218,32 +221,65 @@ def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         if r.before is not None:
             move[r.before, r.after] += r.n
     start, move = start / start.sum(), move / move.sum(1, keepdims=True)
-    (value, found, params), history = hmm.fit_table(seen, ["OGid"], record, start, move, [{"p1": 0.4}, {"p1": 0.6}], rate=1.0, momentum=0.5, epsilon=0.05, steps=100, by_columns=True)
+    (value, found, params), history = hmm.fit_table(seen, ["OGid"], prepared, lambda own: [record(*x) for x in own], start, move, [{"p1": 0.4}, {"p1": 0.6}], hmm.descend, rate=1.0, momentum=0.5, epsilon=0.05, steps=100, by_columns=True)
     rows = [("value", 0, value), ("steps", 0, float(len(history)))] + [("move", k, float(m)) for k, m in enumerate(found.ravel())] + [("p1", k, p["p1"]) for k, p in enumerate(params)]
     return spark.createDataFrame(rows, "name string, k int, x double")
 
 
-def labelled(part: pd.DataFrame, width: int = 11) -> hmm.Record:
-    """An alignment as a record of three states, by the mean share of gaps in the columns around: up to a quarter, up to a half, more."""
-    tree, tips, n = _tips(part)
-    gaps, window = np.array([t[0] for t in tips.values()]), np.ones(min(width, n))
-    same, share = hmm.unchanged(gaps), np.convolve(gaps.mean(0), window, "same") / np.convolve(np.ones(n), window, "same")
-    states = (share > 0.25).astype(int) + (share > 0.5)
-    return hmm.Record(states, [lambda p: hmm.column_emission(tree, tips, same, len(tips), p)] * 3, [lambda p: hmm.column_slopes(tree, tips, same, len(tips), p)] * 3)
+def labelled(part: pd.DataFrame, width: int = 11) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """An alignment with its states, by the mean share of gaps in the columns around: up to a quarter, up to a half, more. Also its
+    rows' names and residues (rows x columns)."""
+    _, tips, n = _tips(part)
+    residues, window = np.array([t[1] for t in tips.values()]), np.ones(min(width, n))
+    share = np.convolve(1 - residues.mean(0), window, "same") / np.convolve(np.ones(n), window, "same")
+    return (share > 0.25).astype(np.int8) + (share > 0.5).astype(np.int8), [*tips], residues.astype(np.uint8)
+
+
+def tree_records(prepared: list[tuple[np.ndarray, list[str], np.ndarray]]) -> list[hmm.Record]:
+    """Records of three states each; alignments of the same rows share the patterns of their columns."""
+    by_rows: dict[tuple, list[int]] = {}
+    for i, (_, names, _) in enumerate(prepared):
+        by_rows.setdefault(tuple(names), []).append(i)
+    out: list[hmm.Record | None] = [None] * len(prepared)
+    for names, own in by_rows.items():
+        patterns = hmm.Patterns(newick.pruned(newick.parse(TREE), set(names)), [*names], [prepared[i][2] for i in own])
+        for k, i in enumerate(own):
+            same = hmm.unchanged(1 - prepared[i][2])
+            both = partial(patterns.column_slopes, k, same)
+            out[i] = hmm.Record(prepared[i][0], [lambda p, both=both: both(p)[0]] * 3, [both] * 3)
+    return out
 
 
-def insertion_fit(spark: SparkSession, sf_dir: str, steps: int = 300) -> DataFrame:
-    """The model of insertion_decode fitted to labelled alignments: moves of three states, and of each state the tree's and the
-    beta-binomial distribution's parameters.
+def fitted(spark: SparkSession, sf_dir: str, steps: int = 300):
+    """The best model found and the history of values: moves of three states, and the parameters of each, from labelled alignments."""
+    return hmm.fit_table(symbols(spark, sf_dir), ["OGid"], labelled, tree_records, START, MOVE, STATES, hmm.quasi_newton, epsilon=0.1, steps=steps)
 
-    Not registered: descent needs hundreds of passes.
-    """
-    move = np.array([[0.95, 0.03, 0.02], [0.05, 0.9, 0.05], [0.04, 0.03, 0.93]])
-    (value, found, params), history = hmm.fit_table(symbols(spark, sf_dir), ["OGid"], labelled, np.array([0.6, 0.2, 0.2]), move, STATES, rate=1.0, momentum=0.7, epsilon=0.1, steps=steps, by_columns=True)
+
+@query
+def insertion_fit(spark: SparkSession, sf_dir: str, steps: int = 300) -> DataFrame:
+    """The model of insertion_decode fitted to labelled alignments by a quasi-Newton method: its value, the first value, the passes
+    taken (the reference's 300 at most), moves of three states, and of each state the tree's and the beta-binomial distribution's
+    parameters."""
+    (value, found, params), history = fitted(spark, sf_dir, steps)
     rows = [("value", 0, value), ("first_value", 0, history[0] if history else None), ("steps", 0, float(len(history)))] + [("move", k, float(m)) for k, m in enumerate(found.ravel())]
     return spark.createDataFrame(rows + [(name, k, p[name]) for k, p in enumerate(params) for name in sorted(p)], "name string, k int, x double")
 
 
+@query
+def fitted_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior of three states at each column, by the model that insertion_fit finds, written as a model file and read back."""
+    (_, move, params), _ = fitted(spark, sf_dir)
+    path = shared_dir(spark) + "/model"
+    files.write_model(spark, path, {"start": START.tolist(), "move": move.tolist(), "states": params})
+    model = files.read_model(spark, path)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        posterior, _ = _decoded(part, np.array(model["start"]), np.array(model["move"]), model["states"])
+        return pd.DataFrame({"OGid": part["OGid"].iloc[0], "pos": np.arange(len(posterior)), "p1": posterior[:, 0], "p2": posterior[:, 1], "p3": posterior[:, 2]})
+
+    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, pos int, p1 double, p2 double, p3 double")
+
+
 @query(tree_sql.missing_sql())
 def missing_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each row that look missing: runs where its gaps are unlikely given the other rows."""
