@@ -239,6 +239,74 @@ class Chain:
             return float(np.log(self.start)[states[0]] + steps + np.log(self.emit)[states, np.arange(len(states))].sum())
 
 
+def _product(stack: np.ndarray) -> np.ndarray:
+    """The product of a stack of matrices from left to right, up to a factor, by halves."""
+    while len(stack) > 1:
+        odd = stack[-1:] if len(stack) % 2 else stack[:0]
+        stack = np.concatenate([stack[: len(stack) // 2 * 2 : 2] @ stack[1::2], odd])
+        stack = stack / stack.max((1, 2), keepdims=True)
+    return stack[0]
+
+
+def blocked_posterior(columns: DataFrame, key: str, start: np.ndarray, move: np.ndarray, block: int = 4096) -> DataFrame:
+    """key, pos and posterior of chains whose columns are dealt over many tasks. columns: key, pos (from 0, none missing), emit.
+
+    Each block of columns is multiplied to one matrix; a scan over a chain's blocks, of which one has few numbers, gives the
+    vectors that enter a block from both sides, and each block then runs its own recursions.
+    """
+    start, move, size = np.asarray(start, float), np.asarray(move, float), len(start)
+    kind = dict(columns.dtypes)[key]
+    rows = columns.withColumn("block", F.floor(F.col("pos") / block)).groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("pos", "emit"))).alias("rows"))
+    packed = stored(rows, "blocks")
+
+    def own(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        return rows.values.field(0).to_numpy(), rows.values.field(1).flatten().to_numpy().reshape(-1, size)
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rows in batch.column("rows"):
+                pos, emit = own(rows)
+                # whatever comes before the first column, it starts anew
+                steps = np.where(pos[:, None, None] == 0, start[None, None], move[None])
+                out.append(_product(steps * emit[:, None, :]).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("block"), pa.array(out, pa.list_(pa.float64()))], names=[key, "block", "m"])
+
+    def scanned(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block")
+        matrices = np.stack(part["m"]).reshape(-1, size, size)
+        entry, leave = np.full((len(part), size), 1 / size), np.ones((len(part), size))
+        for i in range(1, len(part)):
+            entry[i] = entry[i - 1] @ matrices[i - 1]
+            entry[i] /= entry[i].sum()
+        for i in range(len(part) - 2, -1, -1):
+            leave[i] = matrices[i + 1] @ leave[i + 1]
+            leave[i] /= leave[i].max()
+        return pd.DataFrame({key: part[key], "block": part["block"], "entry": [*entry], "leave": [*leave]})
+
+    products = packed.mapInArrow(multiplied, f"{key} {kind}, block long, m array<double>")
+    ends = products.groupBy(key).applyInPandas(scanned, f"{key} {kind}, block long, entry array<double>, leave array<double>")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, rows, entry, leave in zip(batch.column(key), *(batch.column(c) for c in ("rows", "entry", "leave"))):
+                pos, emit = own(rows)
+                forward, back = np.empty_like(emit), np.empty_like(emit)
+                now = np.array(entry.as_py())
+                for i in range(len(pos)):
+                    now = (now @ move if pos[i] else start) * emit[i]
+                    now = forward[i] = now / now.sum()
+                back[-1] = now = np.array(leave.as_py())
+                for i in range(len(pos) - 2, -1, -1):
+                    now = move @ (emit[i + 1] * now)
+                    now = back[i] = now / now.max()
+                found = forward * back
+                found /= found.sum(1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(pos), batch.schema.field(key).type), pa.array(pos, pa.int64()), pa.array([*found], pa.list_(pa.float64()))], names=[key, "pos", "posterior"])
+
+    return packed.join(ends, [key, "block"]).select(key, "rows", "entry", "leave").mapInArrow(within, f"{key} {kind}, pos long, posterior array<double>")
+
+
 def transition_counts(states: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, n))
     np.add.at(out, (states[:-1], states[1:]), 1)

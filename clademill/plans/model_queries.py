@@ -149,6 +149,38 @@ def insertion_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, pos int, p1 double, p2 double, p3 double").select("OGid", "pos", *(F.round(c, 6).alias(c) for c in ("p1", "p2", "p3")))
 
 
+def _emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OGid, pos and the emissions of the three states at each column, each different pattern being evaluated once."""
+    seen = symbols(spark, sf_dir).select("OGid", F.col("ppid").cast("string").alias("ppid"), "pos", (F.col("sym") != msa.GAP).alias("residue"))
+    names = seen.groupBy("OGid").agg(F.array_sort(F.collect_set("ppid")).alias("names"))
+    shown = stored(seen.groupBy("OGid", "pos").agg(F.array_sort(F.collect_set(F.when(F.col("residue"), F.col("ppid")))).alias("shown")), "patterns")
+    before = shown.select("OGid", (F.col("pos") + 1).alias("pos"), F.col("shown").alias("was"))
+    changed = F.size(F.array_except("shown", "was")) + F.size(F.array_except("was", "shown"))
+    columns = shown.join(names, "OGid").join(before, ["OGid", "pos"], "left").withColumn("same", F.when(F.col("was").isNull(), 0).otherwise(F.size("names") - changed))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for names, own in frame.groupby(frame["names"].map(tuple)):
+                shows = [set(x) for x in own["shown"]]
+                residue = {name: np.array([name in x for x in shows], float) for name in names}
+                tree = newick.pruned(newick.parse(TREE), set(names))
+                tips = {name: np.array([1 - x, x]) for name, x in residue.items()}
+                emit = np.array([hmm.column_emission(tree, tips, own["same"].to_numpy(), len(names), p) for p in STATES])
+                out.append(own.assign(emit=[*emit.T]))
+            yield pd.concat(out) if out else frame.assign(emit=None)
+
+    known = columns.select("names", "shown", "same").distinct().mapInPandas(run, "names array<string>, shown array<string>, same int, emit array<double>")
+    return columns.join(known, ["names", "shown", "same"]).select("OGid", "pos", "emit")
+
+
+@query(tree_sql.insertion_sql())
+def blocked_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """insertion_decode with an alignment's columns in blocks of 32, each of them a task's: no alignment is one task."""
+    found = hmm.blocked_posterior(_emissions(spark, sf_dir), "OGid", START, MOVE, block=32)
+    return found.select("OGid", F.col("pos").cast("int").alias("pos"), *(F.round(F.col("posterior")[k], 6).alias(f"p{k + 1}") for k in range(3)))
+
+
 def _weights(tips: dict[str, np.ndarray]) -> np.ndarray:
     own = trees.brownian_weights(newick.pruned(newick.parse(TREE), set(tips))) if len(tips) > 1 else dict.fromkeys(tips, 1.0)
     return np.array([own[name] for name in tips])

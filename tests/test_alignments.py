@@ -200,3 +200,18 @@ def test_registered_tree_fit(spark):
     assert np.allclose(fitted[["p1", "p2", "p3"]].sum(axis=1), 1)
     plain = mq.insertion_decode(spark, sf).toPandas()
     assert len(plain) == len(fitted) and not np.allclose(plain.sort_values(["OGid", "pos"])["p1"], fitted.sort_values(["OGid", "pos"])["p1"])
+
+
+def test_blocks_give_the_recursion(spark):
+    rng = np.random.default_rng(4)
+    start, move = np.array([0.6, 0.3, 0.1]), np.array([[0.9, 0.08, 0.02], [0.1, 0.8, 0.1], [0.0, 0.3, 0.7]])
+    sizes = {"a": 1, "b": 7, "c": 100, "d": 3000}
+    emits = {k: rng.random((n, 3)) ** 8 * 1e-12 + 1e-300 for k, n in sizes.items()}
+    columns = spark.createDataFrame([(k, i, [float(x) for x in row]) for k, e in emits.items() for i, row in enumerate(e)], "k string, pos long, emit array<double>")
+    for block in (7, 4096):
+        found = {(r.k, r.pos): r.posterior for r in hmm.blocked_posterior(columns, "k", start, move, block).collect()}
+        assert len(found) == sum(sizes.values())
+        for k, e in emits.items():
+            want = hmm.Chain(start, move, e.T).posterior()
+            assert np.abs(np.array([found[k, i] for i in range(len(e))]) - want).max() < 1e-9
+    assert hmm.blocked_posterior(columns.where("false"), "k", start, move).count() == 0
