@@ -2,7 +2,7 @@
 
 A word's symbols stand in the leaves of a tree, each leaf with the rank of the merge that joins it to the next symbol.
 Every node holds the least rank below it with its leftmost place, so the root names the next merge; a merge changes three
-leaves and the nodes above them. When no pair can be merged the symbols are the word's ids. A word of n symbols takes
+leaves and the nodes above them. A lowest node has up to WIDE leaves, so that the tree of a short word is its root. When no pair can be merged the symbols are the word's ids. A word of n symbols takes
 n log n steps, however long it is. Normalisation and the split into words are the tokenizer's own; workers remember the
 ids of their words. Decoding looks the ids up and joins their strings with a space, as a tokenizer without a decoder does.
 
@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-NEVER = 1 << 62
+#: Rank and id of a pair that no merge joins.
+NONE = (1 << 29, -1)
+#: Leaves of a lowest node.
+WIDE = 16
 #: Ids in a batch on their way from Python, which a single text may pass.
 BATCH = 1 << 20
 
@@ -44,6 +47,7 @@ class Merges:
             model = json.load(f)["model"]
         self.vocabulary, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.ids = [*map(Id, range(max(self.vocabulary.values()) + 1))]
         #: (left id, right id) -> rank, id of both
         self.merges = {(self.vocabulary[a], self.vocabulary[b]): (rank, self.vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
 
@@ -51,48 +55,67 @@ class Merges:
         """Ids of a word given in the byte-level alphabet."""
         ids = [self.vocabulary[c] for c in letters[:-1]]
         ids.append(self.vocabulary[letters[-1] + self.end])
-        n, merges = len(ids), self.merges
-        if n < 2:
-            return ids
+        n, found = len(ids), self.merges.get
+        if n <= WIDE:
+            return self.in_one_node(ids)
         size = 1 << (n - 1).bit_length()
-        # A node is rank * size + place: the lesser is the leftmost of the lowest rank. Node 1 is the root, leaf i is size + i.
-        tree = [NEVER] * (2 * size)
-        for i in range(n - 1):
-            found = merges.get((ids[i], ids[i + 1]))
-            if found:
-                tree[size + i] = found[0] * size + i
-        for k in range(size - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+        never = NONE[0] * size
+        # A leaf is rank * size + place, so the lesser of two is the leftmost of the lower rank; leaf i joins the symbol at i to the next.
+        leaves = [found(pair, NONE)[0] * size + i for i, pair in enumerate(zip(ids, ids[1:]))]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        nodes = 1 << (-(-n // WIDE) - 1).bit_length()
+        tree = [never] * (2 * nodes)  # node 1 is the root, node nodes + k holds the leaves from k * WIDE
+        for k in range(-(-(n - 1) // WIDE)):
+            tree[nodes + k] = min(leaves[k * WIDE : (k + 1) * WIDE])
+        for k in range(nodes - 1, 0, -1):
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
 
-        def put(i: int, j: int) -> None:
-            """The pair of the symbols at i and j into leaf i; none where j is beyond the word."""
-            found = merges.get((ids[i], ids[j])) if j < n else None
-            k = size + i
-            tree[k] = found[0] * size + i if found else NEVER
-            while k > 1:
-                k >>= 1
-                a, b = tree[2 * k], tree[2 * k + 1]
-                least = a if a < b else b
-                if tree[k] == least:
-                    break
+        def put(i: int, leaf: int) -> None:
+            leaves[i] = leaf
+            k = i // WIDE
+            least = min(leaves[k * WIDE : (k + 1) * WIDE])
+            k += nodes
+            while tree[k] != least:
                 tree[k] = least
+                if k == 1:
+                    return
+                least = min(least, tree[k ^ 1])
+                k >>= 1
 
-        while tree[1] != NEVER:
+        while tree[1] < never:
             i = tree[1] % size
             gone = after[i]
-            ids[i] = merges[ids[i], ids[gone]][1]
-            ids[gone], after[i] = -1, after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            put(gone, n)
-            put(i, after[i])
-            if before[i] >= 0:
-                put(before[i], i)
+            ids[i] = here = found((ids[i], ids[gone]))[1]
+            ids[gone] = -1
+            after[i] = j = after[gone]
+            h = before[i]
+            if j < n:
+                before[j] = i
+            if gone < n - 1:
+                put(gone, never)
+            put(i, found((here, ids[j]), NONE)[0] * size + i if j < n else never)
+            if h >= 0:
+                put(h, found((ids[h], here), NONE)[0] * size + h)
         return [x for x in ids if x >= 0]
 
+    def in_one_node(self, ids: list[int]) -> list[int]:
+        """The same where all leaves are in one node, so that they can close up."""
+        found = self.merges.get
+        leaves = [found(pair, NONE)[0] for pair in zip(ids, ids[1:])]
+        while leaves and (low := min(leaves)) < NONE[0]:
+            i = leaves.index(low)
+            here = found((ids[i], ids[i + 1]))[1]
+            del ids[i + 1], leaves[i]
+            ids[i] = here
+            if i:
+                leaves[i - 1] = found((ids[i - 1], here), NONE)[0]
+            if i < len(leaves):
+                leaves[i] = found((here, ids[i + 1]), NONE)[0]
+        return ids
+
     def tokenize(self, letters: str) -> list[Id]:
-        return [*map(Id, self.encode(letters))]
+        """encode() in the form of the library's models."""
+        return [*map(self.ids.__getitem__, self.encode(letters))]
 
 
 class TreeIds(tokens.Ids):

@@ -36,7 +36,7 @@ class Tree:
 
     def __init__(self, points: np.ndarray, order: np.ndarray | None = None):
         n, width = points.shape
-        self.depth = max(0, -(-n // LEAF) - 1).bit_length()
+        self.depth = max(0, -(-n // LEAF) - 1).bit_length() if width else 0
         self.bounds = [np.arange(2**level + 1) * n // 2**level for level in range(self.depth + 1)]
         self.order = np.arange(n) if order is None else order
         if order is None:
@@ -178,7 +178,7 @@ def coded(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()
     stored = common.stored(blocks(rows, parts, block), "trees")
     books = np.array([r.v for r in first], np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2).copy() if first else np.zeros((parts, 0, 0), np.int64)
-    for _ in range(rounds if len(first) else 0):
+    for _ in range(rounds if books.size else 0):
         books = next_books(stored, books)
     sent = stored.sparkSession.sparkContext.broadcast(books)
 
