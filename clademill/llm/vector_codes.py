@@ -123,8 +123,7 @@ def blocks(rows: DataFrame, parts: int, block: int) -> DataFrame:
             held, n = rest.to_batches(), rest.num_rows
             v = own.column("v").combine_chunks()
             lengths = set(np.diff(v.offsets.to_numpy()).tolist())
-            if len(lengths) > 1 or max(lengths) % parts:
-                raise ValueError(f"vectors of one length, a multiple of {parts}, are asked for; found {sorted(lengths)}")
+            of_one_length(lengths, parts)
             v = v.flatten().to_numpy().reshape(size, -1).astype(np.int32)
             orders = np.stack([Tree(p.astype(np.int64)).order for p in np.split(v, parts, 1)]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), own.column(c).combine_chunks()) for c in ("vec_id", "label")]
@@ -141,9 +140,16 @@ def blocks(rows: DataFrame, parts: int, block: int) -> DataFrame:
     return common.python(rows, run, f"vec_ids array<{kinds['vec_id']}>, labels array<{kinds['label']}>, vectors binary, orders binary")
 
 
-def trees(vectors: bytes, orders: bytes, parts: int) -> Iterator[Tree]:
+def of_one_length(lengths: set[int], parts: int) -> None:
+    if len(lengths) > 1 or max(lengths, default=0) % parts:
+        raise ValueError(f"vectors of one length, a multiple of {parts}, are asked for; found {sorted(lengths)}")
+
+
+def trees(vectors: bytes, orders: bytes, books: np.ndarray) -> Iterator[Tree]:
+    parts, _, width = books.shape
     order = np.frombuffer(orders, np.int32).reshape(parts, -1)
     v = np.frombuffer(vectors, np.int32).reshape(order.shape[1], -1).astype(np.int64)
+    of_one_length({parts * width, v.shape[1]}, parts)
     return (Tree(p, o) for p, o in zip(np.split(v, parts, 1), order))
 
 
@@ -156,7 +162,7 @@ def next_books(stored: DataFrame, books: np.ndarray) -> np.ndarray:
         counts, sums = np.zeros((parts, entries), np.int64), np.zeros(books.shape, np.int64)
         for batch in batches:
             for vectors, orders in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, tree in enumerate(trees(vectors, orders, parts)):
+                for k, tree in enumerate(trees(vectors, orders, sent.value)):
                     n, s = tree.totals(sent.value[k])
                     counts[k] += n
                     sums[k] += s
@@ -176,6 +182,7 @@ def coded(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
     """vec_id, label, codes (binary, a byte a part: 256 entries at most) and error of each vector, and the codebooks (parts, entries, width)."""
     rows = kept(vectors)
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()
+    of_one_length({len(r.v) for r in first}, parts)
     stored = common.stored(blocks(rows, parts, block), "trees")
     books = np.array([r.v for r in first], np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2).copy() if first else np.zeros((parts, 0, 0), np.int64)
     for _ in range(rounds if books.size else 0):
@@ -186,7 +193,7 @@ def coded(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
         for batch in batches:
             for i, (vectors, orders) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("vectors", "orders")))):
                 codes, error = [], 0
-                for book, tree in zip(sent.value, trees(vectors, orders, parts)):
+                for book, tree in zip(sent.value, trees(vectors, orders, sent.value)):
                     entry = tree.assigned(book)
                     own = np.empty_like(tree.points)
                     own[tree.order] = tree.points
