@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clademill.functions.special import beta_binomial, gammainc, geometric_threshold
-from clademill.operators import hmm, msa, regions, trees
+from clademill.operators import hmm, msa, regions, trees, trims
 from clademill.plans import tree_sql
 from clademill.plans.inputs import PROFILE_SQL, profile, symbols, table
 from clademill.sources import files, newick
@@ -181,29 +181,37 @@ def blocked_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("OGid", F.col("pos").cast("int").alias("pos"), *(F.round(F.col("posterior")[k], 6).alias(f"p{k + 1}") for k in range(3)))
 
 
-def _weights(tips: dict[str, np.ndarray]) -> np.ndarray:
-    own = trees.brownian_weights(newick.pruned(newick.parse(TREE), set(tips))) if len(tips) > 1 else dict.fromkeys(tips, 1.0)
-    return np.array([own[name] for name in tips])
+def _row_weights(rows: DataFrame) -> DataFrame:
+    """OGid, ppid and weight of each row of an alignment, by the tree on its rows."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for names in frame["names"]:
+                own = trees.brownian_weights(newick.pruned(newick.parse(TREE), {str(n) for n in names}))
+                out += [(names, int(name), weight) for name, weight in own.items()]
+            yield pd.DataFrame(out, columns=["names", "ppid", "weight"])
 
-@query
+    names = rows.groupBy("OGid").agg(F.array_sort(F.collect_set("ppid")).alias("names"))
+    return names.join(names.select("names").distinct().mapInPandas(run, "names array<int>, ppid int, weight double"), "names").select("OGid", "ppid", "weight")
+
+
+@query(tree_sql.trims_sql())
 def insertion_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices of each alignment that the third state takes, those that the second and third take together, and the columns and
     residues that both kinds of trims leave."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        posterior, tips = _decoded(part)
-        weights = _weights(tips)
-        gaps = weights @ np.array([t[0] for t in tips.values()])
-        p3 = np.where(gaps <= 0.1, 0.0, posterior[:, 2])
-        third, both = msa.hysteresis(p3, gaps), msa.region_trims(posterior[:, 1], p3, gaps)
-        rows = ["".join("-" if g else "A" for g in t[0]) for t in tips.values()]
-        left = msa.without_slices(msa.segment_trims(rows, third, geometric_threshold, weights), both)
-        out = [("segment", a, b) for a, b in third] + [("region", a, b) for a, b in both]
-        frame = pd.DataFrame(out, columns=["kind", "start", "stop"])
-        return frame.assign(OGid=part["OGid"].iloc[0], colnum=len(gaps), columns=len(left[0]), residues=sum(r.count("A") for r in left))[["OGid", "kind", "start", "stop", "colnum", "columns", "residues"]]
-
-    found = symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, kind string, start int, stop int, colnum int, columns int, residues int")
+    seen = symbols(spark, sf_dir)
+    weighted = stored(seen.join(_row_weights(seen.select("OGid", "ppid").distinct()), ["OGid", "ppid"]), "weighted")
+    shown = weighted.groupBy("OGid", "pos").agg(F.sum(F.when(F.col("sym") != msa.GAP, F.col("weight")).otherwise(0.0)).alias("shown"))
+    whole = weighted.groupBy("OGid").agg((F.max("pos") + 1).alias("colnum"))
+    columns = blocked_decode(spark, sf_dir).join(shown, ["OGid", "pos"]).withColumn("gaps", F.round(1 - F.col("shown"), 9))
+    columns = stored(columns.withColumn("p3", F.when(F.col("gaps") <= 0.1, 0.0).otherwise(F.col("p3"))), "columns")
+    third = stored(trims.trim_slices(columns, ["OGid"], "p3", "gaps"), "third")
+    both = stored(trims.region_slices(columns, ["OGid"], "p2", "p3", "gaps"), "both")
+    unaligned = trims.masked(weighted, third, ["OGid"], "ppid", "weight")
+    left = trims.left_over(weighted, unaligned, both, ["OGid"], "ppid")
+    found = third.withColumn("kind", F.lit("segment")).unionByName(both.withColumn("kind", F.lit("region")))
+    found = found.join(whole, "OGid").join(left, "OGid", "left").select("OGid", "kind", "start", "stop", "colnum", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("columns", "residues")))
     return regions.trim_ratios(found)
 
 

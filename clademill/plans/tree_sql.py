@@ -118,6 +118,55 @@ seen AS MATERIALIZED (SELECT c.OGid, c.pos, c.n, {seen} FROM columns c JOIN tree
 SELECT OGid, pos, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3 FROM posterior"""
 
 
+def weights() -> dict[int, float]:
+    """Each tip's share in the root value, worked out from the branches that lead to it."""
+    span, share = {i: 0.0 for i in TIPS}, {"root": 1.0}
+    for node, ((left, a), (right, b)) in INNER.items():
+        span[node] = (a + span[left]) * (b + span[right]) / (a + span[left] + b + span[right])
+    for node, ((left, a), (right, b)) in reversed(INNER.items()):
+        v, w = a + span[left], b + span[right]
+        share[left], share[right] = share[node] * w / (v + w), share[node] * v / (v + w)
+    return {i: share[i] for i in TIPS}
+
+
+def slices_sql(name: str, source: str, p: str, core: float, hulls: bool = False) -> str:
+    """CTE name: OGid, start, stop of trims (or hulls) of the columns of source (OGid, pos, n, p, gaps)."""
+    before, after = "OVER (PARTITION BY OGid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "OVER (PARTITION BY OGid ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    w = "OVER (PARTITION BY OGid ORDER BY pos)"
+    out = f"""{name}_g AS MATERIALIZED (SELECT OGid, pos, n, {p} AS p, {p} >= {core} AS core, CASE WHEN lag({p}) {w} IS NULL THEN coalesce(lead({p}) {w} - {p}, 0e0) WHEN lead({p}) {w} IS NULL THEN {p} - lag({p}) {w} ELSE (lead({p}) {w} - lag({p}) {w}) / 2 END AS grad, coalesce(gaps - lag(gaps) {w}, 0e0) AS step FROM {source}),
+{name}_m AS MATERIALIZED (SELECT *, coalesce(max(CASE WHEN NOT (p >= 1e-3 OR grad >= 1e-3) THEN pos END) {before}, -1) + 1 AS low, coalesce(min(CASE WHEN NOT (p >= 1e-3 OR grad <= -1e-3) THEN pos END) {after}, n) - 1 AS high,
+  coalesce(min(CASE WHEN NOT grad >= 1e-3 THEN pos END) {after}, n) - 1 AS inner_, coalesce(max(CASE WHEN NOT grad <= -1e-3 THEN pos END) {before}, -1) + 1 AS outer_, pos - row_number() OVER (PARTITION BY OGid, core ORDER BY pos) AS run FROM {name}_g),
+{name}_r AS MATERIALIZED (SELECT OGid, run, min(pos) AS a, max(pos) + 1 AS b, arg_min(low, pos) AS low, arg_min(inner_, pos) AS inner_, arg_max(high, pos) AS high, arg_max(outer_, pos) AS outer_ FROM {name}_m WHERE core GROUP BY OGid, run),
+"""
+    if hulls:
+        out += f"{name}_e AS (SELECT OGid, low AS a, high + 1 AS b FROM {name}_r),"
+    else:
+        out += f"""{name}_l AS (SELECT r.OGid, r.run, g.pos FROM {name}_r r JOIN {name}_g g ON g.OGid = r.OGid AND g.pos > r.low AND g.pos <= r.inner_ QUALIFY row_number() OVER (PARTITION BY r.OGid, r.run ORDER BY abs(grad * step) DESC, g.pos) = 1),
+{name}_h AS (SELECT r.OGid, r.run, g.pos FROM {name}_r r JOIN {name}_g g ON g.OGid = r.OGid AND g.pos > r.outer_ AND g.pos <= r.high WHERE r.high > r.b QUALIFY row_number() OVER (PARTITION BY r.OGid, r.run ORDER BY abs(grad * step) DESC, g.pos DESC) = 1),
+{name}_e AS (SELECT r.OGid, CASE WHEN coalesce(l.pos, a) < coalesce(h.pos, b) THEN coalesce(l.pos, a) ELSE a END AS a, CASE WHEN coalesce(l.pos, a) < coalesce(h.pos, b) THEN coalesce(h.pos, b) ELSE b END AS b FROM {name}_r r LEFT JOIN {name}_l l USING (OGid, run) LEFT JOIN {name}_h h USING (OGid, run)),"""
+    return out + f"""
+{name}_o AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY OGid ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM {name}_e),
+{name} AS MATERIALIZED (SELECT OGid, min(a)::INT AS start, max(b)::INT AS stop FROM (SELECT *, sum(opens) OVER (PARTITION BY OGid ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM {name}_o) GROUP BY OGid, k)"""
+
+
+def trims_sql() -> str:
+    own = weights()
+    shown = " + ".join(f"{real(w)} * (1 - g{i})" for i, w in own.items())
+    weight = "CASE ppid " + " ".join(f"WHEN {i} THEN {real(w)}" for i, w in own.items()) + " END"
+    decoded, _, last = insertion_sql().rpartition("\nSELECT OGid, pos, round(p1")
+    return f"""{decoded}, decoded AS MATERIALIZED (SELECT OGid, pos, round(p1{last}),
+cols AS MATERIALIZED (SELECT OGid, pos, n, p2, CASE WHEN gaps <= 0.1 THEN 0e0 ELSE p3 END AS p3, gaps FROM (SELECT d.*, g.n, round(1 - ({shown}), 9) AS gaps FROM decoded d JOIN gaps g USING (OGid, pos))),
+{slices_sql('third', 'cols', 'p3', 0.75)}, {slices_sql('hull', 'cols', 'p3', 0.75, True)},
+pair_cols AS MATERIALIZED (SELECT c.OGid, c.pos, c.n, c.gaps, CASE WHEN h.OGid IS NULL THEN c.p3 ELSE 0e0 END + c.p2 AS y FROM cols c LEFT JOIN hull h ON h.OGid = c.OGid AND c.pos >= h.start AND c.pos < h.stop), {slices_sql('pair', 'pair_cols', 'y', 0.9)},
+counts AS (SELECT t.OGid, t.start, t.stop, ppid, count(*) FILTER (sym <> '-') AS c, any_value({weight}) AS w FROM third t JOIN symbols s ON s.OGid = t.OGid AND s.pos >= t.start AND s.pos < t.stop GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY OGid, start, stop ORDER BY c, ppid) <= count(*) OVER (PARTITION BY OGid, start, stop) - 5 AS rest FROM counts),
+unaligned AS (SELECT OGid, start, stop, ppid FROM (SELECT *, greatest(2e0, coalesce(sum(c * w) FILTER (rest) OVER x / sum(w) FILTER (rest) OVER x, 2e0)) AS mean FROM placed WINDOW x AS (PARTITION BY OGid, start, stop)) WHERE c >= ln(0.01e0) / ln(1 - 1 / (mean + 1)) - 1),
+stay AS (SELECT s.OGid, s.pos, count(*) AS c FROM symbols s WHERE sym <> '-' AND NOT EXISTS (FROM unaligned u WHERE u.OGid = s.OGid AND u.ppid = s.ppid AND s.pos >= u.start AND s.pos < u.stop) AND NOT EXISTS (FROM pair b WHERE b.OGid = s.OGid AND s.pos >= b.start AND s.pos < b.stop) GROUP BY 1, 2),
+rest AS (SELECT OGid, count(*) AS columns, sum(c)::BIGINT AS residues FROM stay GROUP BY 1)
+SELECT OGid, kind, start, stop, size.n::INT AS colnum, coalesce(columns, 0) AS columns, coalesce(residues, 0) AS residues, stop - start AS length, (stop - start) / size.n::DOUBLE AS length_ratio
+FROM (SELECT *, 'segment' AS kind FROM third UNION ALL SELECT *, 'region' FROM pair) f JOIN size USING (OGid) LEFT JOIN rest USING (OGid)"""
+
+
 def missing_ctes() -> str:
     """segments: OGid, ppid, start, stop, where a row looks missing."""
     likely = " UNION ALL ".join(f"SELECT g.OGid, g.pos, g.n, {i} AS ppid, g.g{i} AS gap, x.t / (x.t + y.t) AS likely FROM gaps g JOIN tree x USING ({KEYS}) JOIN tree y ON y.g{i} = 1 - g.g{i} AND " + " AND ".join(f"y.g{j} = g.g{j}" for j in TIPS if j != i) for i in TIPS)
