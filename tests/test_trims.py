@@ -57,10 +57,10 @@ def test_nothing(columns):
 
 def test_masks_and_what_is_left(spark):
     rng = np.random.default_rng(9)
-    alignments = {g: ["".join(rng.choice(["A", "-"], 30, p=[q, 1 - q])) for q in rng.choice([0.02, 0.1, 0.9], 8)] for g in range(12)}
+    alignments = {g: ["".join(rng.choice(["A", "-"], 70, p=[q, 1 - q])) for q in rng.choice([0.02, 0.1, 0.9], 8)] for g in range(12)}
     weights = {g: np.round(rng.random(8), 2) + 0.01 for g in alignments}
     symbols = spark.createDataFrame([(g, r, i, c, float(weights[g][r])) for g, rows in alignments.items() for r, text in enumerate(rows) for i, c in enumerate(text)], "g int, row int, pos int, sym string, w double")
-    slices, regions = {g: [(2, 9), (12, 12 + g)] for g in alignments if g}, {g: [(5, 14)] for g in alignments if g % 3}
+    slices, regions = {g: [(2, 24), (30, 30 + 3 * g)] for g in alignments if g}, {g: [(5, 14)] for g in alignments if g % 3}
     table = lambda own: spark.createDataFrame([(g, a, b) for g, x in own.items() for a, b in x], "g int, start int, stop int")
     masks = trims.masked(symbols, table(slices), ["g"], "row", "w")
     left = {r.g: (r.columns, r.residues) for r in trims.left_over(symbols, masks, table(regions), ["g"], "row").collect()}
