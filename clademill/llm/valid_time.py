@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rows of a client beyond which its time line is cut into parts, and rows of a bucket of clients, over all batches.
-HOT_ROWS, BUCKET_ROWS = 10_000, 10_000
+HOT_ROWS, BUCKET_ROWS = 10_000, 80_000
 NONE, LATEST = -(2**63), 9_200_000_000_000_000
 UNIT = ["client", "slot"]
 FEED = "what string, bucket int, client long, slot int, id long, no_id boolean, at long, no_at boolean, seen long, amount long, no_amount boolean, op string, mark long"
@@ -150,7 +150,7 @@ def enriched(sales: DataFrame, changes: DataFrame, batches: int, hot_rows: int =
     """sales (batch int, id, client, at: microseconds since 1970) and changes (the same, with amount long and op string; at not null)
     in batches 0 to batches - 1: rec, id, batch, n_held, change_id, amount and op of late changes and of all sales."""
     spark, folder = sales.sparkSession, common.shared_dir(sales.sparkSession)
-    buckets = max(16, -(-(sales.count() + changes.count()) // bucket_rows))
+    buckets = max(32, -(-(sales.count() + changes.count()) // bucket_rows))
     both = sales.select("client", "at").union(changes.select("client", "at")).where("client is not null")
     ranges = both.groupBy("client").agg(F.count("*").alias("n"), F.coalesce(F.min("at"), F.lit(0)).alias("lo"), F.coalesce(F.max("at"), F.lit(0)).alias("hi")).where(F.col("n") > hot_rows)
     parts = F.ceil(F.col("n") / hot_rows)
