@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,43 +27,79 @@ def subject_cutoff(hsps: DataFrame, query: Sequence[str] = ("qppid", "sspid"), s
     return hsps.join(above, [*query, subject, gene], "left_semi")
 
 
-def _apart(a: Column, b: Column, axis: str) -> Column:
-    return (a[f"{axis}start"] > b[f"{axis}end"]) | (b[f"{axis}start"] > a[f"{axis}end"])
+class _Axis:
+    """Accepted intervals of one sequence, by start. As any two overlap by little at most, none holds another, and their ends
+    are in the same order: those that a new one meets stand together."""
 
+    def __init__(self):
+        self.starts, self.ends = [], []
 
-def _little(a: Column, b: Column, axis: str, share: float) -> Column:
-    """Apart, or overlapping by less than a share of each; an alignment of one position never overlaps by little."""
-    both = F.least(a[f"{axis}end"], b[f"{axis}end"]) - F.greatest(a[f"{axis}start"], b[f"{axis}start"])
-    ok = [(x[f"{axis}end"] > x[f"{axis}start"]) & (both < share * (x[f"{axis}end"] - x[f"{axis}start"])) for x in (a, b)]
-    return _apart(a, b, axis) | (ok[0] & ok[1])
+    def met(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        for i in range(bisect_left(self.ends, start), bisect_right(self.starts, end)):
+            yield self.starts[i], self.ends[i]
+
+    def add(self, start: int, end: int) -> None:
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
+def _little(start: int, end: int, other: tuple[int, int], share: float) -> bool:
+    """Whether two intervals that meet overlap by less than a share of each; one of a single position never does."""
+    both = min(end, other[1]) - max(start, other[0])
+    return all(b > a and both < share * (b - a) for a, b in ((start, end), other))
+
+
+def accepted(places: Iterable[int], spans: Sequence[tuple[tuple[int, int], tuple[int, int]]], share: float) -> tuple[set[int], set[int]]:
+    """Of spans (start and end in both sequences) in their order, those that meet no accepted one, and with these all that a second
+    pass adds because they overlap those accepted so far by little. A span is looked up in sorted lists, so that n of them
+    take about n log n steps. Spans that end before they start meet nothing and are never accepted."""
+    axes, apart = (_Axis(), _Axis()), set()
+    places = [i for i in places if all(a <= b for a, b in spans[i])]
+    for i in places:
+        if not any(True for axis, span in zip(axes, spans[i]) for _ in axis.met(*span)):
+            apart.add(i)
+            for axis, span in zip(axes, spans[i]):
+                axis.add(*span)
+    every = set(apart)
+    for i in places:
+        if i not in every and all(_little(*span, other, share) for axis, span in zip(axes, spans[i]) for other in axis.met(*span)):
+            every.add(i)
+            for axis, span in zip(axes, spans[i]):
+                axis.add(*span)
+    return apart, every
 
 
 def marked(hsps: DataFrame, keys: Sequence[str] = ("qppid", "sppid"), score: str = "bitscore", order: Sequence[str] = ("qstart", "sstart"), e_value: float = E_VALUE, overlap: float = OVERLAP) -> DataFrame:
     """One row for each pair: hsps, an array by descending score (ties by `order`) with index_hsp, disjoint and compatible.
 
     An HSP is disjoint if it overlaps no disjoint one before it in either sequence and its E-value is low enough. A second
-    pass adds HSPs that overlap those accepted so far by little; all accepted ones are compatible.
+    pass adds HSPs that overlap those accepted so far by little (overlap: less than this share of both, 1 at most); all
+    accepted ones are compatible.
     """
+    if not 0 < overlap <= 1:
+        raise ValueError("overlap has to be above 0 and 1 at most")
     rest = [c for c in hsps.columns if c not in keys]
     item = F.struct((-F.col(score)).alias("__by"), *(F.col(c).alias(f"__o{k}") for k, c in enumerate(order)), *rest)
-    sorted_ = F.transform(F.array_sort(F.collect_list(item)), lambda x, i: F.struct(i.alias("place"), *(x[c].alias(c) for c in rest)))
-    one = hsps.groupBy(*keys).agg(sorted_.alias("hsps"))
-    kind = dict(one.dtypes)["hsps"]
-
-    def first(acc: Column, x: Column) -> Column:
-        free = F.forall(acc, lambda t: _apart(x, t, "q") & _apart(x, t, "s"))
-        return F.when((x["evalue"] <= e_value) & free, F.concat(acc, F.array(x))).otherwise(acc)
-
-    def second(acc: Column, x: Column) -> Column:
-        free = F.forall(acc, lambda t: _little(x, t, "q", overlap) & _little(x, t, "s", overlap) & (x["place"] != t["place"]))
-        return F.when((x["evalue"] <= e_value) & free, F.concat(acc, F.array(x))).otherwise(acc)
-
-    one = one.withColumn("__d", F.aggregate("hsps", F.array().cast(kind), first))
-    one = one.withColumn("__c", F.aggregate("hsps", F.col("__d"), second))
-    places = {c: F.transform(c, lambda x: x["place"]) for c in ("__d", "__c")}
-    one = one.withColumns({"__dp": places["__d"], "__cp": places["__c"]})
-    flags = F.transform("hsps", lambda x: F.struct(*(x[c].alias(c) for c in rest), (x["place"] == 0).alias("index_hsp"), F.array_contains("__dp", x["place"]).alias("disjoint"), F.array_contains("__cp", x["place"]).alias("compatible")))
-    return one.select(*keys, flags.alias("hsps"))
+    one = hsps.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[c].alias(c) for c in rest))).alias("hsps"))
+    kind = dict(one.dtypes)
+    ends = ("qstart", "qend", "sstart", "send")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = []
+            for own in batch.column("hsps"):
+                low = own.values.field("evalue").to_pylist()
+                spans = [((a, b), (c, d)) for a, b, c, d in zip(*(own.values.field(c).to_pylist() for c in ends))]
+                able = [i for i, (x, span) in enumerate(zip(low, spans)) if x is not None and x <= e_value and None not in (*span[0], *span[1])]
+                apart, every = accepted(able, spans, overlap)
+                flags.append(([i in apart for i in range(len(low))], [i in every for i in range(len(low))]))
+            lists = [pa.array([f[k] for f in flags], pa.list_(pa.bool_())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "__d", "__c"])
+
+    found = one.mapInArrow(run, ", ".join(f"`{c}` {kind[c]}" for c in (*keys, "hsps")) + ", __d array<boolean>, __c array<boolean>")
+    flags = F.transform("hsps", lambda x, i: F.struct(*(x[c].alias(c) for c in rest), (i == 0).alias("index_hsp"), F.get("__d", i).alias("disjoint"), F.get("__c", i).alias("compatible")))
+    return found.select(*keys, flags.alias("hsps"))
 
 
 def hits(pairs: DataFrame, keys: Sequence[str] = ("qppid", "sppid"), score: str = "bitscore") -> DataFrame:

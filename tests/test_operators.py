@@ -45,6 +45,35 @@ def test_greedy_marks_and_hit(spark):
     assert (hit.hspnum, hit.chspnum, hit.nqa, hit.nsa, hit.cnqa, hit.cnsa, hit.bitscore) == (2, 3, 161, 161, 211, 222, 280.0)
 
 
+def test_sorted_lists_accept_what_comparing_all_does():
+    rng = np.random.default_rng(12)
+    apart = lambda x, t: x[0] > t[1] or t[0] > x[1]
+    little = lambda x, t, s: apart(x, t) or all(b > a and min(x[1], t[1]) - max(x[0], t[0]) < s * (b - a) for a, b in (x, t))
+    for share in (0.2, 0.5, 1.0):
+        for _ in range(60):
+            spans = [tuple((int(a), int(a + w)) for a, w in zip(rng.integers(0, 300, 2), rng.integers(0, 60, 2))) for _ in range(80)]
+            first = []
+            for i, x in enumerate(spans):
+                if all(apart(x[k], spans[j][k]) for j in first for k in (0, 1)):
+                    first.append(i)
+            every = [*first]
+            for i, x in enumerate(spans):
+                if i not in every and all(little(x[k], spans[j][k], share) for j in every for k in (0, 1)):
+                    every.append(i)
+            assert hits.accepted(range(80), spans, share) == (set(first), set(every))
+
+
+def test_a_hundred_thousand_alignments_of_one_pair(spark):
+    import time
+
+    n = 100_000
+    rows = spark.range(n).select(F.lit("q").alias("qppid"), F.lit("s").alias("sppid"), (F.col("id") * 7 % n * 10).cast("int").alias("qstart"), F.lit(0.0).alias("evalue"), (F.col("id") % 97).cast("double").alias("bitscore"))
+    rows = rows.withColumns({"qend": F.col("qstart") + 12, "sstart": F.col("qstart"), "send": F.col("qstart") + 12})
+    began = time.perf_counter()
+    hit = hits.hits(hits.marked(rows)).first()
+    assert hit.chspnum == n and hit.hspnum > n / 4 and hit.cnqa == 10 * n + 3 and time.perf_counter() - began < 60
+
+
 def test_best_hits_keep_ties_and_filter_afterwards(spark):
     d = spark.createDataFrame([("q", "G", "s1", 500, 0.4), ("q", "G", "s2", 500, 0.6), ("q", "G", "s3", 490, 0.9), ("p", "G", "s1", 5, 0.1), ("p", "G", "s2", 4, 0.9)], "qppid string, sspid string, sppid string, bitscore int, c double")
     assert [(r.qppid, r.sppid) for r in hits.best_hits(d, covered=F.col("c") >= 0.5).collect()] == [("q", "s2")]
