@@ -29,26 +29,32 @@ def cross_reference(header: Column) -> Column:
     return F.split(F.split(F.regexp_extract(header, r"\[db_xref=([^\]]*)\]", 1), ",")[0], ":")[1]
 
 
-def translated(nt: str, aa: str, codons: Mapping[str, str], starts: Set[str]) -> tuple[list[str], str]:
-    """The codons of a coding sequence, and how they agree with a protein: ok, length or mismatch.
+def _meaning(codons: Mapping[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in codons.items() for x in pair))
 
-    A stop codon at the end goes. A start codon stands for M at the first place, X agrees with anything, and one codon
-    more or less than residues is a difference of length that the common part may bear.
+
+def coding(nt: Column, codons: Mapping[str, str]) -> Column:
+    """The codons of a coding sequence as an array, in upper case; a stop codon at the end goes, and so do bases that make no codon."""
+    own = F.regexp_extract_all(F.upper(nt), F.lit("(?s)(...)"), F.lit(1))
+    ends = F.coalesce(F.try_element_at(_meaning(codons), F.try_element_at(own, F.lit(-1))) == "*", F.lit(False))
+    return F.when(ends, F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(own)
+
+
+def agreement(own: Column, aa: Column, codons: Mapping[str, str], starts: Set[str]) -> Column:
+    """How codons agree with a protein: ok, length or mismatch.
+
+    A start codon stands for M at the first place, X agrees with anything, and one codon more or less than residues is a
+    difference of length that the common part may bear.
     """
-    own = [nt[i : i + 3].upper() for i in range(0, len(nt) - 2, 3)]
-    if own and codons.get(own[-1]) == "*":
-        own = own[:-1]
-    status = "ok" if len(own) == len(aa) else "length"
-    if abs(len(own) - len(aa)) > 1:
-        return own, "mismatch"
-    for i, (codon, residue) in enumerate(zip(own, aa)):
-        said = codons.get(codon, "X")
-        if residue != said and "X" not in (residue, said) and not (i == 0 and residue == "M" and codon in starts):
-            return own, "mismatch"
-    return own, status
-
-
-def threaded(aligned: str, codons: list[str], gap: str = "-") -> str:
-    """Codons laid along an aligned protein; three gaps for each gap, and for residues without a codon."""
-    rest = iter(codons)
-    return "".join(c * 3 if c in "-." else next(rest, gap * 3) for c in aligned)
+    residues = F.filter(F.split(aa, ""), lambda c: c != "")
+    n, m = F.size(own), F.size(residues)
+    pairs = F.slice(F.arrays_zip(own.alias("codon"), residues.alias("residue")), 1, F.least(n, m))
+    means = _meaning(codons)
+
+    def differs(x: Column, i: Column) -> Column:
+        said = F.coalesce(F.try_element_at(means, x["codon"]), F.lit("X"))
+        start = (i == 0) & (x["residue"] == "M") & (x["codon"].isin(*starts) if starts else F.lit(False))
+        return (x["residue"] != said) & (x["residue"] != "X") & (said != "X") & ~start
+
+    bad = F.exists(F.transform(pairs, differs), lambda b: b)
+    return F.when((F.abs(n - m) > 1) | bad, "mismatch").when(n == m, "ok").otherwise("length")

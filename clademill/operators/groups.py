@@ -37,10 +37,10 @@ def single_copy(members: DataFrame, group: str = "OGid", least: int = 20) -> Dat
 
 def satisfying(members: DataFrame, rules: DataFrame, group: str = "OGid", item: str = "spid") -> DataFrame:
     """Groups that have, for every rule, at least its minimum of the rule's items. rules: rule, item, min."""
-    n_rules = rules.select("rule").distinct().agg(F.count("*").alias("rules"))
-    found = members.select(group, F.col(item).alias("item")).distinct().join(F.broadcast(rules), "item").groupBy(group, "rule", "min").agg(F.count("*").alias("n"))
+    n_rules = rules.select("rule").distinct().count()
+    found = members.select(group, F.col(item).alias("item")).distinct().join(rules, "item").groupBy(group, "rule", "min").agg(F.count("*").alias("n"))
     met = found.where("n >= min").groupBy(group).agg(F.count("*").alias("met"))
-    return met.crossJoin(F.broadcast(n_rules)).where("met = rules").select(group)
+    return met.where(F.col("met") == n_rules).select(group)
 
 
 def complete(members: DataFrame, n: int, group: str = "OGid") -> DataFrame:
@@ -50,11 +50,18 @@ def complete(members: DataFrame, n: int, group: str = "OGid") -> DataFrame:
 
 
 def missing_one(members: DataFrame, universe: DataFrame, group: str = "OGid", item: str = "spid") -> DataFrame:
-    """For each item, the groups that lack it and nothing else."""
-    n = universe.select(item).distinct().agg(F.count("*").alias("__all"))
-    short = members.groupBy(group).agg(F.countDistinct(item).alias("__n")).crossJoin(F.broadcast(n)).where("__n = __all - 1").select(group)
-    pairs = short.crossJoin(F.broadcast(universe.select(item).distinct()))
-    return pairs.join(members.select(group, item).distinct(), [group, item], "left_anti").groupBy(item).agg(F.count("*").alias("n"))
+    """For each item, how many groups lack it and nothing else.
+
+    A group's items are known by their number and two hashes of all of them, so the one that is lacking follows by subtraction
+    from those of the universe. Items outside the universe and null ones don't count.
+    """
+    one, two = F.xxhash64("__item"), F.xxhash64(F.lit(1), "__item")
+    whole = universe.select(F.col(item).alias("__item")).where("__item is not null").distinct()
+    all_ = whole.agg(F.count("*").alias("n"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two")).first()  # three numbers
+    own = members.select(group, F.col(item).alias("__item")).distinct().join(whole, "__item", "left_semi")
+    sums = own.groupBy(group).agg(F.count("*").alias("n"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two")).where(F.col("n") == all_.n - 1)
+    lacked = sums.groupBy(F.col("one").bitwiseXOR(F.lit(all_.one or 0)).alias("one"), F.col("two").bitwiseXOR(F.lit(all_.two or 0)).alias("two")).agg(F.count("*").alias("n"))
+    return whole.select("__item", one.alias("one"), two.alias("two")).join(lacked, ["one", "two"]).select(F.col("__item").alias(item), "n")
 
 
 def component_types(members: DataFrame, clustered: DataFrame) -> DataFrame:

@@ -27,6 +27,18 @@ def assembled(symbols: DataFrame, keys: Sequence[str]) -> DataFrame:
     return symbols.groupBy(*keys).agg(F.concat_ws("", F.transform(ordered, lambda x: x["sym"])).alias("seq"))
 
 
+def threaded(symbols: DataFrame, coding: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, pos and sym of aligned rows with the codons of their coding sequences (keys, codons: an array) in place of residues.
+
+    The k-th residue of a row gets its k-th codon; three gaps stand for a gap, and for a residue without a codon.
+    """
+    gap = F.col("sym").isin(GAP, UNALIGNED)
+    place = F.sum((~gap).cast("int")).over(Window.partitionBy(*keys).orderBy("pos"))
+    own = coding.select(*keys, F.posexplode("codons").alias("__k", "__codon")).withColumn("__k", F.col("__k") + 1)
+    placed = symbols.select(*keys, "pos", "sym", F.when(~gap, place).alias("__k"))
+    return placed.join(own, [*keys, "__k"], "left").select(*keys, "pos", F.when(gap, F.repeat("sym", 3)).otherwise(F.coalesce("__codon", F.lit(GAP * 3))).alias("sym"))
+
+
 def differences(columns: DataFrame, value: str, group: str = "OGid") -> DataFrame:
     """columns (group, pos, value) with step, the difference to the column before; 0 for the first."""
     before = F.lag(value).over(Window.partitionBy(group).orderBy("pos"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clademill.functions import sequences
 from clademill.operators import graphs, groups, labels, msa, regions
 from clademill.plans.inputs import HSPS_SQL, LINES_SQL, PROFILE_SQL, SYMBOLS_SQL, hsps, lines, profile, symbols, table
 from clademill.sources import files
@@ -200,18 +198,3 @@ def group_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'orders: ' || count(*) || chr(10) || 'customers: ' || count(DISTINCT o_custkey) AS text FROM orders")
 def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.report(table(spark, sf_dir, "orders").agg(F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("customers")))
-
-
-@query()
-def threaded_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codons threaded through the aligned rows: three nucleotides a residue, three gaps a gap."""
-    rows = msa.assembled(symbols(spark, sf_dir), ["OGid", "ppid"])
-
-    @F.pandas_udf("string")
-    def threaded(seq: pd.Series) -> pd.Series:
-        return seq.map(lambda s: sequences.threaded(s, ["ATG"] * sum(c != "-" for c in s)))
-
-    return rows.select("OGid", "ppid", F.length("seq").alias("residues"), threaded("seq").alias("nt"))
-
-
-SQL["threaded_alignments"] = f"WITH {SYMBOLS_SQL} SELECT OGid, ppid, count(*)::INT AS residues, string_agg(CASE WHEN sym = '-' THEN '---' ELSE 'ATG' END, '' ORDER BY pos) AS nt FROM symbols GROUP BY 1, 2"

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clademill.functions import sequences
-from clademill.operators import graphs, groups, hits, regions, stats
+from clademill.operators import graphs, groups, hits, msa, regions, stats
 from clademill.operators.ranks import with_rank
-from clademill.plans.inputs import LINES_SQL, PROFILE_SQL, hsps, lines, profile, table
+from clademill.plans.inputs import LINES_SQL, PROFILE_SQL, SYMBOLS_SQL, hsps, lines, profile, symbols, table
 from clademill.sources import files
 from clademill.storage import shared_dir, stored
 
@@ -153,6 +150,13 @@ def model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a, b, n) for a, own in back.items() for b, n in own.items()], "flag string, status string, n long")
 
 
+def codon_table(spark: SparkSession) -> tuple[dict[str, str], set[str]]:
+    """The standard code, written as text and read back."""
+    path = _folder(spark, "codons")
+    spark.createDataFrame([(CODONS,)], "value string").coalesce(1).write.text(path)
+    return files.codon_table("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
 # Codon k of a part's coding sequence, and its protein: one residue is wrong in every fifth part, the last is missing in every seventh, the first two in every eleventh.
 @query(f"""WITH c AS (SELECT p_partkey, list_transform(range(p_size % 9 + 3), lambda i: (p_partkey * 7 + i * 13) % 64) AS code FROM part),
 a AS (SELECT p_partkey, code, list_transform(code, lambda k: substr('{AAS}', k::INT + 1, 1)) AS said FROM c),
@@ -174,16 +178,9 @@ def codon_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, n = F.col("p_partkey"), F.length("said")
     aa = F.when(key % 11 == 0, F.substring("said", F.lit(3), n)).when(key % 7 == 0, F.substring("said", F.lit(1), n - 1)).when(key % 5 == 0, F.concat(F.substring("said", 1, 1), F.lit("W"), F.substring("said", F.lit(3), n))).otherwise(F.col("said"))
     own = p.select("p_partkey", code.alias("code")).select("p_partkey", nt.alias("nt"), said.alias("said")).select("p_partkey", "nt", aa.alias("aa"))
-    path = _folder(spark, "codons")
-    spark.createDataFrame([(CODONS,)], "value string").coalesce(1).write.text(path)
-    codons, starts = files.codon_table("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [sequences.translated(a, b, codons, starts) for a, b in zip(frame["nt"], frame["aa"])]
-            yield pd.DataFrame({"p_partkey": frame["p_partkey"], "codons": [len(c) for c, _ in found], "status": [x for _, x in found]})
-
-    return own.mapInPandas(run, "p_partkey long, codons long, status string")
+    codons, starts = codon_table(spark)
+    read = own.withColumn("codons", sequences.coding(F.col("nt"), codons))
+    return read.select("p_partkey", F.size("codons").cast("long").alias("codons"), sequences.agreement(F.col("codons"), F.col("aa"), codons, starts).alias("status"))
 
 
 @query(f"""WITH {LINES_SQL} SELECT OGid, p_partkey AS gnid, 'GID' || (p_partkey % 100) AS reference, p_type AS seq FROM lines JOIN part ON gnid = p_partkey""")
@@ -281,3 +278,38 @@ def within_genome_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("event_id") % 500
     found = own.select("qppid", "sppid", "event_id", F.col("start").alias("qstart"), F.col("stop").alias("qend"), start.alias("sstart"), (start + F.col("stop") - F.col("start")).alias("send"), F.when(F.col("event_id") % 5 == 0, 1e-3).otherwise(1e-30).alias("evalue"), "bitscore")
     return hits.hits(hits.marked(found, order=("qstart", "sstart", "event_id"))).withColumn("bitscore", F.round("bitscore", 6))
+
+
+# A residue's codon is one of those that mean it, by its position; X is any. Rows whose coding sequence doesn't agree with the protein, every seventh, are left out.
+NT_SQL = "CASE sym WHEN 'A' THEN 'GC' || substr('TCAG', pos % 4 + 1, 1) WHEN 'N' THEN 'AA' || substr('TC', pos % 2 + 1, 1) ELSE substr('TCAG', pos % 4 + 1, 1) || 'CC' END"
+
+
+@query(f"""WITH {SYMBOLS_SQL} SELECT OGid, ppid, count(*)::INT AS residues, string_agg(CASE WHEN sym = '-' THEN '---' ELSE {NT_SQL} END, '' ORDER BY pos) AS nt, 'ok' AS status
+FROM symbols WHERE ppid % 7 <> 0 GROUP BY 1, 2 HAVING count(*) FILTER (sym <> '-') > 0""")
+def threaded_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codons of the coding sequences that agree with the rows' proteins, threaded through the aligned rows: three nucleotides a
+    residue, three gaps a gap."""
+    seen = symbols(spark, sf_dir)
+    codons, starts = codon_table(spark)
+    base = F.substring(F.lit("TCAG"), F.col("pos") % 4 + 1, F.lit(1))
+    codon = F.when(F.col("sym") == "A", F.concat(F.lit("GC"), base)).when(F.col("sym") == "N", F.concat(F.lit("AA"), F.substring(F.lit("TC"), F.col("pos") % 2 + 1, F.lit(1)))).otherwise(F.concat(base, F.lit("CC")))
+    residues = seen.where("sym <> '-'").withColumn("codon", codon)
+    ordered = lambda c: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c]))
+    # as sequences come: a protein and a coding sequence with its stop codon, in which every seventh row lacks its first two codons
+    own = residues.groupBy("OGid", "ppid").agg(ordered("sym").alias("aa"), F.concat(ordered("codon"), F.lit("taa")).alias("nt"))
+    own = own.withColumn("nt", F.when(F.col("ppid") % 7 == 0, F.expr("substring(nt, 7)")).otherwise(F.col("nt")))
+    read = own.withColumn("codons", sequences.coding(F.col("nt"), codons)).withColumn("status", sequences.agreement(F.col("codons"), F.col("aa"), codons, starts))
+    agreed = stored(read.where("status <> 'mismatch'").select("OGid", "ppid", "codons", "status"), "coding")
+    rows = msa.assembled(msa.threaded(seen.join(agreed.select("OGid", "ppid"), ["OGid", "ppid"], "left_semi"), agreed, ["OGid", "ppid"]), ["OGid", "ppid"])
+    return rows.join(agreed.select("OGid", "ppid", "status"), ["OGid", "ppid"]).select("OGid", "ppid", (F.length("seq") / 3).cast("int").alias("residues"), F.col("seq").alias("nt"), "status")
+
+
+@query("""SELECT l_orderkey, l_linenumber, length(seq) AS symbols, md5(seq) AS seq FROM (SELECT l_orderkey, l_linenumber, repeat(substr('ACGT', (l_linenumber % 4 + 1)::INT, 1) || l_returnflag || l_linestatus, (l_quantity * 3)::INT) AS seq FROM lineitem)""")
+def fasta_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A FASTA record for each line of an order, written as text files and read back by records, so that one file is many tasks."""
+    path = _folder(spark, "records")
+    li = table(spark, sf_dir, "lineitem")
+    header = F.concat(F.lit(">order="), F.col("l_orderkey").cast("string"), F.lit("|line="), F.col("l_linenumber").cast("string"))
+    li.select(files.fasta_text(header, F.expr("repeat(concat(substring('ACGT', int(l_linenumber % 4 + 1), 1), l_returnflag, l_linestatus), int(l_quantity * 3))")).alias("value")).write.text(path)
+    fields = files.header_fields(F.col("header"))
+    return files.read_fasta(spark, path).select(fields["order"].cast("long").alias("l_orderkey"), fields["line"].cast("int").alias("l_linenumber"), F.length("seq").cast("long").alias("symbols"), F.md5(F.col("seq").cast("binary")).alias("seq"))

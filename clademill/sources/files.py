@@ -12,9 +12,19 @@ CODON_FIELDS = ("AAs", "Starts", "Base1", "Base2", "Base3")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """file, ord, header (with >) and seq of each record, over whole files; a file without a record gives none."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    return fasta_records(whole, "value")
+    """file, block, ord, header (with >) and seq of each record; block and ord are in the order of a file's records.
+
+    The reader cuts files at each line that starts with >, so that a file is read by as many tasks as it has splits. What
+    stands before a file's first record is none; a record of the header alone has an empty sequence.
+    """
+    cut = spark.read.option("lineSep", "\n>").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", "\r", "").alias("record"),
+    )
+    heads = cut.where("block = 0").groupBy("path").agg(F.min("ord").alias("ord")).withColumn("first", F.lit(True))
+    # a file's first record keeps its >, all others have lost it to the cut
+    head = F.regexp_replace("record", r"^\s+(?=>)", "")
+    own = cut.join(heads, ["path", "ord"], "left").withColumn("record", F.when(F.col("first"), F.when(head.startswith(">"), head)).otherwise(F.concat(F.lit(">"), F.col("record"))))
+    return own.where("record is not null").select("file", "block", "ord", F.substring_index("record", "\n", 1).alias("header"), F.regexp_replace(F.regexp_replace("record", "^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 
 def fasta_records(files: DataFrame, text: str) -> DataFrame:

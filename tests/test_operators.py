@@ -214,12 +214,42 @@ def test_meta_alignments(spark):
     assert len(found) == n_pools * 100 * n_rows and set(found["n"]) == {10_000}
 
 
-def test_codons():
+def test_codons(spark):
     bases = "TCAG"
-    table = {a + b + c: x for (a, b, c), x in zip(itertools.product(bases, repeat=3), "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG")}
-    codons, status = sequences.translated("CTGAAATAA", "MK", table, {"TTG", "CTG", "ATG"})
-    assert (codons, status) == (["CTG", "AAA"], "ok") and sequences.threaded("M-K", codons) == "CTG---AAA"
-    assert sequences.translated("CTGAAATAA", "QK", table, set())[1] == "mismatch"
+    code = {a + b + c: x for (a, b, c), x in zip(itertools.product(bases, repeat=3), "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG")}
+    rows = [("CTGAAATAA", "MK", ["CTG", "AAA"], "ok"), ("ctgaaataa", "QK", ["CTG", "AAA"], "mismatch"), ("CTGAAAT", "LKW", ["CTG", "AAA"], "length"), ("CTGAAA", "L", ["CTG", "AAA"], "length"), ("CTG", "LKK", ["CTG"], "mismatch"), ("CTGNNN", "XK", ["CTG", "NNN"], "ok"), ("", "", [], "ok"), ("TAA", "", [], "ok"), ("AAACTG", "KM", ["AAA", "CTG"], "mismatch")]
+    d = spark.createDataFrame([r[:2] for r in rows], "nt string, aa string").withColumn("codons", sequences.coding(F.col("nt"), code))
+    found = d.select("codons", sequences.agreement(F.col("codons"), F.col("aa"), code, {"TTG", "CTG", "ATG"}).alias("status")).collect()
+    assert [(list(r.codons), r.status) for r in found] == [r[2:] for r in rows]
+    aligned = spark.createDataFrame([("r", i, c) for i, c in enumerate("M-K.W")], "row string, pos int, sym string")
+    threaded = msa.threaded(aligned, spark.createDataFrame([("r", ["CTG", "AAA"])], "row string, codons array<string>"), ["row"])
+    assert msa.assembled(threaded, ["row"]).first().seq == "CTG---AAA...---"
+
+
+def test_missing_one(spark):
+    members = spark.createDataFrame([(g, i) for g, own in enumerate(["abcd", "abc", "abc", "abd", "ab", "", "bcd", "abcz"]) for i in own] + [(1, "a"), (3, None)], "OGid int, spid string")
+    universe = spark.createDataFrame([(i,) for i in "abcdd"] + [(None,)], "spid string")
+    assert {(r.spid, r.n) for r in groups.missing_one(members, universe).collect()} == {("d", 3), ("c", 1), ("a", 1)}
+    assert groups.missing_one(members.where("false"), universe).count() == 0
+
+
+def test_a_fasta_file_over_many_splits(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    text = {f"r{i}": "".join(rng.choice(list("ACGT"), rng.integers(0, 300))) for i in range(3000)}
+    (tmp_path / "one.fa").write_text("junk\n\n" + "".join(f">{k} x>y\r\n" + "".join(s[i : i + 60] + "\r\n" for i in range(0, len(s), 60)) for k, s in text.items()))
+    (tmp_path / "two.fa").write_text("\n>first\nAC\n>>odd\nGT")
+    (tmp_path / "none.fa").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        found = files.read_fasta(spark, f"file://{tmp_path}").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    one = sorted((r for r in found if r.file == "one.fa"), key=lambda r: (r.block, r.ord))
+    assert len({r.block for r in one}) > 10 and [(r.header, r.seq) for r in one] == [(f">{k} x>y", s) for k, s in text.items()]
+    assert sorted((r.header, r.seq) for r in found if r.file == "two.fa") == [(">>odd", "GT"), (">first", "AC")]
 
 
 def test_tree_weights_and_contrasts():
