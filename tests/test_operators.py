@@ -147,17 +147,21 @@ def test_cluster_ids(spark):
     assert found == {(k, f"{i:04X}") for i, k in enumerate(order)}
 
 
-def test_principal_components(spark, monkeypatch):
+def test_principal_components(spark):
     rng = np.random.default_rng(5)
-    member = rng.random((7, 60)) < 0.4
-    d = spark.createDataFrame([(int(a), int(c)) for a, c in np.argwhere(member)] * 2, "a int, c int")
-    found = np.array([tuple(r)[1:] for r in sorted(stats.principal_components(d, "a", "c", 2).collect())])
-    centred = member - member.mean(0)
-    u, s, _ = np.linalg.svd(centred, full_matrices=False)
-    assert np.allclose(np.abs(found), np.abs(u[:, :2] * s[:2])) and (found[np.abs(found).argmax(0), [0, 1]] > 0).all()
-    monkeypatch.setattr(stats, "MOST_ROWS", 6)
-    with pytest.raises(ValueError):
-        stats.principal_components(d, "a", "c")
+    for shape, share, k in (((7, 60), 0.4, 2), ((150, 40), None, 2), ((3, 2), 0.5, 2)):
+        # groups of rows that have columns in common, so that the first components stand out
+        chance = share if share else 0.05 + 0.5 * (np.arange(shape[0])[:, None] % 3 == np.arange(shape[1])[None] % 3) * np.linspace(1, 0.3, shape[1])
+        member = rng.random(shape) < chance
+        member[:, 0] = True
+        d = spark.createDataFrame([(int(a), int(c)) for a, c in np.argwhere(member)] * 2 + [(None, 1), (1, None)], "a int, c int")
+        found = np.array([tuple(r)[1:] for r in sorted(stats.principal_components(d, "a", "c", k).collect())])
+        centred = member - member.mean(0)
+        u, s, _ = np.linalg.svd(centred, full_matrices=False)
+        want = np.hstack([u * s, np.zeros((shape[0], k))])[:, :k]
+        assert np.allclose(np.abs(found), np.abs(want), atol=1e-7)
+        assert (found[np.abs(found).argmax(0), np.arange(k)] >= 0).all()
+    assert stats.principal_components(d.where("false"), "a", "c").count() == 0
 
 
 def test_representative(spark):
