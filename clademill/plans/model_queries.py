@@ -261,7 +261,7 @@ def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         if r.before is not None:
             move[r.before, r.after] += r.n
     start, move = start / start.sum(), move / move.sum(1, keepdims=True)
-    (value, found, params), history = hmm.fit_table(seen, ["OGid"], prepared, lambda own: [record(*x) for x in own], start, move, [{"p1": 0.4}, {"p1": 0.6}], hmm.descend, rate=1.0, momentum=0.5, epsilon=0.05, steps=100, by_columns=True)
+    (value, found, params), history = hmm.fit_table(seen, ["OGid"], prepared, lambda own: [record(*x) for x in own], start, move, [{"p1": 0.4}, {"p1": 0.6}], hmm.quasi_newton, epsilon=0.05, steps=100)
     rows = [("value", 0, value), ("steps", 0, float(len(history)))] + [("move", k, float(m)) for k, m in enumerate(found.ravel())] + [("p1", k, p["p1"]) for k, p in enumerate(params)]
     return spark.createDataFrame(rows, "name string, k int, x double")
 
