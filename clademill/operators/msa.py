@@ -6,13 +6,18 @@ profile with look-back runs once for each alignment, on numpy arrays.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clademill.storage import stored
+
 GAP, UNALIGNED = "-", "."
+#: Columns of an alignment that are kept as one block for bootstrap draws.
+BLOCK = 65_536
 
 
 def exploded(sequences: DataFrame, seq: str = "seq") -> DataFrame:
@@ -120,47 +125,74 @@ def column_flags(symbols: DataFrame, cutoffs: Sequence[float] = (1.0, 0.5, 0.0),
     return flags.select(group, "pos", pools.alias("pools"))
 
 
-def bootstrap(columns: DataFrame, samples: int, size: int, seed: int, pool: str | None = None) -> DataFrame:
-    """sample, place and the columns drawn with replacement. columns: index (from 0) and others.
-
-    With a pool column, each sample has the full size from each pool; the index then counts on from one pool to the next. The
-    draws are made on the executors, from a generator for each sample (and pool); the pools' ranges reach the driver.
-    """
-    spark = columns.sparkSession
-    if pool is None:
-        ranges = [(0, columns.count())]
-    else:
-        ranges = [(r.low, r.n) for r in columns.groupBy(pool).agg(F.min("index").alias("low"), F.count("*").alias("n")).orderBy("low").collect()]
-
-    def draw(frames):
-        import pandas as pd
-
-        for frame in frames:
-            for one in frame["id"]:
-                k, sample = divmod(int(one), samples)
-                low, n = ranges[k]
-                picks = low + np.random.default_rng([seed, sample] if pool is None else [seed, k, sample]).integers(0, n, size if n else 0)
-                yield pd.DataFrame({"sample": sample, "place": np.arange(len(picks)), "index": picks})
+def packed_columns(columns: DataFrame, rows: Sequence[object], pool: str = "pool", block: int = BLOCK) -> DataFrame:
+    """pool, id, n and symbols: n columns of a pool at a time, as code points by column and row. columns: pool and cells, an array of
+    (row, sym); a row that is not there is a gap."""
+    place = {r: i for i, r in enumerate(rows)}
+    kind = dict(columns.dtypes)[pool]
 
-    drawn = spark.range(samples * len(ranges)).mapInPandas(draw, "sample long, place long, index long")
-    return drawn.hint("merge").join(columns, "index")  # Spark takes the draws for a few rows and would broadcast them
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, list[np.ndarray]] = {}
 
+        def out(name: object, type_: pa.DataType) -> pa.RecordBatch:
+            own = held.pop(name)
+            return pa.RecordBatch.from_arrays([pa.array([name], type_), pa.array([len(own)], pa.int64()), pa.array([np.stack(own).tobytes()])], names=[pool, "n", "symbols"])
 
-def column_texts(symbols: DataFrame, rows: Sequence[object], group: str = "OGid", row: str = "ppid") -> DataFrame:
-    """column: the symbols of each column in the order of rows; a row that is not there is a gap."""
-    parts = [F.coalesce(F.max(F.when(F.col(row) == r, F.col("sym"))), F.lit(GAP)) for r in rows]
-    return symbols.groupBy(group, "pos").agg(F.concat(F.lit(""), *parts).alias("column"))
+        type_ = None
+        for batch in batches:
+            type_ = batch.schema.field(pool).type
+            for name, cells in zip(batch.column(pool).to_pylist(), batch.column("cells").to_pylist()):
+                column = np.full(len(place), ord(GAP), "<u4")
+                for cell in cells:
+                    column[place[cell["row"]]] = ord(cell["sym"])
+                held.setdefault(name, []).append(column)
+                if len(held[name]) == block:
+                    yield out(name, type_)
+        for name in [*held]:
+            yield out(name, type_)
 
+    packed = columns.select(pool, "cells").mapInArrow(run, f"{pool} {kind}, n long, symbols binary")
+    return stored(packed.withColumn("id", F.monotonically_increasing_id()), "columns")
 
-def _symbol(i: int):
-    return lambda x: F.substring(x["column"], i + 1, 1)
 
+def meta_alignments(symbols: DataFrame, pools: DataFrame, samples: int, size: int, seed: int, group: str = "OGid", row: str = "ppid", pool: str = "pool", block: int = BLOCK) -> DataFrame:
+    """pool, sample, row and seq: of each pool samples of `size` columns drawn with replacement, as the sequences of all rows.
 
-def meta_alignments(drawn: DataFrame, rows: Sequence[object], pool: str = "pool", row: str = "ppid") -> DataFrame:
-    """Pool, sample, row and seq: the drawn columns (place, column) as the sequences of an alignment."""
-    whole = drawn.groupBy(pool, "sample").agg(F.array_sort(F.collect_list(F.struct("place", "column"))).alias("__columns"))
-    seqs = [F.struct(F.lit(r).alias(row), F.concat_ws("", F.transform("__columns", _symbol(i))).alias("seq")) for i, r in enumerate(rows)]
-    return whole.select(pool, "sample", F.inline(F.array(*seqs))) if seqs else whole.select(pool, "sample", F.lit(None).alias(row), F.lit("").alias("seq"))
+    pools: group, pos, pool. How many of a sample's draws fall to each block of columns is one multinomial draw; a block then
+    draws its own, so that no column is looked up by a join. The order of a sample's columns is that of their blocks. What
+    reaches the driver is the names of the rows, and a row for each block of columns.
+    """
+    spark = symbols.sparkSession
+    rows = [r[row] for r in symbols.select(row).distinct().orderBy(row).collect()]
+    cells = symbols.groupBy(group, "pos").agg(F.collect_list(F.struct(F.col(row).alias("row"), "sym")).alias("cells"))
+    packed = packed_columns(pools.join(cells, [group, "pos"]), rows, pool, block)
+    blocks: dict[object, list[tuple[int, int]]] = {}
+    for r in packed.select(pool, "id", "n").orderBy(pool, "id").collect():
+        blocks.setdefault(r[pool], []).append((r.id, r.n))
+    layout, kind, row_kind = spark.sparkContext.broadcast([*blocks.values()]), dict(packed.dtypes)[pool], dict(symbols.dtypes)[row]
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, sample in (divmod(i, samples) for i in batch.column("id").to_pylist()):
+                ids, n = np.array(layout.value[k]).T
+                counts = np.random.default_rng([seed, k, sample]).multinomial(size, n / n.sum())
+                used = np.flatnonzero(counts)
+                yield pa.record_batch({"id": ids[used], "k": np.full(len(used), k), "sample": np.full(len(used), sample), "draws": counts[used]})
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, i, n, symbols_, asked in zip(*(batch.column(c).to_pylist() for c in (pool, "id", "n", "symbols", "asked"))):
+                columns = np.frombuffer(symbols_, "<u4").reshape(n, -1)
+                for x in asked:
+                    picked = columns[np.random.default_rng([seed, x["k"], x["sample"], i]).integers(0, n, x["draws"])].T
+                    texts = [np.ascontiguousarray(r).tobytes().decode("utf-32-le") for r in picked]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts), batch.schema.field(pool).type), *(pa.array([v] * len(texts), pa.int64()) for v in (x["sample"], i)), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=[pool, "sample", "id", "place", "text"])
+
+    asked = spark.range(samples * len(blocks)).mapInArrow(share, "id long, k long, sample long, draws long").groupBy("id").agg(F.collect_list(F.struct("k", "sample", "draws")).alias("asked"))
+    parts = packed.join(asked, "id").select(pool, "id", "n", "symbols", "asked").mapInArrow(draw, f"{pool} {kind}, sample long, id long, place long, text string")
+    seqs = parts.groupBy(pool, "sample", "place").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"])).alias("seq"))
+    names = F.get(F.array(*(F.lit(r) for r in rows)).cast(f"array<{row_kind}>"), F.col("place").cast("int"))
+    return seqs.select(pool, "sample", names.alias(row), "seq")
 
 
 # Whole-profile segmentation, on numpy arrays.

@@ -9,6 +9,7 @@ from clademill.functions import sequences
 from clademill.operators import groups, hits, msa, stats
 from clademill.plans.inputs import LINES_SQL, PROFILE_SQL, SYMBOLS_SQL, lines, profile, symbols, table
 from clademill.sources import files
+from clademill.storage import stored
 
 QUERIES, SQL = {}, {}
 
@@ -274,11 +275,6 @@ def membership_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meta-alignments: of each pool 100 samples of 10,000 columns, with replacement, as the sequences of the rows."""
-    from clademill.operators.ranks import with_rank
-
-    every = symbols(spark, sf_dir)
-    rows = [r.ppid for r in every.select("ppid").distinct().orderBy("ppid").collect()]
-    flags = msa.column_flags(every).select("OGid", "pos", F.explode("pools").alias("pool"))
-    columns = flags.join(msa.column_texts(every, rows), ["OGid", "pos"])
-    indexed = with_rank(columns, F.col("pool"), F.col("OGid"), F.col("pos"), name="index")
-    return msa.meta_alignments(msa.bootstrap(indexed, 100, 10_000, 930715, "pool"), rows)
+    every = stored(symbols(spark, sf_dir), "symbols")
+    pools = msa.column_flags(every).select("OGid", "pos", F.explode("pools").alias("pool"))
+    return msa.meta_alignments(every, pools, 100, 10_000, 930715)

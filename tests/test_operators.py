@@ -203,19 +203,22 @@ def test_pools(spark):
 def test_meta_alignments(spark):
     from clademill.plans import table_queries
 
-    pools = [("a", k, f"A{k}") for k in range(8)] + [("b", 8, "B8")]  # a rare pool has the full size too
-    columns = spark.createDataFrame(pools, "pool string, index long, column string")
-    drawn = msa.bootstrap(columns, 3, 50, 1, "pool")
-    assert {(r.pool, r.sample, r["count"]) for r in drawn.groupBy("pool", "sample").count().collect()} == {(p, s, 50) for p in "ab" for s in range(3)}
-    own = {(r.sample, r.place): r.column for r in drawn.where("pool = 'a'").collect()}
-    assert set(own.values()) == {f"A{k}" for k in range(8)}
-    seqs = {(r.pool, r.sample, r.ppid): r.seq for r in msa.meta_alignments(drawn, [1, 2]).collect()}
-    assert seqs["a", 2, 2] == "".join(own[2, k][1] for k in range(50)) and seqs["b", 0, 1] == "B" * 50
-    texts = msa.column_texts(spark.createDataFrame([("g", 1, 0, "A"), ("g", 3, 0, "C")], "OGid string, ppid int, pos int, sym string"), [1, 2, 3])
-    assert texts.first().column == "A-C"
-    found = table_queries.bootstrap_columns(spark, "/root/testdata/sf0.001").select("pool", "sample", "ppid", F.length("seq").alias("n")).toPandas()
-    n_rows, n_pools = found["ppid"].nunique(), found["pool"].nunique()
-    assert len(found) == n_pools * 100 * n_rows and set(found["n"]) == {10_000}
+    # columns AB, BB and CB, of which the first is there 50 times, in several blocks; a row that a column lacks is a gap
+    cells = [("g", r, i, "A" if r == 1 and i < 50 else "B" if r == 2 or i < 60 else "C") for i in range(100) for r in (1, 2)] + [("h", 1, 0, "A")]
+    symbols = spark.createDataFrame(cells, "OGid string, ppid int, pos int, sym string")
+    pools = spark.createDataFrame([("g", i, "a") for i in range(100)] + [("h", 0, "b")], "OGid string, pos int, pool string")
+    n = 40
+    found = {(r.pool, r.sample, r.ppid): r.seq for r in msa.meta_alignments(symbols, pools, n, 1000, 1, block=7).collect()}
+    assert len(found) == 4 * n and all(len(x) == 1000 for x in found.values())
+    assert {found["b", k, r] for k in range(n) for r in (1, 2)} == {"A" * 1000, "-" * 1000}
+    assert {found["a", k, 2] for k in range(n)} == {"B" * 1000} and len({found["a", k, 1] for k in range(n)}) == n
+    for symbol, share in (("A", 0.5), ("B", 0.1), ("C", 0.4)):
+        counts = np.array([found["a", k, 1].count(symbol) for k in range(n)])
+        assert abs(counts.mean() - 1000 * share) < 5 * (1000 * share * (1 - share) / n) ** 0.5  # five standard errors
+        assert 0.5 < counts.var(ddof=1) / (1000 * share * (1 - share)) < 1.9  # binomial, as draws with replacement are
+    made = table_queries.bootstrap_columns(spark, "/root/testdata/sf0.001").select("pool", "sample", "ppid", F.length("seq").alias("n")).toPandas()
+    n_rows, n_pools = made["ppid"].nunique(), made["pool"].nunique()
+    assert len(made) == n_pools * 100 * n_rows and set(made["n"]) == {10_000}
 
 
 def test_codons(spark):
