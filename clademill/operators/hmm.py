@@ -192,6 +192,16 @@ class Patterns:
             self.known[own] = tree_slopes(self.tree, self.tips, p, k)
         return self.known[own]
 
+    def tip_slopes(self, i: int, tip: str, p: Params, k: int = 4) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """tip_slopes() of alignment i."""
+        key = (tip, *p.values())
+        if key not in self.known:
+            (seen, by_seen), (other, by_other) = self.slopes(p, k), tree_slopes(self.tree, self.tips | {tip: self.tips[tip][::-1]}, p, k)
+            whole = seen + other
+            self.known[key] = seen / whole, {name: (by_seen[name] * other - seen * by_other[name]) / whole**2 for name in by_seen}
+        value, by = self.known[key]
+        return value[self.places[i]], {name: x[self.places[i]] for name, x in by.items()}
+
     def column_slopes(self, i: int, same: np.ndarray, p: Params) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """column_slopes() of alignment i."""
         (on_tree, by_tree), place, rows = self.slopes(p), self.places[i], len(self.tips)

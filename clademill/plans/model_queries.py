@@ -305,6 +305,44 @@ def insertion_fit(spark: SparkSession, sf_dir: str, steps: int = 300) -> DataFra
     return spark.createDataFrame(rows + [(name, k, p[name]) for k, p in enumerate(params) for name in sorted(p)], "name string, k int, x double")
 
 
+#: A row that is there, and one whose residues are read as gaps.
+ROW_STATES = [dict(PARAMS), {**PARAMS, "p0": 0.05, "p1": 0.9}]
+ROW_START, ROW_MOVE = np.array([0.95, 0.05]), np.array([[0.98, 0.02], [0.1, 0.9]])
+
+
+def missing_labels(part: pd.DataFrame, width: int = 11) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """An alignment with the states of its rows (rows x columns): missing where over 0.7 of the row's columns around are gaps. Also its
+    rows' names and residues."""
+    _, tips, n = _tips(part)
+    residues, window = np.array([t[1] for t in tips.values()]), np.ones(min(width, n))
+    share = np.array([np.convolve(1 - row, window, "same") / np.convolve(np.ones(n), window, "same") for row in residues])
+    return (share > 0.7).astype(np.int8), [*tips], residues.astype(np.uint8)
+
+
+def row_records(prepared: list[tuple[np.ndarray, list[str], np.ndarray]]) -> list[hmm.Record]:
+    """A record of two states for each row: its symbols given those of the other rows, under either state's tree model."""
+    by_rows: dict[tuple, list[int]] = {}
+    for i, (_, names, _) in enumerate(prepared):
+        by_rows.setdefault(tuple(names), []).append(i)
+    out = []
+    for names, own in by_rows.items():
+        patterns = hmm.Patterns(newick.pruned(newick.parse(TREE), set(names)), [*names], [prepared[i][2] for i in own])
+        for k, i in enumerate(own):
+            for states, name in zip(prepared[i][0], names):
+                both = partial(patterns.tip_slopes, k, name)
+                out.append(hmm.Record(states, [lambda p, both=both: both(p)[0]] * 2, [both] * 2))
+    return out
+
+
+@query
+def missing_fit(spark: SparkSession, sf_dir: str, steps: int = 100) -> DataFrame:
+    """A model of missing rows fitted to labelled alignments: its value, the first value, the passes taken (the reference's 100 at
+    most), moves of two states, and of each state the parameters of the tree that gives a row's symbols."""
+    (value, found, params), history = hmm.fit_table(symbols(spark, sf_dir), ["OGid"], missing_labels, row_records, ROW_START, ROW_MOVE, ROW_STATES, hmm.quasi_newton, epsilon=0.05, steps=steps)
+    rows = [("value", 0, value), ("first_value", 0, history[0] if history else None), ("steps", 0, float(len(history)))] + [("move", k, float(m)) for k, m in enumerate(found.ravel())]
+    return spark.createDataFrame(rows + [(name, k, p[name]) for k, p in enumerate(params) for name in sorted(p)], "name string, k int, x double")
+
+
 @query
 def fitted_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior of three states at each column, by the model that insertion_fit finds, written as a model file and read back."""

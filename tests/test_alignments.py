@@ -189,6 +189,37 @@ def test_quasi_newton_beats_descent():
     assert value == pytest.approx(best[0])
 
 
+def test_rows_share_patterns_too():
+    from clademill.plans import model_queries as mq
+
+    rng = np.random.default_rng(5)
+    made = [(x := columns_of(rng, rng.integers(0, 3, 40)), (1 - x[2]).astype(np.int8)) for _ in range(3)]
+    prepared = [(gaps, names, residues) for (_, names, residues), gaps in made]
+    records = mq.row_records(prepared)
+    assert len(records) == 15
+    for n, record in enumerate(records):
+        names, residues = prepared[n // 5][1:]
+        tips = {name: np.array([1.0 - row, row]) for name, row in zip(names, residues)}
+        tree = newick.pruned(newick.parse(mq.TREE), set(names))
+        for state, slopes in zip(mq.ROW_STATES, record.slopes):
+            (value, by), (want, by_want) = slopes(state), hmm.tip_slopes(tree, tips, state, names[n % 5])
+            assert value == pytest.approx(want) and all(by[k] == pytest.approx(by_want[k]) for k in by_want)
+
+    def total(move, params):
+        return np.sum([hmm._flat(hmm.gradients(r, mq.ROW_START, move, params)) for r in mq.row_records(prepared)], axis=0)
+
+    best, history = hmm.quasi_newton(total, 15, 600, mq.ROW_MOVE, mq.ROW_STATES, epsilon=0.05, steps=100)
+    assert best[0] == max(history) > history[0] + 10 and len(history) <= 100
+
+
+def test_registered_row_fit(spark):
+    from clademill.plans import model_queries as mq
+
+    found = {(r.name, r.k): r.x for r in mq.missing_fit(spark, "/root/testdata/sf0.001").collect()}
+    assert found["value", 0] > found["first_value", 0] + 1 and 2 < found["steps", 0] <= 100
+    assert found["move", 0] + found["move", 1] == pytest.approx(1)
+
+
 def test_registered_tree_fit(spark):
     from clademill.plans import model_queries as mq
 
