@@ -57,6 +57,22 @@ def tree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("weight", F.round("weight", 12))
 
 
+@query(f"""WITH {LENGTHS_SQL}, two AS (SELECT k, unnest(['A', 'A', 'A', 'B', 'B', 'C']) AS one, unnest(['A', 'B', 'C', 'B', 'C', 'C']) AS other, unnest([z + x, z, 0, z + y, 0, w]) AS shared FROM t)
+SELECT k AS p_partkey, one, other, shared::DOUBLE AS shared FROM two""")
+def tree_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of path from the root that each two tips of a tree share."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, text in zip(frame["p_partkey"], frame["newick"]):
+                names, cov = trees.brownian_covariance(newick.parse(text))
+                out += [(k, names[i], names[j], cov[i, j]) for i in range(len(names)) for j in range(i, len(names))]
+            yield pd.DataFrame(out, columns=["p_partkey", "one", "other", "shared"])
+
+    return _trees(spark, sf_dir, "((A:%1$s,B:%2$s):%3$s,C:%4$s);").select("p_partkey", "newick").mapInPandas(run, "p_partkey long, one string, other string, shared double")
+
+
 @query(f"""WITH {LENGTHS_SQL}, u AS (SELECT *, z + x * y / (x + y)::DOUBLE AS v, (a * y + b * x) / (x + y)::DOUBLE AS ab FROM t)
 SELECT k AS p_partkey, round((ab * w + c * v) / (v + w), 6) AS root, round((a - b) / sqrt(x + y), 6) AS first, round((ab - c) / sqrt(v + w), 6) AS second FROM u""")
 def tree_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Regions, trims, labels and fits against hand values."""
 
 import numpy as np
+import plain
 import pytest
 
 from clademill.operators import groups, hmm, labels, msa, regions
@@ -10,41 +11,41 @@ from clademill.sources import files, newick
 def test_hulls_and_margins():
     p = np.array([0, 0, 0.2, 0.9, 0.95, 0.9, 0.3, 0, 0, 0])
     grad = np.gradient(p)
-    assert msa.hulls(p, grad) == [(1, 8)]  # the rise begins at 1, the fall ends at 7
+    assert plain.hulls(p, grad) == [(1, 8)]  # the rise begins at 1, the fall ends at 7
     gaps = np.array([0, 0, 0, 5, 5, 5, 5, 0, 0, 0.0])
-    assert msa.hysteresis(p, gaps) == [(3, 7)]  # the changes of gaps at 3 and 7 are the largest within the margins
+    assert plain.hysteresis(p, gaps) == [(3, 7)]  # the changes of gaps at 3 and 7 are the largest within the margins
 
 
 def test_hysteresis_without_margins():
     flat = np.ones(6)
-    assert msa.hysteresis(flat, np.arange(6.0)) == [(0, 6)]
-    assert msa.hysteresis(np.zeros(6), np.arange(6.0)) == [] and msa.hysteresis(np.zeros(0), np.zeros(0)) == []
-    assert msa.hysteresis(np.ones(1), np.ones(1)) == [(0, 1)]
+    assert plain.hysteresis(flat, np.arange(6.0)) == [(0, 6)]
+    assert plain.hysteresis(np.zeros(6), np.arange(6.0)) == [] and plain.hysteresis(np.zeros(0), np.zeros(0)) == []
+    assert plain.hysteresis(np.ones(1), np.ones(1)) == [(0, 1)]
 
 
 def test_margin_one_column_past_the_core():
     p, gaps = np.array([0, 0, 1, 1, 0.5, 0, 0.0]), np.array([0, 0, 1, 1, 0, 0, 0.0])
-    assert msa.hysteresis(p, gaps) == [(2, 4)]
+    assert plain.hysteresis(p, gaps) == [(2, 4)]
 
 
 def test_region_trims_spare_third_state():
     p3 = np.array([0, 0, 0, 0, 0, 0, 0, 0, 0.9, 1, 0.9, 0])
     p2 = np.array([0, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0.0])
     gaps = np.array([0, 2, 2, 2, 0, 0, 0, 0, 3, 3, 3, 0.0])
-    found = msa.region_trims(p2, p3, gaps)
+    found = plain.region_trims(p2, p3, gaps)
     assert found and all(b <= 6 for _, b in found)
-    assert msa.region_trims(np.zeros(0), np.zeros(0), np.zeros(0)) == []
+    assert plain.region_trims(np.zeros(0), np.zeros(0), np.zeros(0)) == []
 
 
 def test_trims_by_weight():
     rows = ["AAAAAAAAAAAAAAAAAAAA"] + ["A-------------------"] * 7
-    out = msa.segment_trims(rows, [(0, 20)], lambda m: 5, [0.3] + [0.1] * 7)
+    out = plain.segment_trims(rows, [(0, 20)], lambda m: 5, [0.3] + [0.1] * 7)
     assert out[0] == "." * 20 and out[1:] == rows[1:]
     means = []
-    msa.segment_trims(["AA", "A-", "A-", "AA", "AA", "AA", "AA"] , [(0, 2)], lambda m: means.append(m) or 9, drop=2)
+    plain.segment_trims(["AA", "A-", "A-", "AA", "AA", "AA", "AA"] , [(0, 2)], lambda m: means.append(m) or 9, drop=2)
     assert means == [2.0]
-    assert msa.without_slices(["AC-GT", "A--.T"], [(0, 1)]) == ["CGT", "-.T"]
-    assert msa.without_slices([], [(0, 1)]) == []
+    assert plain.without_slices(["AC-GT", "A--.T"], [(0, 1)]) == ["CGT", "-.T"]
+    assert plain.without_slices([], [(0, 1)]) == []
 
 
 def test_labels(spark):

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,7 +172,7 @@ def test_representative(spark):
 
 def test_slices(spark):
     assert msa.merged_slices([(0, 5), (5, 8), (10, 12)]) == [(0, 8), (10, 12)]
-    assert msa.complement_slices([(0, 8), (10, 12)]) == [(8, 10), (12, None)] and msa.complement_slices([]) == [(0, None)]
+    assert plain.complement_slices([(0, 8), (10, 12)]) == [(8, 10), (12, None)] and plain.complement_slices([]) == [(0, None)]
     d = spark.createDataFrame([(1, 0, 5), (1, 5, 8), (1, 10, 12)], "k int, start int, stop int")
     assert sorted((r.start, r.stop) for r in intervals.merged(d, ["k"]).collect()) == [(0, 8), (10, 12)]
     text = spark.createDataFrame([("3-7,9-12",), ("",)], "t string").select(files.slices(F.col("t")).alias("s")).collect()
@@ -189,7 +190,7 @@ def test_profiles(spark):
 def test_threshold():
     assert special.geometric_threshold(3) == pytest.approx(15.0078, abs=1e-4)
     rows = ["A" * 16, "A" * 15 + "-", *["AAA" + "-" * 13] * 6]
-    out = msa.segment_trims(rows, [(0, 16)], lambda m: 16)
+    out = plain.segment_trims(rows, [(0, 16)], lambda m: 16)
     assert out[0] == "." * 16 and out[1] == rows[1]
 
 

@@ -1,10 +1,11 @@
 """Trims by window steps against the plain forms on arrays."""
 
 import numpy as np
+import plain
 import pytest
 
 from clademill.functions.special import geometric_threshold
-from clademill.operators import msa, trims
+from clademill.operators import trims
 
 
 @pytest.fixture(scope="module")
@@ -38,16 +39,16 @@ def some(slices):
 
 
 def test_trims(columns, profiles):
-    assert found(trims.trim_slices(columns, ["g"], "p3", "gaps")) == some({g: msa.hysteresis(p3, c) for g, (_, p3, c) in profiles.items()})
+    assert found(trims.trim_slices(columns, ["g"], "p3", "gaps")) == some({g: plain.hysteresis(p3, c) for g, (_, p3, c) in profiles.items()})
 
 
 def test_hulls(columns, profiles):
-    want = {g: msa.hulls(p3, np.gradient(p3) if len(p3) > 1 else np.zeros(1)) for g, (_, p3, _) in profiles.items()}
+    want = {g: plain.hulls(p3, np.gradient(p3) if len(p3) > 1 else np.zeros(1)) for g, (_, p3, _) in profiles.items()}
     assert found(trims.hull_slices(columns, ["g"], "p3")) == some(want)
 
 
 def test_regions(columns, profiles):
-    want = some({g: msa.region_trims(*own) for g, own in profiles.items()})
+    want = some({g: plain.region_trims(*own) for g, own in profiles.items()})
     assert want and found(trims.region_slices(columns, ["g"], "p2", "p3", "gaps")) == want
 
 
@@ -66,8 +67,8 @@ def test_masks_and_what_is_left(spark):
     left = {r.g: (r.columns, r.residues) for r in trims.left_over(symbols, masks, table(regions), ["g"], "row").collect()}
     hidden = set()
     for g, rows in alignments.items():
-        own = msa.segment_trims(rows, slices.get(g, []), geometric_threshold, weights[g])
+        own = plain.segment_trims(rows, slices.get(g, []), geometric_threshold, weights[g])
         hidden |= {(g, r, a, b) for r, text in enumerate(own) for a, b in slices.get(g, []) if "." in text[a:b]}
-        rest = msa.without_slices(own, regions.get(g, []))
+        rest = plain.without_slices(own, regions.get(g, []))
         assert left.get(g, (0, 0)) == (len(rest[0]), sum(t.count("A") for t in rest))
     assert {tuple(r) for r in masks.collect()} == hidden and hidden
