@@ -33,6 +33,7 @@ NONE = (1 << 29, -1)
 WIDE = 16
 #: Ids in a batch on their way from Python, which a single text may pass.
 BATCH = 1 << 20
+REMEMBERED = 350_000
 
 
 class Id(NamedTuple):
@@ -121,7 +122,7 @@ class Merges:
 class TreeIds(tokens.Ids):
     """Ids of whole texts, each word's by the tree."""
 
-    def __init__(self, path: str, remembered: int = tokens.REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__(path, True, remembered)
         self.merges = Merges(path)
         self.words = tokens.Words(self.merges)
@@ -189,7 +190,9 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         string = held(path).string
         for batch in batches:
-            texts = [string(x) for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            values, ends = ids.values.to_numpy().tolist(), ids.offsets.to_pylist()
+            texts = [string(values[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return common.python(ids.select("doc_id", "ids"), run, "doc_id long, ids array<int>, text string")
