@@ -35,7 +35,7 @@ def test_without_the_folders(tmp_path):
 
 def test_pytest_without_the_folders(tmp_path):
     folder = without_text_operators(tmp_path / "repo")
-    run = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_queries.py::test_entry"], cwd=folder, capture_output=True, text=True, timeout=600)
+    run = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_queries.py", "tests/test_trees.py", "-k", "test_entry or tree or histogram or merged"], cwd=folder, capture_output=True, text=True, timeout=600)
     assert run.returncode == 0, run.stdout + run.stderr
 
 
