@@ -300,8 +300,8 @@ def threaded_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = own.withColumn("nt", F.when(F.col("ppid") % 7 == 0, F.expr("substring(nt, 7)")).otherwise(F.col("nt")))
     read = own.withColumn("codons", sequences.coding(F.col("nt"), codons)).withColumn("status", sequences.agreement(F.col("codons"), F.col("aa"), codons, starts))
     agreed = stored(read.where("status <> 'mismatch'").select("OGid", "ppid", "codons", "status"), "coding")
-    rows = msa.assembled(msa.threaded(seen.join(agreed.select("OGid", "ppid"), ["OGid", "ppid"], "left_semi"), agreed, ["OGid", "ppid"]), ["OGid", "ppid"])
-    return rows.join(agreed.select("OGid", "ppid", "status"), ["OGid", "ppid"]).select("OGid", "ppid", (F.length("seq") / 3).cast("int").alias("residues"), F.col("seq").alias("nt"), "status")
+    rows = msa.assembled(msa.threaded(seen.join(agreed.select("OGid", "ppid").hint("merge"), ["OGid", "ppid"], "left_semi"), agreed, ["OGid", "ppid"]), ["OGid", "ppid"])
+    return rows.join(agreed.select("OGid", "ppid", "status").hint("merge"), ["OGid", "ppid"]).select("OGid", "ppid", (F.length("seq") / 3).cast("int").alias("residues"), F.col("seq").alias("nt"), "status")
 
 
 @query("""SELECT l_orderkey, l_linenumber, length(seq) AS symbols, md5(seq) AS seq FROM (SELECT l_orderkey, l_linenumber, repeat(substr('ACGT', (l_linenumber % 4 + 1)::INT, 1) || l_returnflag || l_linestatus, (l_quantity * 3)::INT) AS seq FROM lineitem)""")

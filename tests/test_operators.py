@@ -234,6 +234,13 @@ def test_codons(spark):
     assert msa.assembled(threaded, ["row"]).first().seq == "CTG---AAA...---"
 
 
+def test_threading_broadcasts_nothing(spark):
+    aligned = spark.createDataFrame([(r, k, s) for r in "rs" for k, s in enumerate("L-K.M")], "row string, pos int, sym string")
+    out = msa.threaded(aligned, spark.createDataFrame([("r", ["CTG", "AAA"])], "row string, codons array<string>"), ["row"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.row, r.seq) for r in msa.assembled(out, ["row"]).collect()} == {("r", "CTG---AAA...---"), ("s", "----" * 2 + "-...---")}
+
+
 def test_missing_one(spark):
     members = spark.createDataFrame([(g, i) for g, own in enumerate(["abcd", "abc", "abc", "abd", "ab", "", "bcd", "abcz"]) for i in own] + [(1, "a"), (3, None)], "OGid int, spid string")
     universe = spark.createDataFrame([(i,) for i in "abcdd"] + [(None,)], "spid string")
