@@ -112,6 +112,28 @@ def test_ids(spark):
     assert {r.component: r.component_id for r in ranks.component_ids(members).collect()} == {1: "0000", 9: "0001", 6: "0002"}
 
 
+def overlapping():
+    rng = np.random.default_rng(12)
+    sets = {g: {int(i) for i in rng.integers(0, 300, rng.choice([1, 2, 3, 5, 8]))} for g in range(150)}
+    return sets | {1000 + g: {int(i) for i in rng.integers(0, 150, 130)} for g in range(6)} | {2000: set(range(500, 600)), 2001: set(range(540, 580)), 2002: {501, 700, 701}}
+
+
+def meeting(sets, least):
+    return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b] and len(sets[a] & sets[b]) >= least * min(len(sets[a]), len(sets[b]))}
+
+
+def test_overlap_of_small_and_large_sets(spark, monkeypatch):
+    sets = overlapping()
+    d = spark.createDataFrame([(g, i) for g, s in sets.items() for i in s], "o int, g int")
+    joined = []
+    candidates = graphs._overlaps
+    monkeypatch.setattr(graphs, "_overlaps", lambda *a, **o: joined.append(a) or candidates(*a, **o))
+    for least in (0.3, 0.5, 1.0):
+        found = [(r.src, r.dst) for r in graphs.overlap_graph(d, "o", "g", least).collect()]
+        assert len(found) == len(set(found)) and set(found) == meeting(sets, least)
+    assert len(joined) == 3
+
+
 def test_paralogs(spark):
     e = spark.createDataFrame([("u", "v", 1)], "src string, dst string, score int")
     p = spark.createDataFrame([("u", "u2")], "node string, paralog string")
