@@ -134,6 +134,19 @@ def test_overlap_of_small_and_large_sets(spark, monkeypatch):
     assert len(joined) == 3
 
 
+def test_links_connect_what_overlaps_connect(spark):
+    sets = overlapping()
+    d = spark.createDataFrame([(g, i) for g, s in sets.items() for i in s], "o int, g int")
+    for least in (0.4, 0.5, 0.9):
+        links = graphs.overlap_links(d, "o", "g", least)
+        assert {(r.src, r.dst) for r in links.collect()} <= meeting(sets, least)
+        whole, some = ({(r.node, r.component) for r in graphs.components(e).collect()} for e in (graphs.overlap_graph(d, "o", "g", least), links))
+        assert whole == some
+    # thirty groups of one item make 29 links, not 435
+    one = spark.createDataFrame([(g, 7) for g in range(30)], "o int, g int")
+    assert graphs.overlap_links(one, "o", "g").count() == 29
+
+
 def test_paralogs(spark):
     e = spark.createDataFrame([("u", "v", 1)], "src string, dst string, score int")
     p = spark.createDataFrame([("u", "u2")], "node string, paralog string")
