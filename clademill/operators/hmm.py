@@ -385,6 +385,86 @@ def gradients(record: Record, start: np.ndarray, move: np.ndarray, params: list[
     return chain.joint(record.states) - chain.log_likelihood(), by_move, by_param
 
 
+class Coded:
+    """Many chains whose emissions depend on no more than a code of each position, run side by side.
+
+    codes: for each chain the codes of its positions; states: its labels, where it has some. slopes: for each state a function from
+    parameters to the emissions of all codes and their derivatives by the parameters as they are. Chains stand longest first and
+    position by position, so that a step of the recursions is one step of all chains that reach it.
+    """
+
+    def __init__(self, codes: list[np.ndarray], slopes: list[Callable[[Params], tuple[np.ndarray, dict[str, np.ndarray]]]], states: list[np.ndarray] | None = None):
+        length = np.array([len(c) for c in codes], int)
+        self.order, self.slopes = np.argsort(-length, kind="stable"), slopes
+        self.length = length[self.order]
+        longest = int(self.length[0]) if len(length) else 0
+        #: chains that reach a position, and where the position's part begins
+        self.active = np.searchsorted(-self.length, -np.arange(longest), "left")
+        self.begin = np.concatenate([[0], np.cumsum(self.active)])
+        self.codes = self._laid(codes)
+        self.states = None if states is None else self._laid(states)
+
+    def _laid(self, rows: list[np.ndarray]) -> np.ndarray:
+        if not len(self.active):
+            return np.zeros(0, int)
+        flat = np.concatenate([rows[i] for i in self.order])
+        starts = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+        return np.concatenate([flat[starts[:n] + i] for i, n in enumerate(self.active)])
+
+    def split(self, laid: np.ndarray) -> list[np.ndarray]:
+        """Values by position as one array for each chain, in the order in which they came."""
+        out: list[np.ndarray] = [laid[:0]] * len(self.order)
+        for k, i in enumerate(self.order):
+            out[i] = laid[self.begin[: self.length[k]] + k]
+        return out
+
+    def recursions(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Posterior (by position) and scale as Chain has them, and the expected number of each transition. emit: states x codes."""
+        seen = emit.T[self.codes]
+        n, begin, active = len(self.active), self.begin, self.active
+        forward, scale, posterior, moves = np.empty_like(seen), np.empty(len(seen)), np.empty_like(seen), np.zeros_like(move)
+        for i in range(n):
+            here = slice(begin[i], begin[i + 1])
+            now = (forward[begin[i - 1] : begin[i - 1] + active[i]] @ move if i else start) * seen[here]
+            scale[here] = total = now.sum(1)
+            forward[here] = now / total[:, None]
+        back = np.ones((active[-1] if n else 0, len(start)))
+        for i in range(n - 1, -1, -1):
+            here = slice(begin[i], begin[i + 1])
+            posterior[here] = forward[here] * back
+            if i:
+                after = seen[here] * back / scale[here][:, None]
+                moves += forward[begin[i - 1] : begin[i - 1] + active[i]].T @ after
+                back = np.concatenate([after @ move.T, np.ones((active[i - 1] - active[i], len(start)))])
+        return posterior, scale, move * moves
+
+    def emitted(self, params: list[Params]) -> tuple[np.ndarray, list[dict[str, np.ndarray]]]:
+        found = [f(p) for f, p in zip(self.slopes, params)]
+        return np.array([emit for emit, _ in found]), [{name: by[name] * bounded_slope(name, p[name]) for name in p} for (_, by), p in zip(found, params)]
+
+    def posteriors(self, start: np.ndarray, move: np.ndarray, params: list[Params]) -> list[np.ndarray]:
+        """positions x states of each chain."""
+        emit = np.array([f(p)[0] for f, p in zip(self.slopes, params)])
+        return self.split(self.recursions(start, move, emit)[0])
+
+    def gradients(self, start: np.ndarray, move: np.ndarray, params: list[Params]) -> tuple[float, np.ndarray, list[dict[str, float]]]:
+        """gradients() of all chains, added up."""
+        emit, slopes = self.emitted(params)
+        posterior, scale, expected = self.recursions(start, move, emit)
+        first, size = self.begin[1] if len(self.active) else 0, emit.shape[1]
+        seen = np.array([np.bincount(self.codes[self.states == k], minlength=size) for k in range(len(start))])
+        before = np.concatenate([self.states[b : b + a] for b, a in zip(self.begin, self.active[1:])]) if len(self.active) > 1 else self.states[:0]
+        counts = np.bincount(before.astype(int) * len(start) + self.states[first:], minlength=len(start) ** 2).reshape(move.shape)
+        with np.errstate(divide="ignore"):
+            joint = sum(float((n[n > 0] * np.log(p[n > 0])).sum()) for n, p in ((seen, emit), (counts, move), (np.bincount(self.states[:first], minlength=len(start)), np.asarray(start))))
+        diff = counts - expected
+        by_param = []
+        for k, by in enumerate(slopes):
+            share = (seen[k] - np.bincount(self.codes, posterior[:, k], size)) / emit[k]
+            by_param.append({name: -float((share * x).sum()) for name, x in by.items()})
+        return joint - float(np.log(scale).sum()), -(diff - move * diff.sum(1, keepdims=True)), by_param
+
+
 def _flat(found: tuple[float, np.ndarray, list[dict[str, float]]]) -> np.ndarray:
     value, by_move, by_param = found
     return np.concatenate([[value], by_move.ravel(), [g for own in by_param for g in own.values()]])
@@ -399,30 +479,35 @@ def fit(records: list[Record], start: np.ndarray, move: np.ndarray, params: list
     return descend(total, len(records), sum(len(r.states) for r in records), move, params, rate, momentum, epsilon, steps, by_columns)
 
 
-def fit_table(table: DataFrame, keys: list[str], prepare: Callable[[pd.DataFrame], object], records: Callable[[list], list[Record]], start: np.ndarray, move: np.ndarray, params: list[Params], method: Callable, **options):
+def fit_table(table: DataFrame, keys: list[str], prepare: Callable[[pd.DataFrame], object], records: Callable[[list], list[Record]], start: np.ndarray, move: np.ndarray, params: list[Params], method: Callable, coded: Callable[[list], list[Coded]] | None = None, piece: int = 1000, **options):
     """A fit (descend, quasi_newton) to records that are the groups of a table, one row a column: each value is one pass over the records.
 
     What `prepare` makes of a group is stored as one row, so that a pass needs no shuffle; `records` makes records of a batch
-    of these at once, so that they can share what they have in common. A task adds up its gradients, and a vector of fixed
+    of these at once, so that they can share what they have in common. With `coded` in its place, `piece` groups at a time are made
+    chains of codes when they are stored, and a pass runs these side by side. A task adds up its gradients, and a vector of fixed
     size (the value, the moves and the parameters) reaches the driver from all of them.
     """
 
     def ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [pa.RecordBatch.from_struct_array(rows.values).to_pandas() for rows in batch.column(0)]
-            yield pa.record_batch({"n": pa.array(map(len, parts), pa.int64()), "record": pa.array([pickle.dumps(prepare(p)) for p in parts], pa.binary())})
+            for at in range(0, len(batch), piece):
+                parts = [pa.RecordBatch.from_struct_array(rows.values).to_pandas() for rows in batch.column(0)[at : at + piece]]
+                made = [prepare(p) for p in parts]
+                rows = [(1, len(p), x) for p, x in zip(parts, made)] if coded is None else [(len(parts), sum(map(len, parts)), coded(made))]
+                yield pa.record_batch({"groups": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "record": pa.array([pickle.dumps(r[2]) for r in rows], pa.binary())})
 
     grouped = table.groupBy(*keys).agg(F.collect_list(F.struct(*table.columns)).alias("__rows")).select("__rows")
-    packed = stored(grouped.mapInArrow(ready, "n long, record binary"), "records")
-    size = packed.agg(F.count("*").alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("columns")).first()
+    packed = stored(grouped.mapInArrow(ready, "groups long, n long, record binary"), "records")
+    size = packed.agg(F.coalesce(F.sum("groups"), F.lit(0)).alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("columns")).first()
 
     def total(now: np.ndarray, at: list[Params]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = None
             for batch in batches:
-                for record in records([pickle.loads(x.as_py()) for x in batch.column(0)]):
-                    own = _flat(gradients(record, start, now, at))
-                    flat = own if flat is None else flat + own
+                stored_ = (pickle.loads(x.as_py()) for x in batch.column(0))
+                every = (gradients(r, start, now, at) for r in records([*stored_])) if coded is None else (c.gradients(start, now, at) for own in stored_ for c in own)
+                for found in every:
+                    flat = _flat(found) if flat is None else flat + _flat(found)
             if flat is not None:
                 yield pa.record_batch({"i": np.arange(len(flat), dtype=np.int32), "x": flat})
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clademill.functions.special import beta_binomial, gammainc, geometric_threshold
+from clademill.functions.special import beta_binomial, beta_binomial_slopes, gammainc, geometric_threshold
 from clademill.operators import hmm, msa, regions, trees, trims
 from clademill.plans import tree_sql
 from clademill.plans.inputs import PROFILE_SQL, profile, symbols, table
@@ -120,13 +121,108 @@ def rerooted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tips(part: pd.DataFrame) -> tuple[newick.Node, dict[str, np.ndarray], int]:
     """The tree on a group's rows, and their gap states as tips; rows shorter than the longest are padded with gaps."""
-    n = int(part["pos"].max()) + 1
-    tips = {}
-    for row, own in part.groupby("ppid"):
-        residue = np.zeros(n)
-        residue[own["pos"]] = own["sym"] != msa.GAP
-        tips[str(row)] = np.array([1 - residue, residue])
-    return newick.pruned(newick.parse(TREE), set(tips)), tips, n
+    names, residues = _residues(part["ppid"].to_numpy(), part["pos"].to_numpy(), (part["sym"] != msa.GAP).to_numpy())
+    return _pruned(tuple(names)), {name: np.array([1 - x, x]) for name, x in zip(names, residues.astype(float))}, residues.shape[1]
+
+
+def _residues(ppid: np.ndarray, pos: np.ndarray, residue: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The names of an alignment's rows, and rows x columns of 0 for gaps and 1 for residues."""
+    rows, at = np.unique(ppid, return_inverse=True)
+    out = np.zeros((len(rows), int(pos.max()) + 1), np.uint8)
+    out[at, pos] = residue
+    return [str(r) for r in rows], out
+
+
+@lru_cache(maxsize=1024)
+def _pruned(names: tuple[str, ...]) -> newick.Node:
+    return newick.pruned(newick.parse(TREE), set(names))
+
+
+def _in_pieces(seen: DataFrame, run: Callable[[list[int], list[tuple[list[str], np.ndarray]]], pd.DataFrame], schema: str, piece: int = 1000) -> DataFrame:
+    """What run makes of `piece` alignments at a time: their OGids, and the names and residues of each."""
+    cells = seen.groupBy("OGid").agg(F.collect_list(F.struct("ppid", "pos", (F.col("sym") != msa.GAP).alias("residue"))).alias("cells"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), piece):
+                own = [c.values.flatten() for c in batch.column(1)[at : at + piece]]
+                made = [_residues(*(x.to_numpy(zero_copy_only=False) for x in c)) for c in own]
+                yield from pa.Table.from_pandas(run(batch.column(0)[at : at + piece].to_pylist(), made), arrow_schema(), preserve_index=False).to_batches()
+
+    def arrow_schema() -> pa.Schema:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+        return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+
+    return cells.mapInArrow(pieces, schema)
+
+
+def _by_rows(alignments: list[tuple[list[str], np.ndarray]]) -> Iterator[tuple[tuple[str, ...], list[int]]]:
+    """Names of rows, and the alignments that have these."""
+    held: dict[tuple, list[int]] = {}
+    for i, (names, _) in enumerate(alignments):
+        held.setdefault(tuple(names), []).append(i)
+    yield from held.items()
+
+
+def _patterns(residues: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different columns of alignments of the same rows (rows x patterns), and which one each column is."""
+    every = np.concatenate(residues, 1)
+    _, first, place = np.unique(_column_keys(every), return_index=True, return_inverse=True)
+    return every[:, first], np.split(place.ravel(), np.cumsum([r.shape[1] for r in residues])[:-1])
+
+
+def _column_keys(residues: np.ndarray) -> np.ndarray:
+    packed = np.ascontiguousarray(np.packbits(residues, axis=0).T)
+    return packed.view(f"V{packed.shape[1]}").ravel() if packed.shape[1] > 1 else packed.ravel()
+
+
+def _pattern_tips(names: tuple[str, ...], patterns: np.ndarray) -> dict[str, np.ndarray]:
+    return {name: np.array([1.0 - x, x]) for name, x in zip(names, patterns.astype(float))}
+
+
+def _column_code_slopes(names: tuple[str, ...], patterns: np.ndarray, place: np.ndarray, same: np.ndarray, p: dict) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """hmm.column_slopes() of the columns that have these patterns and numbers of unchanged rows."""
+    on_tree, by_tree = hmm.tree_slopes(_pruned(names), _pattern_tips(names, patterns), p)
+    kept, by_kept = beta_binomial(len(names), p["a"], p["b"])[same], beta_binomial_slopes(len(names), p["a"], p["b"])
+    return kept * on_tree[place], {name: kept * x[place] for name, x in by_tree.items()} | {name: x[same] * on_tree[place] for name, x in by_kept.items()}
+
+
+def coded_columns(alignments: list[tuple[list[str], np.ndarray]], states: list[np.ndarray] | None = None) -> list[tuple[list[int], hmm.Coded]]:
+    """Alignments of the same rows as chains of columns of three states, and which ones these are."""
+    out = []
+    for names, own in _by_rows(alignments):
+        patterns, places = _patterns([alignments[i][1] for i in own])
+        same = [hmm.unchanged(alignments[i][1]) for i in own]
+        rows = len(names) + 1
+        codes, at = np.unique(np.concatenate(places) * rows + np.concatenate(same), return_inverse=True)
+        split = np.split(at.ravel().astype(np.int32), np.cumsum([len(x) for x in places])[:-1])
+        slopes = partial(_column_code_slopes, names, patterns, codes // rows, codes % rows)
+        out.append((own, hmm.Coded(split, [slopes] * 3, None if states is None else [states[i] for i in own])))
+    return out
+
+
+def _tip_code_slopes(names: tuple[str, ...], patterns: np.ndarray, p: dict) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """hmm.tip_slopes() of each row's symbol in each pattern, row by row."""
+    tree, tips = _pruned(names), _pattern_tips(names, patterns)
+    seen, by_seen = hmm.tree_slopes(tree, tips, p)
+    values, slopes = [], []
+    for name in names:
+        other, by_other = hmm.tree_slopes(tree, tips | {name: tips[name][::-1]}, p)
+        whole = seen + other
+        values.append(seen / whole)
+        slopes.append({k: (by_seen[k] * other - seen * by_other[k]) / whole**2 for k in by_seen})
+    return np.concatenate(values), {k: np.concatenate([x[k] for x in slopes]) for k in by_seen}
+
+
+def coded_rows(alignments: list[tuple[list[str], np.ndarray]], states: list[np.ndarray]) -> list[hmm.Coded]:
+    """The rows of alignments as chains of two states, rows of equal sets side by side. states: rows x columns for each."""
+    out = []
+    for names, own in _by_rows(alignments):
+        patterns, places = _patterns([alignments[i][1] for i in own])
+        n = patterns.shape[1]
+        codes = [(k * n + place).astype(np.int32) for place in places for k in range(len(names))]
+        out.append(hmm.Coded(codes, [partial(_tip_code_slopes, names, patterns)] * 2, [x for i in own for x in states[i]]))
+    return out
 
 
 @query(tree_sql.contrasts_sql())
@@ -146,23 +242,25 @@ def gap_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("OGid", "gnidnum", "len1", *(F.round(c, 6).alias(c) for c in ("len2", "total", "norm1", "norm2")), *whole)
 
 
-def _decoded(part: pd.DataFrame, start: np.ndarray = START, move: np.ndarray = MOVE, states: list[dict] = STATES) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    tree, tips, n = _tips(part)
-    gaps = np.array([t[0] for t in tips.values()])
-    same = hmm.unchanged(gaps)
-    emit = np.array([hmm.column_emission(tree, tips, same, len(tips), p) for p in states])
-    return hmm.Chain(start, move, emit).posterior(), tips
+def _decoded(seen: DataFrame, start: np.ndarray, move: np.ndarray, states: list[dict]) -> DataFrame:
+    """OGid, pos and the posterior of three states at each column of each alignment, many alignments side by side."""
+
+    def run(ids: list[int], alignments: list[tuple[list[str], np.ndarray]]) -> pd.DataFrame:
+        out = []
+        for own, coded in coded_columns(alignments):
+            found = coded.posteriors(start, move, states)
+            n = [len(x) for x in found]
+            p = np.concatenate(found)
+            out.append(pd.DataFrame({"OGid": np.repeat([ids[i] for i in own], n), "pos": np.concatenate([np.arange(k) for k in n]), "p1": p[:, 0], "p2": p[:, 1], "p3": p[:, 2]}))
+        return pd.concat(out)
+
+    return _in_pieces(seen, run, "OGid long, pos int, p1 double, p2 double, p3 double")
 
 
 @query(tree_sql.insertion_sql())
 def insertion_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior of three states at each column of each alignment."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        posterior, _ = _decoded(part)
-        return pd.DataFrame({"OGid": part["OGid"].iloc[0], "pos": np.arange(len(posterior)), "p1": posterior[:, 0], "p2": posterior[:, 1], "p3": posterior[:, 2]})
-
-    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, pos int, p1 double, p2 double, p3 double").select("OGid", "pos", *(F.round(c, 6).alias(c) for c in ("p1", "p2", "p3")))
+    return _decoded(symbols(spark, sf_dir), START, MOVE, STATES).select("OGid", "pos", *(F.round(c, 6).alias(c) for c in ("p1", "p2", "p3")))
 
 
 def _emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,6 +353,11 @@ def _missing(tree: newick.Node, tips: dict[str, np.ndarray]) -> list[tuple[str,
     return out
 
 
+def _large_slopes(p: dict) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Emissions of a small and a large quantity, and their derivatives."""
+    return np.array([1 - p["p1"], p["p1"]]), {"p1": np.array([-1.0, 1.0])}
+
+
 @query
 def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A two-state chain fitted to the profiles: returned lines are the labels, large and small quantities what is seen.
@@ -266,8 +369,8 @@ def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = part.sort_values("pos")
         return own["gap"].to_numpy(), own["x"].to_numpy() > 25
 
-    def record(states: np.ndarray, large: np.ndarray) -> hmm.Record:
-        return hmm.Record(states, [lambda p: np.where(large, p["p1"], 1 - p["p1"])] * 2)
+    def chains(own: list[tuple[np.ndarray, np.ndarray]]) -> list[hmm.Coded]:
+        return [hmm.Coded([large.astype(np.int8) for _, large in own], [_large_slopes] * 2, [states for states, _ in own])]
 
     seen = stored(profile(spark, sf_dir), "profile")
     start, move = np.full(2, 0.1), np.full((2, 2), 0.1)
@@ -277,7 +380,7 @@ def chain_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         if r.before is not None:
             move[r.before, r.after] += r.n
     start, move = start / start.sum(), move / move.sum(1, keepdims=True)
-    (value, found, params), history = hmm.fit_table(seen, ["OGid"], prepared, lambda own: [record(*x) for x in own], start, move, [{"p1": 0.4}, {"p1": 0.6}], hmm.quasi_newton, epsilon=0.05, steps=100)
+    (value, found, params), history = hmm.fit_table(seen, ["OGid"], prepared, list, start, move, [{"p1": 0.4}, {"p1": 0.6}], hmm.quasi_newton, coded=chains, epsilon=0.05, steps=100)
     rows = [("value", 0, value), ("steps", 0, float(len(history)))] + [("move", k, float(m)) for k, m in enumerate(found.ravel())] + [("p1", k, p["p1"]) for k, p in enumerate(params)]
     return spark.createDataFrame(rows, "name string, k int, x double")
 
@@ -306,9 +409,19 @@ def tree_records(prepared: list[tuple[np.ndarray, list[str], np.ndarray]]) -> li
     return out
 
 
+def tree_chains(prepared: list[tuple[np.ndarray, list[str], np.ndarray]]) -> list[hmm.Coded]:
+    """tree_records() as chains that run side by side."""
+    return [c for _, c in coded_columns([(names, residues) for _, names, residues in prepared], [s for s, _, _ in prepared])]
+
+
+def row_chains(prepared: list[tuple[np.ndarray, list[str], np.ndarray]]) -> list[hmm.Coded]:
+    """row_records() as chains that run side by side."""
+    return coded_rows([(names, residues) for _, names, residues in prepared], [s for s, _, _ in prepared])
+
+
 def fitted(spark: SparkSession, sf_dir: str, steps: int = 300):
     """The best model found and the history of values: moves of three states, and the parameters of each, from labelled alignments."""
-    return hmm.fit_table(symbols(spark, sf_dir), ["OGid"], labelled, tree_records, START, MOVE, STATES, hmm.quasi_newton, epsilon=0.1, steps=steps)
+    return hmm.fit_table(symbols(spark, sf_dir), ["OGid"], labelled, tree_records, START, MOVE, STATES, hmm.quasi_newton, coded=tree_chains, epsilon=0.1, steps=steps)
 
 
 @query
@@ -354,7 +467,7 @@ def row_records(prepared: list[tuple[np.ndarray, list[str], np.ndarray]]) -> lis
 def missing_fit(spark: SparkSession, sf_dir: str, steps: int = 100) -> DataFrame:
     """A model of missing rows fitted to labelled alignments: its value, the first value, the passes taken (the reference's 100 at
     most), moves of two states, and of each state the parameters of the tree that gives a row's symbols."""
-    (value, found, params), history = hmm.fit_table(symbols(spark, sf_dir), ["OGid"], missing_labels, row_records, ROW_START, ROW_MOVE, ROW_STATES, hmm.quasi_newton, epsilon=0.05, steps=steps)
+    (value, found, params), history = hmm.fit_table(symbols(spark, sf_dir), ["OGid"], missing_labels, row_records, ROW_START, ROW_MOVE, ROW_STATES, hmm.quasi_newton, coded=row_chains, epsilon=0.05, steps=steps)
     rows = [("value", 0, value), ("first_value", 0, history[0] if history else None), ("steps", 0, float(len(history)))] + [("move", k, float(m)) for k, m in enumerate(found.ravel())]
     return spark.createDataFrame(rows + [(name, k, p[name]) for k, p in enumerate(params) for name in sorted(p)], "name string, k int, x double")
 
@@ -367,11 +480,7 @@ def fitted_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_model(spark, path, {"start": START.tolist(), "move": move.tolist(), "states": params})
     model = files.read_model(spark, path)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        posterior, _ = _decoded(part, np.array(model["start"]), np.array(model["move"]), model["states"])
-        return pd.DataFrame({"OGid": part["OGid"].iloc[0], "pos": np.arange(len(posterior)), "p1": posterior[:, 0], "p2": posterior[:, 1], "p3": posterior[:, 2]})
-
-    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, pos int, p1 double, p2 double, p3 double")
+    return _decoded(symbols(spark, sf_dir), np.array(model["start"]), np.array(model["move"]), model["states"])
 
 
 @query(tree_sql.missing_sql())

@@ -213,6 +213,25 @@ def test_rows_share_patterns_too():
     assert best[0] == max(history) > history[0] + 10 and len(history) <= 100
 
 
+def test_chains_side_by_side():
+    from clademill.plans import model_queries as mq
+
+    rng = np.random.default_rng(6)
+    made = [columns_of(rng, rng.integers(0, 3, n), rows) for n, rows in ((40, 5), (1, 5), (17, 4), (60, 5), (40, 4))]
+    rows = [((1 - r).astype(np.int8), names, r) for _, names, r in made]
+    for prepared, records, chains, start, move, params in (
+        (made, mq.tree_records, mq.tree_chains, mq.START, mq.MOVE, mq.STATES), (rows, mq.row_records, mq.row_chains, mq.ROW_START, mq.ROW_MOVE, mq.ROW_STATES)
+    ):
+        want = np.sum([hmm._flat(hmm.gradients(r, start, move, params)) for r in records(prepared)], axis=0)
+        assert np.sum([hmm._flat(c.gradients(start, move, params)) for c in chains(prepared)], axis=0) == pytest.approx(want)
+    for own, coded in mq.coded_columns([x[1:] for x in made]):
+        for i, found in zip(own, coded.posteriors(mq.START, mq.MOVE, mq.STATES)):
+            emit, _ = mq.tree_records([made[i]])[0].emitted(mq.STATES)
+            assert found == pytest.approx(hmm.Chain(mq.START, mq.MOVE, emit).posterior())
+    empty = hmm.Coded([np.zeros(0, int)], [mq._large_slopes] * 2, [np.zeros(0, int)])
+    assert empty.gradients(np.full(2, 0.5), np.full((2, 2), 0.5), [{"p1": 0.4}] * 2)[0] == 0 and len(empty.posteriors(np.full(2, 0.5), np.full((2, 2), 0.5), [{"p1": 0.4}] * 2)[0]) == 0
+
+
 def test_registered_row_fit(spark):
     from clademill.plans import model_queries as mq
 
