@@ -564,10 +564,10 @@ SELECT OGid, round(sum(ln(CASE WHEN before IS NULL THEN CASE gap WHEN 0 THEN 0.7
 def path_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logarithm of the probability of each profile's gap states together with its quantities."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        own = part.sort_values("pos")
-        large = own["x"].to_numpy() > 25
-        chain = hmm.Chain(np.array([0.7, 0.3]), np.array([[0.8, 0.2], [0.6, 0.4]]), np.array([np.where(large, p, 1 - p) for p in (0.45, 0.65)]))
-        return pd.DataFrame({"OGid": [part["OGid"].iloc[0]], "joint": [chain.joint(own["gap"].to_numpy())]})
-
-    return profile(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, joint double").withColumn("joint", F.round("joint", 6))
+    start, move, large = (0.7, 0.3), ((0.8, 0.2), (0.6, 0.4)), (0.45, 0.65)
+    state = lambda p: F.when(F.col("gap") == 0, float(np.log(p[0]))).otherwise(float(np.log(p[1])))
+    before = F.lag("gap").over(Window.partitionBy("OGid").orderBy("pos"))
+    step = F.when(before.isNull(), state(start)).when(before == 0, state(move[0])).otherwise(state(move[1]))
+    seen = F.when(F.col("x") > 25, state(large)).otherwise(state([1 - p for p in large]))
+    steps = profile(spark, sf_dir).select("OGid", (step + seen).alias("log"))
+    return steps.groupBy("OGid").agg(F.round(F.sum("log"), 6).alias("joint"))

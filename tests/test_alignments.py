@@ -266,3 +266,9 @@ def test_blocks_give_the_recursion(spark):
             want = hmm.Chain(start, move, e.T).posterior()
             assert np.abs(np.array([found[k, i] for i in range(len(e))]) - want).max() < 1e-9
     assert hmm.blocked_posterior(columns.where("false"), "k", start, move).count() == 0
+
+
+def test_joint_probabilities_need_no_python(spark):
+    from clademill.plans import model_queries as mq
+
+    assert "FlatMapGroups" not in mq.path_likelihoods(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
