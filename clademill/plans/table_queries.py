@@ -201,7 +201,7 @@ def gapless_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SYMBOLS_SQL}, a AS (SELECT OGid, gnid, pos, max((sym <> '-')::INT) AS o FROM symbols GROUP BY ALL),
 c AS (SELECT OGid, pos, (sum(o) / count(*) + 0.005) / 1.01 AS p FROM a GROUP BY ALL),
 s AS (SELECT OGid, gnid, ppid, sum(CASE WHEN sym <> '-' THEN ln(p) ELSE ln(1 - p) END) AS score FROM symbols JOIN c USING (OGid, pos) GROUP BY ALL)
-SELECT OGid, gnid, ppid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY OGid, gnid ORDER BY score DESC, ppid) AS r FROM s) WHERE r = 1""")
+SELECT OGid, gnid, ppid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY OGid, gnid ORDER BY round(score, 6) DESC, ppid) AS r FROM s) WHERE r = 1""")
 def alignment_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msa.representatives(symbols(spark, sf_dir)).select("OGid", "gnid", "ppid", F.round("score", 6).alias("score"))
 

@@ -268,6 +268,18 @@ def test_blocks_give_the_recursion(spark):
     assert hmm.blocked_posterior(columns.where("false"), "k", start, move).count() == 0
 
 
+def test_equal_scores_go_to_the_first_row(spark):
+    rng = np.random.default_rng(7)
+    cells = []
+    for g in range(40):
+        one, two = rng.random((2, 30)) < 0.5
+        others = rng.random((6, 30)) < rng.random(30)
+        every = {"1": [*one, *two], "2": [*two, *one]} | {str(3 + k): [*x, *x] for k, x in enumerate(others)}
+        cells += [(g, "g" if r in "12" else r, r, i, "A" if x else "-") for r, xs in every.items() for i, x in enumerate(xs)]
+    d = spark.createDataFrame(cells, "OGid int, gnid string, ppid string, pos int, sym string").repartition(5)
+    assert {r.ppid for r in msa.representatives(d).where("gnid = 'g'").collect()} == {"1"}
+
+
 def test_joint_probabilities_need_no_python(spark):
     from clademill.plans import model_queries as mq
 
