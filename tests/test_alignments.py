@@ -284,3 +284,13 @@ def test_joint_probabilities_need_no_python(spark):
     from clademill.plans import model_queries as mq
 
     assert "FlatMapGroups" not in mq.path_likelihoods(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_of_more_than_four_digits():
+    import duckdb
+
+    from clademill.plans import graph_queries as gq
+
+    sql = gq.SQL["ranked_ids"].replace("FROM lineitem", "FROM (SELECT k AS l_orderkey, 1 AS l_partkey, 1 AS l_suppkey, 1 AS l_linenumber, 1 AS l_extendedprice, 1 AS l_quantity FROM range(65538) t(k))")
+    found = [r[0] for r in duckdb.sql(f"SELECT id FROM ({sql}) ORDER BY OGid DESC").fetchall()]
+    assert found == [f"{k:04X}" for k in range(65538)]
