@@ -333,24 +333,30 @@ def insertion_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hidden_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each row that looks missing somewhere: its likely residues there, as 0 and 1."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        tree, tips, _ = _tips(part)
-        out = []
-        for row, a, b in _missing(tree, tips):
-            likely = hmm.hidden_tip(tree, tips, PARAMS, row)[a:b] >= 0.8
-            out.append((int(part["OGid"].iloc[0]), int(row), a, b, "".join("01"[int(x)] for x in likely)))
+    def run(ids: list[int], alignments: list[tuple[list[str], np.ndarray]]) -> pd.DataFrame:
+        out, known = [], {}
+        for i, k, a, b, names, patterns, place in _missing(alignments):
+            if (names, k) not in known:
+                known[names, k] = hmm.hidden_tip(_pruned(names), _pattern_tips(names, patterns), PARAMS, names[k]) >= 0.8
+            out.append((ids[i], int(names[k]), a, b, "".join("01"[int(x)] for x in known[names, k][place[a:b]])))
         return pd.DataFrame(out, columns=["OGid", "ppid", "start", "stop", "seq"])
 
-    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, ppid int, start int, stop int, seq string")
+    return _in_pieces(symbols(spark, sf_dir), run, "OGid long, ppid int, start int, stop int, seq string")
 
 
-def _missing(tree: newick.Node, tips: dict[str, np.ndarray]) -> list[tuple[str, int, int]]:
-    out = []
-    for row, own in tips.items():
-        likely = hmm.tip_probability(tree, tips, PARAMS, row)
-        chain = hmm.Chain(np.array([0.95, 0.05]), np.array([[0.98, 0.02], [0.1, 0.9]]), np.array([likely, 1 - likely]))
-        out += [(row, a, b) for a, b in msa.missing_segments(chain.posterior()[:, 1], own[0] > 0)]
-    return out
+def _missing(alignments: list[tuple[list[str], np.ndarray]]) -> Iterator[tuple]:
+    """Of each segment that looks missing: alignment, row, start and stop, names, and the patterns of the names' columns and their places."""
+    for names, own in _by_rows(alignments):
+        patterns, places = _patterns([alignments[i][1] for i in own])
+        tree, tips, n = _pruned(names), _pattern_tips(names, patterns), patterns.shape[1]
+        likely = np.concatenate([hmm.tip_probability(tree, tips, PARAMS, name) for name in names])
+        emit = np.array([likely, 1 - likely])
+        codes = [(k * n + place).astype(np.int32) for place in places for k in range(len(names))]
+        found = hmm.Coded(codes, [lambda p, x=x: (x, {}) for x in emit]).posteriors(np.array([0.95, 0.05]), np.array([[0.98, 0.02], [0.1, 0.9]]), [{}, {}])
+        for at, (i, place) in enumerate(zip(own, places)):
+            for k in range(len(names)):
+                for a, b in msa.missing_segments(found[at * len(names) + k][:, 1], alignments[i][1][k] == 0):
+                    yield i, k, a, b, names, patterns, place
 
 
 def _large_slopes(p: dict) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -487,12 +493,11 @@ def fitted_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each row that look missing: runs where its gaps are unlikely given the other rows."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        tree, tips, _ = _tips(part)
-        out = [(int(part["OGid"].iloc[0]), int(row), a, b) for row, a, b in _missing(tree, tips)]
+    def run(ids: list[int], alignments: list[tuple[list[str], np.ndarray]]) -> pd.DataFrame:
+        out = [(ids[i], int(names[k]), a, b) for i, k, a, b, names, _, _ in _missing(alignments)]
         return pd.DataFrame(out, columns=["OGid", "ppid", "start", "stop"])
 
-    return symbols(spark, sf_dir).groupBy("OGid").applyInPandas(run, "OGid long, ppid int, start int, stop int")
+    return _in_pieces(symbols(spark, sf_dir), run, "OGid long, ppid int, start int, stop int")
 
 
 @query

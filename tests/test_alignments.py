@@ -286,6 +286,23 @@ def test_joint_probabilities_need_no_python(spark):
     assert "FlatMapGroups" not in mq.path_likelihoods(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_missing_rows_of_many_alignments_at_once(spark):
+    from clademill.plans import model_queries as mq
+
+    for query in (mq.hidden_tips, mq.missing_decode):
+        assert "FlatMapGroups" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rng = np.random.default_rng(10)
+    made = [(names, r) for _, names, r in (columns_of(rng, np.repeat(rng.integers(0, 3, 8), 6), rows) for rows in (5, 4, 5))]
+    want = []
+    for i, (names, residues) in enumerate(made):
+        tips = {name: np.array([1.0 - x, x]) for name, x in zip(names, residues)}
+        for k, name in enumerate(names):
+            likely = hmm.tip_probability(mq._pruned(tuple(names)), tips, mq.PARAMS, name)
+            chain = hmm.Chain(np.array([0.95, 0.05]), np.array([[0.98, 0.02], [0.1, 0.9]]), np.array([likely, 1 - likely]))
+            want += [(i, k, a, b) for a, b in msa.missing_segments(chain.posterior()[:, 1], residues[k] == 0)]
+    assert want and sorted(x[:4] for x in mq._missing(made)) == want
+
+
 def test_ids_of_more_than_four_digits():
     import duckdb
 
