@@ -173,7 +173,7 @@ def open_buckets(meetings: DataFrame, alike: DataFrame) -> DataFrame:
     # one bucket for each set of members
     sets = rows.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("one"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("two"))
     first = sets.where("n > 2").groupBy("n", "one", "two").agg(F.min("band").alias("band")).select("band")
-    return rows.join(first, "band", "left_semi")
+    return common.stored(rows.join(first, "band", "left_semi"), "open")  # rest_linked reads it four times
 
 
 def rest_linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
