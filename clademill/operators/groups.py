@@ -7,6 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clademill.storage import stored
+
+
+def distinct_counts(table: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """group and, for each column, the number of its distinct values in the group.
+
+    Each column's pairs are made distinct in tasks of their own, where Spark's plan of several distinct counts holds those of all in one.
+    table is read once for each column.
+    """
+    out = None
+    for k, c in enumerate(columns):
+        part = table.select(group, c).distinct().select(group, F.lit(k).alias("__kind"), F.col(c).isNotNull().alias("__has"))
+        out = part if out is None else out.union(part)
+    return out.groupBy(group).agg(*(F.count_if((F.col("__kind") == k) & F.col("__has")).alias(f"{c}num") for k, c in enumerate(columns)))
+
 
 def metadata(edges: DataFrame, proteins: DataFrame, scores: DataFrame, group: str = "OGid") -> DataFrame:
     """Distinct proteins, sequences, genes and species of each group, its edges, and the summed scores of both directions.
@@ -14,12 +29,15 @@ def metadata(edges: DataFrame, proteins: DataFrame, scores: DataFrame, group: st
     edges: group, src, dst; repeated edges count each. proteins: ppid, sqid, gnid, spid. scores: src, dst, bitscore for one direction a
     row. The sum is rounded half to even to one digit.
     """
-    from clademill.operators.hits import mirrored
-
-    score = mirrored(edges.select(group, "src", "dst")).join(scores.groupBy("src", "dst").agg(F.max("bitscore").alias("bitscore")), ["src", "dst"], "left")
-    by_edge = score.groupBy(group).agg((F.count("*") / 2).cast("long").alias("edgenum"), F.bround(F.sum(F.coalesce("bitscore", F.lit(0))), 1).alias("bitscore"))
+    ends = [F.least("src", "dst").alias("__a"), F.greatest("src", "dst").alias("__b")]
+    up = F.col("src") <= F.col("dst")
+    # both directions of a pair in one row; a loop is its own other direction
+    both = scores.select(*ends, F.when(up, F.col("bitscore")).alias("__up"), F.when(~up | (F.col("src") == F.col("dst")), F.col("bitscore")).alias("__down")).groupBy("__a", "__b").agg(F.max("__up").alias("__up"), F.max("__down").alias("__down"))
+    score = edges.select(group, *ends).join(both, ["__a", "__b"], "left")
+    total = F.sum(F.coalesce("__up", F.lit(0)) + F.coalesce("__down", F.lit(0)))
+    by_edge = score.groupBy(group).agg(F.count("*").alias("edgenum"), F.bround(total, 1).alias("bitscore"))
     nodes = edges.select(group, F.col("src").alias("ppid")).union(edges.select(group, "dst")).distinct().join(proteins, "ppid")
-    by_node = nodes.groupBy(group).agg(*(F.countDistinct(c).alias(f"{c}num") for c in ("ppid", "sqid", "gnid", "spid")))
+    by_node = distinct_counts(stored(nodes.select(group, "ppid", "sqid", "gnid", "spid"), "nodes"), group, ("ppid", "sqid", "gnid", "spid"))
     return by_node.join(by_edge, group)
 
 
