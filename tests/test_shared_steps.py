@@ -21,3 +21,29 @@ def test_metadata_counts_without_expanding_rows(spark):
         want[g] = (*(len({p[k] for p in rows} - {None}) for k in range(4)), len(own), sum(best[a, b] + best[b, a] for a, b in own))
     assert {r.OGid: (r.ppidnum, r.sqidnum, r.gnidnum, r.spidnum, r.edgenum, r.bitscore) for r in found.collect()} == want
     assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_held_at_once_are_bounded(monkeypatch):
+    """A cell of the greatest size needs little memory beside its vectors, and the number of products held changes no result."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from clademill.operators import products
+
+    rng = np.random.default_rng(3)
+
+    def cell(n, at):
+        return pa.table({"id": np.arange(at, at + n), "label": rng.integers(0, 10, n).astype(np.int32), "e": pa.array(rng.integers(-99, 99, (n, 8)).tolist(), pa.list_(pa.int32()))})
+
+    a, b = cell(1024, 0), cell(products.CELL, 10_000)
+    tracemalloc.start()
+    whole = pa.concat_tables([*products._best(a, b, 2)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # 1024 x 8192 products alone are 64 MB
+    monkeypatch.setattr(products, "PRODUCTS", 40_000)
+    parts = pa.concat_tables([*products._best(a, b, 2)])
+    order = [("src", "ascending"), ("dst", "ascending")]
+    assert parts.sort_by(order).equals(whole.sort_by(order))
