@@ -441,6 +441,32 @@ def test_forest_against_a_plain_version(spark):
     assert (~found.kept[found.quality == 0]).mean() > 0.45 and found.kept[found.quality == 1].mean() > 0.995
 
 
+def test_forest_of_all_labelled_rows(spark):
+    """Bad rows that stand last by the hash of their id, after 4000 good ones, make the threshold; a table's threshold is that of its scores in arrays."""
+    from pyspark.sql import functions as F
+
+    from clademill.llm import rules
+
+    n = 4600
+    ids = spark.range(n)
+    place = ids.orderBy(F.xxhash64("id"), "id").rdd.map(lambda r: r.id).collect()
+    bad = {*place[4200:]}
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(("7" * int(m) if k in bad else "a" * int(m)) for m in rng.integers(1, 9, 30))) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(k, int(k not in bad)) for k in range(n)], "doc_id long, quality int")
+    forest = rules.fit(docs, labels)
+    assert np.isfinite(forest.threshold)
+    found = rules.judged(docs, forest).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {r.quality: r.kept for r in found.collect()}
+    assert kept[0] < 0.1 and kept[1] > 0.97
+    again = rules.fit(docs.repartition(3), labels.repartition(5))  # however the rows are dealt
+    assert again.threshold == forest.threshold and np.array_equal(again.value, forest.value)
+    good, junk = np.round(rng.normal(0.4, 0.05, 900), 3), np.round(rng.normal(0.5, 0.05, 400), 3)
+    scores = spark.createDataFrame([(float(x), True) for x in good] + [(float(x), False) for x in junk], "score double, good boolean")
+    assert rules.cheapest(scores) == rules.calibrated(good, junk)
+
+
 def near_brute(source, least=0.8):
     from clademill.llm.near_dups import shingles, similarity
 
