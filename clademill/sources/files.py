@@ -21,9 +21,9 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", "\r", "").alias("record"),
     )
     heads = cut.where("block = 0").groupBy("path").agg(F.min("ord").alias("ord")).withColumn("first", F.lit(True))
-    # a file's first record keeps its >, all others have lost it to the cut
+    # a file's first record keeps its >, all others have lost it to the cut; one row a file is sent to the records, which stay where they are
     head = F.regexp_replace("record", r"^\s+(?=>)", "")
-    own = cut.join(heads, ["path", "ord"], "left").withColumn("record", F.when(F.col("first"), F.when(head.startswith(">"), head)).otherwise(F.concat(F.lit(">"), F.col("record"))))
+    own = cut.join(F.broadcast(heads), ["path", "ord"], "left").withColumn("record", F.when(F.col("first"), F.when(head.startswith(">"), head)).otherwise(F.concat(F.lit(">"), F.col("record"))))
     return own.where("record is not null").select("file", "block", "ord", F.substring_index("record", "\n", 1).alias("header"), F.regexp_replace(F.regexp_replace("record", "^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 

@@ -47,3 +47,18 @@ def test_products_held_at_once_are_bounded(monkeypatch):
     parts = pa.concat_tables([*products._best(a, b, 2)])
     order = [("src", "ascending"), ("dst", "ascending")]
     assert parts.sort_by(order).equals(whole.sort_by(order))
+
+
+def test_fasta_records_are_not_shuffled(spark, tmp_path):
+    """Only one row a file goes to the others, whatever Spark thinks of its size."""
+    from clademill.sources import files
+
+    (tmp_path / "one.fa").write_text(">a\nAC\n>b\nGT\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = files.read_fasta(spark, f"file://{tmp_path}")
+        assert {(r.header, r.seq) for r in found.collect()} == {(">a", "AC"), (">b", "GT")}
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
