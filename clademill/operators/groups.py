@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from clademill.storage import stored
 
+#: Rows of a group from which on no single task counts its distinct values.
+LARGE = 1_000_000
+
 
 def distinct_counts(table: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """group and, for each column, the number of its distinct values in the group.
@@ -23,6 +26,25 @@ def distinct_counts(table: DataFrame, group: str, columns: Sequence[str]) -> Dat
     return out.groupBy(group).agg(*(F.count_if((F.col("__kind") == k) & F.col("__has")).alias(f"{c}num") for k, c in enumerate(columns)))
 
 
+def counted(table: DataFrame, group: str, columns: Sequence[str], *sums: Column, large: int = LARGE) -> DataFrame:
+    """group, for each column the number of its distinct values in the group, and sums (aggregates).
+
+    Rows are shuffled once, to the task of their group, and sorted there by each column in turn. Groups of `large` rows or more
+    are dealt over all tasks by value.
+    """
+    many = stored(table.groupBy(group).agg(F.count("*").alias("__n")).where(F.col("__n") >= large).select(group), "large")
+    some = bool(many.take(1))
+    rows = (table.join(many, group, "left_anti") if some else table).repartition(group)
+    for c in columns:
+        first = F.row_number().over(Window.partitionBy(group, c).orderBy(c)) == 1
+        rows = rows.withColumn(f"__first_{c}", first & F.col(c).isNotNull())
+    out = rows.groupBy(group).agg(*(F.count_if(f"__first_{c}").alias(f"{c}num") for c in columns), *sums)
+    if not some:
+        return out
+    rest = table.join(many, group, "left_semi")
+    return out.union(distinct_counts(rest, group, columns).join(rest.groupBy(group).agg(F.count("*").alias("__n"), *sums), group).select(*out.columns))
+
+
 def metadata(edges: DataFrame, proteins: DataFrame, scores: DataFrame, group: str = "OGid") -> DataFrame:
     """Distinct proteins, sequences, genes and species of each group, its edges, and the summed scores of both directions.
 
@@ -49,7 +71,7 @@ def representatives(table: DataFrame, group: str = "GGid", order: Sequence[str]
 
 def single_copy(members: DataFrame, group: str = "OGid", least: int = 20) -> DataFrame:
     """Groups with as many genes as species, and at least so many."""
-    counts = members.groupBy(group).agg(F.countDistinct("gnid").alias("gnidnum"), F.countDistinct("spid").alias("spidnum"))
+    counts = counted(members.select(group, "gnid", "spid"), group, ("gnid", "spid"))
     return counts.where((F.col("gnidnum") == F.col("spidnum")) & (F.col("spidnum") >= least))
 
 
@@ -63,7 +85,7 @@ def satisfying(members: DataFrame, rules: DataFrame, group: str = "OGid", item:
 
 def complete(members: DataFrame, n: int, group: str = "OGid") -> DataFrame:
     """Groups with n proteins, n genes and n species."""
-    counts = members.groupBy(group).agg(*(F.countDistinct(c).alias(f"{c}num") for c in ("ppid", "gnid", "spid")))
+    counts = counted(members.select(group, "ppid", "gnid", "spid"), group, ("ppid", "gnid", "spid"))
     return counts.where((F.col("ppidnum") == n) & (F.col("gnidnum") == n) & (F.col("spidnum") == n)).select(group)
 
 
@@ -109,7 +131,7 @@ def subsets(members: DataFrame, species: int, group: str = "OGid") -> DataFrame:
 
     members: group, ppid, gnid, spid.
     """
-    counts = members.groupBy(group).agg(F.countDistinct("gnid").alias("__g"), F.countDistinct("spid").alias("__s"))
+    counts = counted(members.select(group, "gnid", "spid"), group, ("gnid", "spid")).withColumnsRenamed({"gnidnum": "__g", "spidnum": "__s"})
     alone = members.select(group, "ppid").distinct().groupBy("ppid").agg(F.count("*").alias("__n"), F.min(group).alias(group)).where("__n = 1").select(group).distinct().withColumn("__alone", F.lit(True))
     single = (F.col("__s") == species) & (F.col("__g") == species)
     return counts.join(alone, group, "left").select(group, single.alias("single"), (single & F.coalesce("__alone", F.lit(False))).alias("unique"))

@@ -28,7 +28,9 @@ def query(sql: str | None = None):
 (round_even(sum(bitscore)::DOUBLE, 1) * 10)::BIGINT AS tenths FROM lines GROUP BY OGid""")
 def group_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.bround(F.sum("bitscore").cast("double"), 1)
-    return lines(spark, sf_dir).groupBy("OGid").agg(F.count("*").alias("edgenum"), F.countDistinct("gnid").alias("gnidnum"), F.countDistinct("spid").alias("spidnum"), F.round(total * 10).cast("long").alias("tenths"))
+    own = lines(spark, sf_dir).select("OGid", "gnid", "spid", "bitscore")
+    found = groups.counted(own, "OGid", ("gnid", "spid"), F.count("*").alias("edgenum"), F.round(total * 10).cast("long").alias("tenths"))
+    return found.select("OGid", "edgenum", "gnidnum", "spidnum", "tenths")
 
 
 @query(f"""WITH {LINES_SQL}, e AS (SELECT OGid, gnid AS src, spid AS dst, bitscore FROM lines WHERE gnid <> spid), d AS (SELECT src, dst, max(bitscore) AS s FROM e GROUP BY 1, 2),

@@ -62,3 +62,23 @@ def test_fasta_records_are_not_shuffled(spark, tmp_path):
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_counts_of_groups_are_one_shuffle(spark):
+    """Distinct counts of small groups at their place, of large ones by value; nulls don't count, null groups do."""
+    from pyspark.sql import functions as F
+
+    from clademill.operators import groups
+
+    rows = [(g, (7 * i) % m, None if i % 4 == 0 else i % 3, i) for g, (n, m) in {1: (5, 2), 2: (40, 9), 3: (1, 1), None: (6, 5)}.items() for i in range(n)]
+    table = spark.createDataFrame(rows, "OGid long, gnid long, spid long, bitscore long")
+    want = {}
+    for g in (1, 2, 3, None):
+        own = [r for r in rows if r[0] == g]
+        want[g] = (*(len({r[k] for r in own} - {None}) for k in (1, 2)), len(own), sum(r[3] for r in own))
+    sums = F.count("*").alias("edgenum"), F.sum("bitscore").alias("total")
+    for large in (1_000_000, 20, 1):
+        found = groups.counted(table, "OGid", ("gnid", "spid"), *sums, large=large)
+        assert {r.OGid: (r.gnidnum, r.spidnum, r.edgenum, r.total) for r in found.collect()} == want
+    plan = groups.counted(table, "OGid", ("gnid", "spid"), *sums)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Expand" not in plan and plan.count("Exchange") == 1
