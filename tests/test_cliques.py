@@ -81,6 +81,22 @@ def test_cores(spark):
     assert cliques.core_numbers(frame.where("false")).count() == 0
 
 
+def test_core_edges(spark, monkeypatch):
+    """Edges of the k-core without the other nodes' core numbers: rounds end when none of fewer than k neighbours is left."""
+    every = graphs_of(11, count=12, n=14, share=0.35)
+    frame = table(spark, every).where("src < dst").distinct()
+    edges = [(r.src, r.dst) for r in frame.collect()]
+    for k in (1, 3, 4, 14):
+        inner = {*core(edges, k)}
+        assert {(r.src, r.dst) for r in cliques.core_edges(frame, k).collect()} == {e for e in edges if inner.issuperset(e)}
+    assert cliques.core_edges(frame.where("false"), 2).count() == 0
+    # a triangle with a path of ten steps, each of which has one neighbour more than the path's end: all nodes of the 2-core in 11 rounds
+    tail = spark.createDataFrame([("c", 0, 1), ("c", 0, 2), ("c", 1, 2), *(("c", i, i + 1) for i in range(2, 12))], "component_id string, src long, dst long")
+    assert cliques.core_edges(tail, 2).count() == 3
+    monkeypatch.setattr(cliques, "core_numbers", None)  # numbers aren't looked for
+    assert cliques.clique_clusters(tail, 2, budget=0).count() == 3
+
+
 def test_budget_and_names(spark):
     every = graphs_of(4, count=4)
     frame = table(spark, every)

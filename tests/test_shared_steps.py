@@ -82,3 +82,25 @@ def test_counts_of_groups_are_one_shuffle(spark):
         assert {r.OGid: (r.gnidnum, r.spidnum, r.edgenum, r.total) for r in found.collect()} == want
     plan = groups.counted(table, "OGid", ("gnid", "spid"), *sums)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert "Expand" not in plan and plan.count("Exchange") == 1
+
+
+def test_best_products_by_blocks():
+    """The k greatest of each row with all ties, whatever the blocks; small whole numbers are multiplied in single precision, great ones are not."""
+    import numpy as np
+    import pyarrow as pa
+
+    from clademill.operators import products
+
+    rng = np.random.default_rng(8)
+    for width, k, high in ((3, 3, 5), (47, 3, 5), (48, 3, 1000), (500, 3, 20), (500, 1, 20), (130, 5, 3), (64, 2, 1), (1, 1, 9)):
+        part = rng.integers(0, high, (40, width)).astype(np.float32)
+        q, s, value = products._above(part, k)
+        want = {(i, j) for i, row in enumerate(part) for j, x in enumerate(row) if x >= np.sort(row)[-k]}
+        assert {*zip(q.tolist(), s.tolist())} == want and len(q) == len(want) and (value == part[q, s]).all()
+
+    def cell(most):
+        return pa.table({"e": pa.array(rng.integers(-most, most, (200, 64)).tolist(), pa.list_(pa.int32()))})
+
+    for most, kind in ((500, np.float32), (5000, np.float64)):
+        a, b = products._matrices(cell(most), cell(most))
+        assert a.dtype == b.dtype == kind and (a @ b.T == a.astype(np.int64) @ b.astype(np.int64).T).all()
