@@ -67,3 +67,10 @@ def test_a_component_of_millions_of_cliques(spark):
         assert r.algorithm == "4clique"
         found.setdefault(r.cluster, set()).add((r.src, r.dst))
     assert sorted(found.values(), key=len) == [apart, ring]
+
+
+def test_clique_clusters_4(spark, blocks):
+    found = registry.queries()["clique_clusters_4"](spark, blocks).collect()
+    assert {r.algorithm for r in found} == {"4clique"}
+    assert {(r.src, r.dst) for r in found if r.OGid == "0000"} == block_edges(60) and {(r.src, r.dst) for r in found if r.OGid == "0001"} == block_edges(0)
+    assert len(found) == 2 * len(block_edges(0))
