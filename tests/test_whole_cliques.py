@@ -74,3 +74,8 @@ def test_clique_clusters_4(spark, blocks):
     assert {r.algorithm for r in found} == {"4clique"}
     assert {(r.src, r.dst) for r in found if r.OGid == "0000"} == block_edges(60) and {(r.src, r.dst) for r in found if r.OGid == "0001"} == block_edges(0)
     assert len(found) == 2 * len(block_edges(0))
+
+
+def test_cluster_lineage(spark, blocks):
+    found = registry.queries()["cluster_lineage"](spark, blocks).collect()
+    assert sorted(map(tuple, found)) == [("0/0000", "0/0000", True), ("0/0001", "0/0001", True)]
