@@ -79,3 +79,8 @@ def test_clique_clusters_4(spark, blocks):
 def test_cluster_lineage(spark, blocks):
     found = registry.queries()["cluster_lineage"](spark, blocks).collect()
     assert sorted(map(tuple, found)) == [("0/0000", "0/0000", True), ("0/0001", "0/0001", True)]
+
+
+def test_cluster_types(spark, blocks):
+    found = registry.queries()["cluster_types"](spark, blocks).collect()
+    assert [(r.component_id, r.type) for r in found] == [("0", 3)]  # several communities without a common node
